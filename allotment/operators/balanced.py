@@ -142,7 +142,8 @@ def _run(spec: DataFrame, work) -> DataFrame:
     def task(batches):
         for pdf in batches:
             rows = [r for spec_row in pdf.itertuples(index=False) for r in work(spec_row)]
-            yield pd.DataFrame(rows, columns=["game_id", "design", "n", "sample", "size", "members"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["game_id", "design", "n", "sample", "size", "members"])
 
     return spec.repartition(shuffle_partitions()).mapInPandas(task, SCHEMA)
 
@@ -339,8 +340,7 @@ def fill_pairs(partitions: DataFrame, seed: str) -> DataFrame:
             if 2 * size == n:
                 seen |= np.outer(~inside, inside)
             added.append(np.flatnonzero(inside).tolist())
-        return pd.DataFrame({"game_id": game, "n": n, "size": size, "members": added},
-                            columns=["game_id", "n", "size", "members"])
+        return pd.DataFrame({"game_id": [game] * len(added), "n": n, "size": size, "members": pd.Series(added, dtype=object)})
 
     return partitions.groupBy("game_id", "size").applyInPandas(fill, "game_id BIGINT, n INT, size INT, members ARRAY<INT>")
 

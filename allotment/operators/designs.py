@@ -144,3 +144,143 @@ def coalition_arrays(sampled: DataFrame, carry: list[str] = ()) -> DataFrame:
     """One row per coalition with its sorted members, for designs whose n fits in a row."""
     return sampled.where("inside").groupBy("game_id", "sample", "size").agg(
         F.array_sort(F.collect_list("player")).alias("members"), *[F.first(c).alias(c) for c in carry])
+
+
+def size_law_table(games: DataFrame, law: SizeLaw) -> DataFrame:
+    """(n, size, share, low, high): the law and its CDF for every number of players that occurs."""
+    sizes = games.select("n").distinct().where(F.col("n") >= law.first + law.last).select(
+        "n", law.total(F.col("n")).alias("normaliser"), F.explode(law.sizes(F.col("n"))).alias("size"))
+    share = law.weight(F.col("size"), F.col("n")) / F.col("normaliser")
+    up = Window.partitionBy("n").orderBy("size")
+    return sizes.withColumn("share", share).withColumn("high", F.sum("share").over(up)).withColumn(
+        "low", F.col("high") - F.col("share"))
+
+
+def boundary_coalitions(players: DataFrame) -> DataFrame:
+    """The 2n+2 boundary coalitions, kept implicit as (kind, player)."""
+    own = F.array(F.struct(F.lit("single").alias("kind"), F.col("player").alias("member"), F.lit(1).alias("size")),
+                  F.struct(F.lit("loo").alias("kind"), F.col("player").alias("member"), (F.col("n") - 1).alias("size")))
+    ends = F.array(F.struct(F.lit("empty").alias("kind"), F.lit(None).cast("int").alias("member"), F.lit(0).alias("size")),
+                   F.struct(F.lit("full").alias("kind"), F.lit(None).cast("int").alias("member"), F.col("n").alias("size")))
+    rows = players.withColumn("c", F.explode(F.when(F.col("player") == 0, F.concat(ends, own)).otherwise(own)))
+    return rows.select("game_id", "c.kind", F.col("c.member").alias("player"), "c.size")
+
+
+def hash_permutation(n: Column, *parts) -> Column:
+    """A permutation of 0..n-1 inside a row, ordered by hash."""
+    return F.transform(
+        F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(order_key(*parts, p).alias("k"), p.alias("p")))),
+        lambda e: e["p"])
+
+
+def _first_fixed(n: Column, *parts) -> Column:
+    """A hash-ordered permutation that keeps 0 in front."""
+    keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(
+        F.when(p == 0, F.lit(-1)).otherwise(order_key(*parts, p)).alias("k"), p.alias("p")))
+    return F.transform(F.array_sort(keyed), lambda e: e["p"])
+
+
+def latin_square(games: DataFrame, blocks: int | Column, seed: str) -> DataFrame:
+    """Per block n permutations: cyclic shifts of a random base with shuffled rows and columns."""
+    total = F.lit(blocks) if isinstance(blocks, int) else blocks
+    n = F.col("n")
+    b = games.withColumn("design_block", F.explode(F.sequence(F.lit(0), total.cast("int") - 1)))
+    tag = [F.col("game_id"), F.col("design_block")]
+    b = b.withColumn("base", _first_fixed(n, seed, F.lit("base"), *tag)).withColumn(
+        "cols", hash_permutation(n, seed, F.lit("cols"), *tag)).withColumn("rows", _first_fixed(n, seed, F.lit("rows"), *tag))
+    b = b.select("game_id", "n", "design_block", "base", "cols", F.posexplode("rows").alias("row", "turn"))
+    return b.select("game_id", "n", "design_block", "row", "base", "turn", F.posexplode("cols").alias("at", "col")).select(
+        "game_id", "n", "design_block", (F.col("design_block") * n + F.col("row")).cast("bigint").alias("sample"),
+        (F.col("at") + 1).alias("pos"), F.col("base")[(F.col("turn") + F.col("col")) % n].alias("player"))
+
+
+def component_array(games: DataFrame, blocks: int | Column, seed: str, max_players: int = 64) -> DataFrame:
+    """Per block q(q-1) permutations a + m*c over GF(q), q the least prime power >= n.
+
+    Symbols >= n are dummies and are dropped; positions close up. For prime q this is modular
+    arithmetic. Proper prime powers join one table of sums and products, whose size is fixed by
+    `max_players` (9,292 cells at 64), not by the data.
+    """
+    from allotment.functions.fields import field_tables
+    from allotment.plans.budget import field_order, field_orders, is_prime_power
+    total = F.lit(blocks) if isinstance(blocks, int) else blocks
+    q = F.col("q")
+    b = games.withColumn("q", field_order(F.col("n"), max_players)).withColumn(
+        "design_block", F.explode(F.sequence(F.lit(0), total.cast("int") - 1)))
+    b = b.repartition(shuffle_partitions(), "game_id", "design_block").withColumn(
+        "cols", _first_fixed(q, seed, F.lit("coa"), F.col("game_id"), F.col("design_block")))
+    b = b.withColumn("row", F.explode(F.sequence(F.lit(0), q * (q - 1) - 1)))
+    b = b.select("game_id", "n", "design_block", "q", "row", F.floor(F.col("row") / (q - 1)).cast("int").alias("a"),
+                 (F.col("row") % (q - 1) + 1).alias("m"), F.posexplode("cols").alias("at", "c"))
+    proper = sorted({o for _, o in field_orders(max_players) if is_prime_power(o)[1] > 1})
+    cells = [(o, x, y, field_tables(o)[0][x][y], field_tables(o)[1][x][y]) for o in proper for x in range(o) for y in range(o)]
+    spark = SparkSession.getActiveSession()
+    table = spark.createDataFrame(cells, "q INT, x INT, y INT, total INT, product INT")
+    times = F.broadcast(table.select("q", F.col("x").alias("m"), F.col("y").alias("c"), "product"))
+    plus = F.broadcast(table.select("q", F.col("x").alias("a"), F.col("y").alias("_mc"), "total"))
+    b = b.join(times, ["q", "m", "c"], "left").withColumn("_mc", F.coalesce("product", F.col("m") * F.col("c") % q))
+    b = b.join(plus, ["q", "a", "_mc"], "left").withColumn("player", F.coalesce("total", (F.col("a") + F.col("_mc")) % q))
+    # In proper fields the modular fall-backs are never used: the table holds every cell.
+    place = Window.partitionBy("game_id", "design_block", "row").orderBy("at")
+    return b.where("player < n").select(
+        "game_id", "n", "design_block", (F.col("design_block") * q * (q - 1) + F.col("row")).cast("bigint").alias("sample"),
+        F.row_number().over(place).alias("pos"), F.col("player").cast("int").alias("player"))
+
+
+def candidate_pool(games: DataFrame, size: Column, pool: int, seed: str, used: DataFrame) -> DataFrame:
+    """Distinct coalitions of a size per game that are not in `used` (game_id, members)."""
+    drawn = games.withColumn("size", size.cast("int")).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(pool - 1))))
+    order = hash_permutation(F.col("n"), seed, F.col("game_id"), F.col("candidate"))
+    drawn = drawn.withColumn("members", F.array_sort(F.slice(order, F.lit(1), F.col("size"))))
+    fresh = drawn.groupBy("game_id", "size", "members").agg(F.min("candidate").alias("candidate"))
+    return fresh.join(used.select("game_id", "members"), ["game_id", "members"], "left_anti")
+
+
+def relabel(coalitions: DataFrame, seed: str) -> DataFrame:
+    """Rename the players of a whole design by one random permutation per game."""
+    labels = hash_permutation(F.col("n"), seed, F.lit("relabel"), F.col("game_id"))
+    return coalitions.withColumn("labels", labels).withColumn(
+        "members", F.array_sort(F.transform("members", lambda m: F.col("labels")[m]))).drop("labels")
+
+
+def cyclic_orbit(bases: DataFrame) -> DataFrame:
+    """All n shifts of every base coalition."""
+    n = F.col("n")
+    shifted = bases.withColumn("shift", F.explode(F.sequence(F.lit(0), n - 1)))
+    return shifted.withColumn("members", F.array_sort(F.transform("members", lambda m: (m + F.col("shift")) % n)))
+
+
+def random_bases(games: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
+    """Random orbit bases: one uniform coalition per (game, size, orbit); `counts` has game_id, n, size, count."""
+    rows = counts.withColumn("orbit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
+    order = hash_permutation(F.col("n"), seed, F.lit("base"), F.col("game_id"), F.col("size"), F.col("orbit"))
+    return rows.select("game_id", "n", "size", "orbit", F.array_sort(F.slice(order, F.lit(1), F.col("size"))).alias("members"))
+
+
+def partition_blocks(games: DataFrame, seed: str) -> DataFrame:
+    """S-Diff start: for every size s <= n/2 a permutation cut into ceil(n/s) wrap-around blocks, with complements."""
+    n, s = F.col("n"), F.col("size")
+    sizes = games.where("n >= 2").withColumn("size", F.explode(F.sequence(F.lit(1), F.floor(n / 2).cast("int"))))
+    sizes = sizes.withColumn("order", hash_permutation(n, seed, F.lit("sdiff"), F.col("game_id"), s))
+    cut = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(n / s).cast("int") - 1)))
+    block = F.transform(F.sequence(F.lit(0), s - 1), lambda k: F.col("order")[(F.col("part") * s + k) % n])
+    cut = cut.withColumn("block_members", F.array_sort(block))
+    rest = F.filter(F.sequence(F.lit(0), n - 1), lambda p: ~F.array_contains("block_members", p))
+    sides = F.array(F.struct(F.lit(0).alias("complement"), F.col("block_members").alias("members")),
+                    F.struct(F.lit(1).alias("complement"), rest.alias("members")))
+    return cut.withColumn("side", F.explode(sides)).select(
+        "game_id", "n", s.alias("base_size"), "part", "side.complement", "side.members",
+        F.size("side.members").alias("size"))
+
+
+def predecessor_samples(counts: DataFrame, seed: str) -> DataFrame:
+    """For every cell (player, size) its share of samples: `size` predecessors from the other players.
+
+    The player itself sorts last; `predecessors` are the first `size` of the hash order.
+    """
+    draws = counts.where("count > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
+    keyed = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: p != F.col("player")),
+        lambda p: F.struct(order_key(seed, F.col("game_id"), F.col("player"), F.col("size"), F.col("draw"), p).alias("k"), p.alias("p")))
+    order = F.transform(F.array_sort(keyed), lambda e: e["p"])
+    return draws.withColumn("predecessors", F.slice(order, F.lit(1), F.col("size")))
