@@ -1,2 +1,2 @@
 from allotment.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from allotment.catalog import sampling, plans, designs  # noqa: F401
+from allotment.catalog import sampling, plans, designs, estimates  # noqa: F401

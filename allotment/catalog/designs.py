@@ -154,10 +154,13 @@ coa AS (SELECT game_id, n, 0 AS design_block, rw AS sample, symbol AS player,
     k=q.key("'coa'", "'coa'", "game_id", "0", "p"))
 
 
-@query("component_array_permutations", q.with_(GAMES_SQL, COA_SQL) + """SELECT game_id, CAST(sample AS BIGINT) AS sample,
-  CAST(pos AS INTEGER) AS pos, CAST(player AS INTEGER) AS player FROM coa""")
+@query("component_array_permutations", q.with_(GAMES_SQL, COA_SQL) + """SELECT game_id, CAST(pos AS INTEGER) AS pos, CAST(player AS INTEGER) AS player,
+  count(*) AS permutations, CAST(sum(sample*sample) AS BIGINT) AS check_sum FROM coa GROUP BY 1, 2, 3""")
 def component_array_permutations(spark, folder):
-    return D.component_array(games(spark, folder), 1, "coa", 64).select("game_id", "sample", "pos", "player")
+    """How often every player stands at every position, with a checksum of the permutations."""
+    rows = D.component_array(games(spark, folder), 1, "coa", 64)
+    return rows.groupBy("game_id", "pos", "player").agg(
+        F.count(F.lit(1)).alias("permutations"), F.sum(F.col("sample") * F.col("sample")).alias("check_sum"))
 
 
 @query("field_tables", q.with_(GAMES_SQL, PP_SQL, field_values(), "qs AS (SELECT q, count(*) AS games FROM gm JOIN pp USING (n) GROUP BY 1)") + """

@@ -39,13 +39,13 @@ class SizeLaw:
 
     def draw(self, u: Column, n: Column) -> Column:
         """The first size whose cumulative share exceeds u."""
-        target = u * self.total(n)
-        start = F.struct(F.lit(0.0).alias("cum"), F.lit(self.first).alias("size"))
+        # The target rides in the accumulator: an expression inside the step would be recomputed at every size.
+        start = F.struct(F.lit(0.0).alias("cum"), F.lit(self.first).alias("size"), (u * self.total(n)).alias("target"))
 
         def step(acc, s):
             cum = acc["cum"] + self.weight(s, n)
-            size = F.when((cum <= target) & (s < n - F.lit(self.last)), s + 1).otherwise(acc["size"])
-            return F.struct(cum.alias("cum"), size.cast("int").alias("size"))
+            size = F.when((cum <= acc["target"]) & (s < n - F.lit(self.last)), s + 1).otherwise(acc["size"])
+            return F.struct(cum.alias("cum"), size.cast("int").alias("size"), acc["target"].alias("target"))
 
         return F.aggregate(self.sizes(n), start, step)["size"]
 

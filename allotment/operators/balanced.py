@@ -10,6 +10,7 @@ their own; every row keeps its uniform law through the relabelling.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -33,6 +34,16 @@ def generator(*parts) -> np.random.Generator:
     return np.random.default_rng(np.frombuffer(digest, dtype=np.uint32))
 
 
+@lru_cache(maxsize=256)
+def all_subsets(n: int, size: int) -> np.ndarray:
+    """Every subset of one size as 0/1 rows."""
+    members = np.array(list(combinations(range(n), size)))
+    rows = np.zeros((len(members), n))
+    np.put_along_axis(rows, members, 1.0, axis=1)
+    rows.flags.writeable = False
+    return rows
+
+
 class CandidatePool:
     """Draws K distinct unused subsets of one size; starts over once all have been used."""
 
@@ -42,9 +53,7 @@ class CandidatePool:
         self.used: set[bytes] = set()
         self.table = None
         if self.total <= ENUMERATE_UP_TO:
-            self.table = np.zeros((self.total, n))
-            for row, subset in enumerate(combinations(range(n), size)):
-                self.table[row, list(subset)] = 1.0
+            self.table = all_subsets(n, size)
             self.free = np.ones(self.total, dtype=bool)
 
     def draw(self, k: int) -> np.ndarray:
@@ -318,31 +327,32 @@ def fill_pairs(partitions: DataFrame, seed: str) -> DataFrame:
     row belongs to the design as well, so a pair also counts at size n - s. Both are tracked.
     """
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        game, size = int(key[0]), int(key[1])
-        n = int(pdf["n"].iloc[0])
-        rng = generator(seed, "fill", game, size)
-        z = np.zeros((len(pdf), n))
-        for row, ids in enumerate(pdf["members"]):
+    def work(r):
+        n, size = int(r.n), int(r.size)
+        rng = generator(seed, "fill", r.game_id, size)
+        z = np.zeros((len(r.blocks), n))
+        for row, ids in enumerate(r.blocks):
             z[row, list(ids)] = 1.0
         seen = (z.T @ (1 - z)) > 0
         if 2 * size == n:
             seen |= seen.T
         np.fill_diagonal(seen, True)
-        added = []
+        added = 0
         while not seen.all():
-            i, j = (int(x[0]) for x in np.nonzero(~seen))
-            rest = rng.permutation([p for p in range(n) if p not in (i, j)])[: size - 1]
+            i, j = divmod(int(np.argmin(seen)), n)
+            rest = np.setdiff1d(np.arange(n), (i, j))
             inside = np.zeros(n, dtype=bool)
             inside[i] = True
-            inside[rest.astype(int)] = True
+            inside[rng.permutation(rest)[: size - 1]] = True
             seen |= np.outer(inside, ~inside)
             if 2 * size == n:
                 seen |= np.outer(~inside, inside)
-            added.append(np.flatnonzero(inside).tolist())
-        return pd.DataFrame({"game_id": [game] * len(added), "n": n, "size": size, "members": pd.Series(added, dtype=object)})
+            yield r.game_id, "sdiff_fill", n, added, size, np.flatnonzero(inside).tolist()
+            added += 1
 
-    return partitions.groupBy("game_id", "size").applyInPandas(fill, "game_id BIGINT, n INT, size INT, members ARRAY<INT>")
+    # At most ceil(n / size) blocks per row.
+    spec = partitions.groupBy("game_id", "n", "size").agg(F.sort_array(F.collect_list("members")).alias("blocks"))
+    return _run(spec, work)
 
 
 def sampled_rows(designs: DataFrame, players: DataFrame) -> DataFrame:

@@ -1,0 +1,29 @@
+"""User-defined utilities over batches of coalitions."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def apply_batches(coalitions: DataFrame, utility: Callable[[pd.DataFrame], pd.Series], keys: list[str]) -> DataFrame:
+    """Call `utility` on Arrow batches of coalition rows; it returns one number per row, in order."""
+    schema = ", ".join(f"{k} {dict(coalitions.dtypes)[k]}" for k in keys) + ", value DOUBLE"
+
+    def task(batches):
+        for pdf in batches:
+            value = pd.Series(utility(pdf), dtype="float64")
+            if len(value) != len(pdf):
+                raise ValueError("the utility must return one value per coalition")
+            yield pdf[keys].assign(value=value.to_numpy())
+
+    return coalitions.mapInPandas(task, schema)
+
+
+def require_finite(values: DataFrame) -> DataFrame:
+    """Fail on a missing, NaN or infinite utility; a bad value never turns into 0."""
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs(F.col("value")) == float("inf"))
+    return values.withColumn("value", F.when(bad, F.raise_error(F.lit("a utility is not finite")).cast("double")).otherwise(F.col("value")))

@@ -109,6 +109,7 @@ def systematic_schedule(games: DataFrame, samples: int | Column, seed: str, law:
     is not sorted by one task.
     """
     total = (F.lit(samples) if isinstance(samples, int) else samples).cast("bigint")
+    games = games.repartition(shuffle_partitions(), "game_id")
     steps = games.withColumn("samples", total).withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("samples") - 1)))
     start = uniform(seed, F.lit("start"), F.col("game_id"))
     point = start + F.col("step") / F.col("samples")
@@ -185,6 +186,7 @@ def latin_square(games: DataFrame, blocks: int | Column, seed: str) -> DataFrame
     total = F.lit(blocks) if isinstance(blocks, int) else blocks
     n = F.col("n")
     b = games.withColumn("design_block", F.explode(F.sequence(F.lit(0), total.cast("int") - 1)))
+    b = b.repartition(shuffle_partitions(), "game_id", "design_block")
     tag = [F.col("game_id"), F.col("design_block")]
     b = b.withColumn("base", _first_fixed(n, seed, F.lit("base"), *tag)).withColumn(
         "cols", hash_permutation(n, seed, F.lit("cols"), *tag)).withColumn("rows", _first_fixed(n, seed, F.lit("rows"), *tag))
@@ -239,7 +241,8 @@ def candidate_pool(games: DataFrame, size: Column, pool: int, seed: str, used: D
 def relabel(coalitions: DataFrame, seed: str) -> DataFrame:
     """Rename the players of a whole design by one random permutation per game."""
     labels = hash_permutation(F.col("n"), seed, F.lit("relabel"), F.col("game_id"))
-    return coalitions.withColumn("labels", labels).withColumn(
+    # One-row inline: the labels are computed once per row instead of once per member.
+    return coalitions.select("*", F.inline(F.array(F.struct(labels.alias("labels"))))).withColumn(
         "members", F.array_sort(F.transform("members", lambda m: F.col("labels")[m]))).drop("labels")
 
 
@@ -284,3 +287,38 @@ def predecessor_samples(counts: DataFrame, seed: str) -> DataFrame:
         lambda p: F.struct(order_key(seed, F.col("game_id"), F.col("player"), F.col("size"), F.col("draw"), p).alias("k"), p.alias("p")))
     order = F.transform(F.array_sort(keyed), lambda e: e["p"])
     return draws.withColumn("predecessors", F.slice(order, F.lit(1), F.col("size")))
+
+
+def reverse_pairs(orders: DataFrame) -> DataFrame:
+    """Forward and reverse paths of array permutations (game_id, n, pair, players)."""
+    rows = orders.select("game_id", "n", "pair", F.posexplode("players").alias("at", "player"), )
+    rows = rows.withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
+    pos = F.when(F.col("direction") == 1, F.col("n") - F.col("at")).otherwise(F.col("at") + 1)
+    return rows.select("game_id", "n", "pair", (F.col("pair") * 2 + F.col("direction")).alias("sample"), pos.alias("pos"), "player")
+
+
+def attach_players(orders: DataFrame, players: DataFrame) -> Split:
+    """Join path rows (game_id, sample, pos, player, ...) with the players' attributes."""
+    extra = [c for c in orders.columns if c not in players.columns or c in ("game_id", "player")]
+    return Split(orders.select(*extra).join(players, ["game_id", "player"]).withColumn("block", F.lit(0).cast("bigint")))
+
+
+def all_orders(games: DataFrame, limit: int = 8) -> DataFrame:
+    """All n! permutations of every game as path rows; n must not exceed `limit`."""
+    n = F.when(F.col("n") <= limit, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"all orders need at most {limit} players")).cast("int"))
+    spread = games.withColumn("n", n).repartition(shuffle_partitions(), "game_id")
+    rows = spread.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.factorial(n) - 1)))
+    # The sample number in factorial digits picks, place by place, one of the players still left.
+    start = F.struct(F.sequence(F.lit(0), F.col("n") - 1).alias("left"), F.array().cast("array<int>").alias("picked"),
+                     F.col("sample").alias("code"))
+
+    def pick(acc, k):
+        left = acc["left"]
+        at = (acc["code"] % k).cast("int")
+        return F.struct(F.concat(F.slice(left, F.lit(1), at), F.slice(left, at + 2, F.size(left))).alias("left"),
+                        F.concat(acc["picked"], F.array(left[at])).alias("picked"), F.floor(acc["code"] / k).alias("code"))
+
+    order = F.aggregate(F.sequence(F.col("n"), F.lit(1), F.lit(-1)), start, pick)["picked"]
+    return rows.select("game_id", "n", "sample", F.posexplode(order).alias("at", "player")).select(
+        "game_id", "n", "sample", (F.col("at") + 1).alias("pos"), "player")

@@ -267,3 +267,24 @@ def block_mean(paths: DataFrame) -> DataFrame:
     return blocks.groupBy(*PLAYER).agg(
         F.avg("mean").alias("share"),
         F.when(F.count("mean") >= 2, F.var_samp("mean") / F.count("mean")).alias("mean_variance"))
+
+
+def stratified_marginal(samples: DataFrame) -> DataFrame:
+    """Mean v(S with i) - v(S) per (player, size), then the mean over the n sizes.
+
+    `samples` has game_id, player, n, size, with_value, without_value. Cells with no sample leave
+    the share null.
+    """
+    cells = samples.groupBy("game_id", "player", "size").agg(
+        F.avg(F.col("with_value") - F.col("without_value")).alias("mean"), F.first("n").alias("n"))
+    return cells.groupBy("game_id", "player").agg(
+        F.when(F.count("mean") == F.first("n"), F.sum("mean") / F.first("n")).alias("share"))
+
+
+def with_size_profile(sampled: Split) -> Split:
+    """Add `profile`, the mean value of the game's sampled coalitions of the same size."""
+
+    def step(df: DataFrame, hot: bool) -> DataFrame:
+        return attach(df, ["game_id", "size"], hot, profile=F.avg("value"))
+
+    return sampled.map(step)

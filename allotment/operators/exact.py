@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import comb
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from allotment.operators.designs import shuffle_partitions
 from allotment.operators.skew import cut, hot_rows, split_games
 
 
@@ -54,3 +60,100 @@ def term_shares(terms: DataFrame) -> DataFrame:
     `terms` is long: (game_id, term_id, player, weight, degree), one row per member.
     """
     return terms.groupBy("game_id", "player").agg(F.sum(F.col("weight") / F.col("degree")).alias("share"))
+
+
+def all_coalitions(games: DataFrame, limit: int = 20) -> DataFrame:
+    """Every subset of every game as a bit mask: (game_id, n, mask). Games must have n <= limit."""
+    n = F.when(F.col("n") <= limit, F.col("n")).otherwise(
+        F.raise_error(F.lit(f"exhaustive enumeration needs at most {limit} players")).cast("int"))
+    spread = games.select("game_id", "n").repartition(shuffle_partitions(), "game_id")
+    last = F.pow(F.lit(2.0), n).cast("bigint") - 1
+    return spread.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+
+
+def exhaustive_shares(table: DataFrame) -> DataFrame:
+    """Shapley by factorial weights over a full table (game_id, n, mask, utility).
+
+    phi_i = sum over S with i of (s-1)!(n-s)!/n! v(S) - sum over S without i of s!(n-s-1)!/n! v(S).
+    """
+    n, s = F.col("n"), F.bit_count("mask")
+    rows = table.withColumn("s", s).withColumn("player", F.explode(F.sequence(F.lit(0), n - 1)))
+    inside = F.expr("shiftright(mask, player) & 1") == 1
+    fact = lambda k: F.factorial(k).cast("double")
+    weight = F.when(inside, fact(F.greatest(F.col("s") - 1, F.lit(0))) * fact(n - F.col("s"))).otherwise(
+        -fact(F.col("s")) * fact(F.greatest(n - F.col("s") - 1, F.lit(0)))) / fact(n)
+    return rows.groupBy("game_id", "player").agg(F.sum(weight * F.col("utility")).alias("share"))
+
+
+def power_index(players: DataFrame) -> DataFrame:
+    """Exact Shapley-Shubik index per game from (game_id, player, weight, quota).
+
+    One voting body is one group of n rows; bodies run in parallel. Counts of subsets by (size,
+    weight) are exact integers.
+    """
+    def solve(key, pdf):
+        pdf = pdf.sort_values("player")
+        swings, _ = subset_swings(pdf["weight"].to_numpy(), int(pdf["quota"].iloc[0]))
+        return pd.DataFrame({"game_id": key[0], "player": pdf["player"].to_numpy(), "share": np.array(swings, dtype=float)})
+
+    return players.repartition(shuffle_partitions(), "game_id").groupBy("game_id").applyInPandas(
+        solve, "game_id BIGINT, player INT, share DOUBLE")
+
+
+def subset_counts(weights, quota: int):
+    """counts[s][w]: subsets of size s and total weight w < quota, as exact integers."""
+    counts = np.zeros((len(weights) + 1, quota), dtype=object)
+    counts[0, 0] = 1
+    for done, w in enumerate(int(x) for x in weights):
+        if w < quota:
+            counts[1:done + 2, w:] += counts[:done + 1, :quota - w].copy()
+    return counts
+
+
+def subset_swings(weights, quota: int):
+    """(index per player, losing subsets per size). A swing: S loses and S with i wins."""
+    n = len(weights)
+    counts = subset_counts(weights, quota)
+    share = {}
+    for w in sorted({int(x) for x in weights}):
+        # Take one voter of weight w out again: without[s] = counts[s] - shift(without[s-1], w).
+        without = counts[:n].copy()
+        if w < quota:
+            for s in range(1, n):
+                without[s, w:] -= without[s - 1, :quota - w]
+        low = max(0, quota - w)
+        total = sum((Fraction(int(without[s, low:].sum()), n * comb(n - 1, s)) for s in range(n)), Fraction(0))
+        share[w] = float(total)
+    return [share[int(w)] for w in weights], [int(x) for x in counts.sum(axis=1)]
+
+
+def win_probability_by_size(players: DataFrame) -> DataFrame:
+    """Share of winning coalitions at every size 0..n, per voting body."""
+    def solve(key, pdf):
+        n = len(pdf)
+        losing = subset_counts(pdf["weight"].to_numpy(), int(pdf["quota"].iloc[0])).sum(axis=1)
+        return pd.DataFrame({"game_id": key[0], "size": range(n + 1),
+                             "probability": [1 - float(losing[s]) / comb(n, s) for s in range(n + 1)]})
+
+    return players.repartition(shuffle_partitions(), "game_id").groupBy("game_id").applyInPandas(
+        solve, "game_id BIGINT, size INT, probability DOUBLE")
+
+
+def mean_cost_by_size(rows: DataFrame) -> DataFrame:
+    """Mean airport value at every size 1..n: sum over levels of (d_k - d_(k-1)) (1 - C(low,s)/C(n,s)).
+
+    low = players cheaper than the level. The ratio of binomials is a running product over s.
+    """
+    levels = rows.groupBy("game_id", "cost").agg(F.count(F.lit(1)).alias("players"))
+
+    up = Window.partitionBy("game_id").orderBy("cost")
+    below = up.rowsBetween(Window.unboundedPreceding, -1)
+    steps = levels.select(
+        "game_id", (F.col("cost") - F.coalesce(F.lag("cost").over(up), F.lit(0))).alias("rise"),
+        F.coalesce(F.sum("players").over(below), F.lit(0)).alias("low"),
+        F.sum("players").over(Window.partitionBy("game_id")).alias("n"))
+    sized = steps.withColumn("size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    # C(low, s)/C(n, s) as a product; zero when s > low.
+    ratio = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1), F.lit(1.0),
+                            lambda acc, k: acc * F.greatest(F.col("low") - k, F.lit(0)) / (F.col("n") - k))
+    return sized.groupBy("game_id", "size").agg(F.sum(F.col("rise") * (1 - ratio)).alias("mean_value"))

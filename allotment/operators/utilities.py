@@ -147,3 +147,12 @@ def path_values(paths: Split, utility: Utility) -> Split:
         )
 
     return paths.map(step)
+
+
+def decode_boundary(stored: DataFrame) -> DataFrame:
+    """(game_id, kind, player, utility) rows to one row per player; the ends sit on the row of player 0."""
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("utility")))
+    own = stored.groupBy("game_id", "player").agg(pick("single").alias("single_value"), pick("loo").alias("without_value"))
+    ends = stored.where(F.col("kind").isin("empty", "full")).groupBy("game_id").agg(
+        pick("empty").alias("empty_value"), pick("full").alias("full_value"))
+    return own.join(ends, "game_id").select("game_id", "player", "empty_value", "full_value", "single_value", "without_value")

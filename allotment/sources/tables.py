@@ -62,3 +62,41 @@ def order_lines(spark: SparkSession, folder: str) -> Split:
 def at_least(players: Split, least: int) -> Split:
     """Games inside a method's domain; the others are reported by the plan tables."""
     return players.map(lambda df, hot: df.where(F.col("n") >= least))
+
+
+def customer_priorities(spark: SparkSession, folder: str) -> Split:
+    """Game = customer, players = the priorities it orders with (at most five), weight = its orders there."""
+    raw = table(spark, folder, "orders").groupBy(
+        F.col("o_custkey").alias("game_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")
+    ).agg(F.count(F.lit(1)).alias("weight"), F.sum(F.floor(F.col("o_totalprice") / 1000).cast("bigint")).alias("cost"))
+    numbered = number_players(raw, ["priority"], {"total": F.sum("weight")})
+    return numbered.map(lambda df, hot: df.select(
+        "game_id", "player", "n", "priority", "weight", "cost", "total", (F.floor(F.col("total") / 2) + 1).alias("quota")))
+
+
+def daily_channels(spark: SparkSession, folder: str) -> DataFrame:
+    """Event channels per user and day: (game_id = user, term_id = day, channel, part in cents)."""
+    events = table(spark, folder, "events")
+    return events.groupBy(F.col("user_id").alias("game_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("term_id"),
+                          F.col("event_type").alias("channel")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("part"))
+
+
+def channel_game(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(players, terms): game = user, player = channel by name, a term = the channels of one day."""
+    from allotment.operators.interactions import terms_of
+    days = daily_channels(spark, folder)
+    channels = days.groupBy("game_id", "channel").agg(F.sum("part").alias("coef"))
+    coded = channels.withColumn("code", F.conv(F.hex(F.substring("channel", 1, 4)), 16, 10).cast("bigint"))
+    players = number_players(coded, ["code"]).rows().select("game_id", "player", "n", "channel", "coef")
+    pairs = days.join(players.select("game_id", "channel", "player"), ["game_id", "channel"])
+    return players, terms_of(pairs.select("game_id", "term_id", "player", "part"))
+
+
+def supplier_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of one game over suppliers: an order pays its revenue (cents) once all its suppliers are in."""
+    from allotment.operators.interactions import terms_of
+    lines = table(spark, folder, "lineitem").select(
+        F.lit(0).cast("bigint").alias("game_id"), F.col("l_orderkey").alias("term_id"), F.col("l_suppkey").cast("int").alias("player"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("part"))
+    return terms_of(lines.groupBy("game_id", "term_id", "player").agg(F.sum("part").alias("part")))
