@@ -274,7 +274,7 @@ def truncation_accounting(spark, folder):
     return out.withColumn("truncation_rate", tidy(F.col("truncation_rate"), 6)).withColumn("mean_prefix", tidy(F.col("mean_prefix"), 6))
 
 
-MARGINAL_SQL = q.with_(q.game("max"), MARGINAL_COUNTS_SQL.replace("5*n + 1", "6*n*n + 1"), """dw AS (SELECT ct.game_id, ct.player, ct.n, ct.size, d AS draw FROM ct, unnest(range(0, ct.count)) r(d)),
+MARGINAL_SQL = q.with_(q.game("max"), MARGINAL_COUNTS_SQL.replace("5*n + 1", "2*n*n + 1"), """dw AS (SELECT ct.game_id, ct.player, ct.n, ct.size, d AS draw FROM ct, unnest(range(0, ct.count)) r(d)),
 pd AS (SELECT dw.*, pl.cost, row_number() OVER (PARTITION BY dw.game_id, dw.player, dw.size, dw.draw ORDER BY {k}, pl.player) AS pos
   FROM dw JOIN pl ON pl.game_id = dw.game_id AND pl.player <> dw.player),
 vv AS (SELECT dw.game_id, dw.player, dw.n, dw.size, dw.draw, coalesce(max(pd.cost) FILTER (WHERE pos <= dw.size), 0) AS v
@@ -288,7 +288,7 @@ sm AS (SELECT vv.game_id, vv.player, vv.size, avg(greatest(vv.v, pl.cost) - vv.v
 def stratified_marginal_mean(spark, folder):
     """One sample per (player, size) cell and a few more; predecessors join the costs of their game."""
     players = S.customer_orders(spark, folder).rows()
-    counts = B.marginal_counts(players, (F.col("n") * F.col("n") * 12 + 2).cast("bigint"), "cells")
+    counts = B.marginal_counts(players, (F.col("n") * F.col("n") * 4 + 2).cast("bigint"), "cells")
     draws = D.predecessor_samples(counts, "strm")
     keys = ["game_id", "player", "size", "draw"]
     costs = players.select("game_id", F.col("player").alias("other"), F.col("cost").alias("other_cost"))
@@ -299,7 +299,7 @@ def stratified_marginal_mean(spark, folder):
     return shares(E.stratified_marginal(samples))
 
 
-@query("predecessor_samples", MARGINAL_SQL.replace("6*n*n + 1", "5*n + 1") + """SELECT game_id, player, CAST(size AS INTEGER) AS size, CAST(draw AS BIGINT) AS draw, v AS before_value FROM vv""")
+@query("predecessor_samples", MARGINAL_SQL.replace("2*n*n + 1", "5*n + 1") + """SELECT game_id, player, CAST(size AS INTEGER) AS size, CAST(draw AS BIGINT) AS draw, v AS before_value FROM vv""")
 def predecessor_samples(spark, folder):
     players = S.customer_orders(spark, folder).rows()
     counts = B.marginal_counts(players, F.col("n") * 10 + 2, "cells")
@@ -398,7 +398,7 @@ arr AS (SELECT sample, term_id, max_by(rk.player, pos) AS player, first(weight)
 SELECT CAST(0 AS BIGINT) AS game_id, CAST(player AS INTEGER) AS player, """ + q.tidy("sum(weight)/4.0/100", 2) + " AS share FROM arr GROUP BY 2")
 def basket_supplier_paths(spark, folder):
     suppliers = S.table(spark, folder, "supplier").select(F.lit(0).cast("bigint").alias("game_id"), F.col("s_suppkey").cast("int").alias("player"))
-    players = suppliers.crossJoin(suppliers.agg(F.count(F.lit(1)).cast("int").alias("n"))) if False else suppliers.join(
+    players = suppliers.join(
         suppliers.groupBy("game_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "game_id")
     paths = D.random_order(Split(players), 4, "basket").rows()
     out = I.path_shares(paths, S.supplier_baskets(spark, folder), 4)
@@ -442,7 +442,7 @@ def mean_cost_by_size(spark, folder):
 
 @query("win_probability_by_size", q.with_(PRIORITY_SQL, TABLE_SQL) + f"SELECT game_id, CAST(s AS INTEGER) AS size, {q.tidy('avg(win)', 6)} AS probability FROM tb GROUP BY 1, 2")
 def win_probability_by_size(spark, folder):
-    out = X.win_probability_by_size(S.customer_priorities(spark, folder).rows().select("game_id", "weight", "quota"))
+    out = X.win_probability_by_size(S.customer_priorities(spark, folder).rows().select("game_id", "player", "weight", "quota"))
     return out.select("game_id", "size", tidy(F.col("probability"), 6).alias("probability"))
 
 

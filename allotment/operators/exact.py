@@ -91,18 +91,32 @@ def power_index(players: DataFrame) -> DataFrame:
     One voting body is one group of n rows; bodies run in parallel. Counts of subsets by (size,
     weight) are exact integers.
     """
-    def solve(key, pdf):
-        pdf = pdf.sort_values("player")
-        swings, _ = subset_swings(pdf["weight"].to_numpy(), int(pdf["quota"].iloc[0]))
-        return pd.DataFrame({"game_id": key[0], "player": pdf["player"].to_numpy(), "share": np.array(swings, dtype=float)})
+    def rows(players, weights, quota):
+        return players, subset_swings(weights, quota)[0]
 
-    return players.repartition(shuffle_partitions(), "game_id").groupBy("game_id").applyInPandas(
-        solve, "game_id BIGINT, player INT, share DOUBLE")
+    return _per_body(players, rows, "player", "share")
+
+
+def _per_body(players: DataFrame, work, key: str, value: str) -> DataFrame:
+    """Pack every voting body into one row and solve bodies batch by batch."""
+    packed = players.groupBy("game_id").agg(
+        F.collect_list("player").alias("players"), F.collect_list("weight").alias("weights"), F.first("quota").alias("quota"))
+
+    def solve(batches):
+        for pdf in batches:
+            parts = [(r.game_id, *work(r.players, r.weights, int(r.quota))) for r in pdf.itertuples(index=False)]
+            if parts:
+                yield pd.DataFrame({"game_id": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
+                                    key: np.concatenate([p[1] for p in parts]), value: np.concatenate([p[2] for p in parts])})
+
+    spread = packed.repartition(shuffle_partitions(), "game_id")
+    return spread.mapInPandas(solve, f"game_id BIGINT, {key} INT, {value} DOUBLE")
 
 
 def subset_counts(weights, quota: int):
     """counts[s][w]: subsets of size s and total weight w < quota, as exact integers."""
-    counts = np.zeros((len(weights) + 1, quota), dtype=object)
+    # C(60, 30) still fits 64 bits; larger bodies need Python integers.
+    counts = np.zeros((len(weights) + 1, quota), dtype=np.int64 if len(weights) <= 60 else object)
     counts[0, 0] = 1
     for done, w in enumerate(int(x) for x in weights):
         if w < quota:
@@ -129,14 +143,12 @@ def subset_swings(weights, quota: int):
 
 def win_probability_by_size(players: DataFrame) -> DataFrame:
     """Share of winning coalitions at every size 0..n, per voting body."""
-    def solve(key, pdf):
-        n = len(pdf)
-        losing = subset_counts(pdf["weight"].to_numpy(), int(pdf["quota"].iloc[0])).sum(axis=1)
-        return pd.DataFrame({"game_id": key[0], "size": range(n + 1),
-                             "probability": [1 - float(losing[s]) / comb(n, s) for s in range(n + 1)]})
-
-    return players.repartition(shuffle_partitions(), "game_id").groupBy("game_id").applyInPandas(
-        solve, "game_id BIGINT, size INT, probability DOUBLE")
+    def rows(_, weights, quota):
+        n = len(weights)
+        losing = subset_counts(weights, quota).sum(axis=1)
+        return np.arange(n + 1), [1 - float(losing[s]) / comb(n, s) for s in range(n + 1)]
+
+    return _per_body(players, rows, "size", "probability")
 
 
 def mean_cost_by_size(rows: DataFrame) -> DataFrame:

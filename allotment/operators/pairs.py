@@ -17,40 +17,50 @@ from allotment.operators.designs import shuffle_partitions
 TILE = 1024
 
 
-def co_membership(sampled: DataFrame, by_size: bool = False, weight: str | None = None, pairs_keep_diagonal: bool = True) -> DataFrame:
+def co_membership(sampled: DataFrame, by_size: bool = False, weight: str | None = None) -> DataFrame:
     """Per (game, [size,] i, j): coalitions holding both, their value sum and weight sum.
 
-    `sampled` has game_id, block, sample, size, player, inside, value, n. A group is one block
-    of samples of one game (about SAMPLE_ROWS rows), and its matrices are emitted in tiles.
+    `sampled` has game_id, block, sample, size, player, inside, value, n. Members are packed per
+    block of samples of one game (about SAMPLE_ROWS rows), and a task turns every pack into one
+    matrix product per size, emitted in tiles.
     """
-    keys = ["game_id", "block"] + (["size"] if by_size else [])
-    rows = sampled.where("inside").select(
-        "game_id", "block", "size", "sample", "player", "n", F.col("value").cast("double").alias("value"),
-        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-
-    def product(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        index, row = np.unique(pdf["sample"].to_numpy(), return_inverse=True)
-        z = np.zeros((len(index), n))
-        z[row, pdf["player"].to_numpy()] = 1.0
-        value, w = np.zeros(len(index)), np.zeros(len(index))
-        value[row], w[row] = pdf["value"].to_numpy(), pdf["w"].to_numpy()
-        out = []
-        for lo in range(0, n, TILE):
-            left = z[:, lo:lo + TILE]
-            count, total, weighted = left.T @ z, (left * value[:, None]).T @ z, (left * w[:, None]).T @ z
-            i, j = np.nonzero(count)
-            out.append(pd.DataFrame({"i": i + lo, "j": j, "count": count[i, j].astype("int64"),
-                                     "total": total[i, j], "weighted": weighted[i, j]}))
-        frame = pd.concat(out)
-        frame.insert(0, "game_id", key[0])
-        frame.insert(1, "size", key[2] if by_size else 0)
-        return frame
-
-    partial = rows.repartition(shuffle_partitions(), *keys).groupBy(*keys).applyInPandas(
-        product, "game_id BIGINT, size INT, i INT, j INT, count BIGINT, total DOUBLE, weighted DOUBLE")
-    group = ["game_id"] + (["size"] if by_size else []) + ["i", "j"]
-    return partial.groupBy(*group).agg(F.sum("count").alias("count"), F.sum("total").alias("total"), F.sum("weighted").alias("weighted"))
+    level = ["game_id"] + (["size"] if by_size else [])
+    pack = sampled.where("inside").groupBy("game_id", "block").agg(
+        F.first("n").alias("n"), F.collect_list(F.col("sample").cast("bigint")).alias("samples"),
+        F.collect_list(F.col("size").cast("int")).alias("sizes"), F.collect_list(F.col("player").cast("int")).alias("players"),
+        F.collect_list(F.col("value").cast("double")).alias("values"),
+        F.collect_list((F.col(weight) if weight else F.lit(1.0)).cast("double")).alias("weights"))
+
+    def products(batches):
+        names = ["game_id", "size", "i", "j", "count", "total", "weighted"]
+        for pdf in batches:
+            parts = []
+            for r in pdf.itertuples(index=False):
+                for size in (np.unique(r.sizes) if by_size else [0]):
+                    keep = r.sizes == size if by_size else slice(None)
+                    for i, j, cells in pair_tiles(int(r.n), r.samples[keep], r.players[keep], r.values[keep], r.weights[keep]):
+                        parts.append((np.full(len(i), r.game_id), np.full(len(i), size), i, j, *cells))
+            if parts:
+                yield pd.DataFrame({k: np.concatenate([p[c] for p in parts]) for c, k in enumerate(names)})
+
+    partial = pack.mapInPandas(products, "game_id BIGINT, size INT, i INT, j INT, count BIGINT, total DOUBLE, weighted DOUBLE")
+    return partial.groupBy(*level, "i", "j").agg(
+        F.sum("count").alias("count"), F.sum("total").alias("total"), F.sum("weighted").alias("weighted"))
+
+
+def pair_tiles(n, samples, players, values, weights):
+    """Non-empty cells of Z'Z, Z'diag(value)Z and Z'diag(weight)Z of one pack, TILE rows at a time."""
+    index, row = np.unique(samples, return_inverse=True)
+    z = np.zeros((len(index), n))
+    z[row, players] = 1.0
+    value, weight = np.zeros(len(index)), np.zeros(len(index))
+    value[row], weight[row] = values, weights
+    for lo in range(0, n, TILE):
+        left = z[:, lo:lo + TILE].T
+        count = left @ z
+        i, j = np.nonzero(count)
+        total, weighted = (left * value) @ z, (left * weight) @ z
+        yield i + lo, j, (count[i, j].astype("int64"), total[i, j], weighted[i, j])
 
 
 def _pair_means(sampled: DataFrame, players: DataFrame, by_size: bool) -> DataFrame:
@@ -120,21 +130,26 @@ def kernel_shap(sampled: DataFrame, players: DataFrame, ridge: float = 0.0) -> D
     """
     moments = kernel_moments(sampled)
     ends = players.where("player = 0").select("game_id", "n", (F.col("full_value") - F.col("empty_value")).alias("target"))
-    rows = moments.join(ends, "game_id", "right")
-
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, target = int(pdf["n"].iloc[0]), float(pdf["target"].iloc[0])
-        gram, rhs = np.zeros((n, n)), np.zeros(n)
-        seen = pdf.dropna(subset=["i"])
-        i, j = seen["i"].to_numpy(int), seen["j"].to_numpy(int)
-        gram[i, j] = seen["count"].to_numpy(float)
-        own = i == j
-        rhs[i[own]] = seen["total"].to_numpy(float)[own]
-        share = constrained_fit(gram, rhs, target, ridge)
-        return pd.DataFrame({"game_id": key[0], "player": np.arange(n), "share": share})
-
-    return rows.repartition(shuffle_partitions(), "game_id").groupBy("game_id").applyInPandas(
-        solve, "game_id BIGINT, player INT, share DOUBLE")
+    packed = moments.groupBy("game_id").agg(*[F.collect_list(c).alias(c) for c in ("i", "j", "count", "total")])
+    packed = ends.join(packed, "game_id", "left").repartition(shuffle_partitions(), "game_id")
+
+    def solve(batches):
+        for pdf in batches:
+            games, players, shares = [], [], []
+            for r in pdf.itertuples(index=False):
+                n = int(r.n)
+                gram, rhs = np.zeros((n, n)), np.zeros(n)
+                if r.i is not None:
+                    gram[r.i, r.j] = r.counts
+                    own = r.i == r.j
+                    rhs[r.i[own]] = r.total[own]
+                games.append(np.full(n, r.game_id))
+                players.append(np.arange(n))
+                shares.append(constrained_fit(gram, rhs, float(r.target), ridge))
+            if games:
+                yield pd.DataFrame({"game_id": np.concatenate(games), "player": np.concatenate(players), "share": np.concatenate(shares)})
+
+    return packed.withColumnRenamed("count", "counts").mapInPandas(solve, "game_id BIGINT, player INT, share DOUBLE")
 
 
 def constrained_fit(gram: np.ndarray, rhs: np.ndarray, target: float, ridge: float) -> np.ndarray:
