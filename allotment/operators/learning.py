@@ -1,0 +1,115 @@
+"""Utilities that train a small model on a coalition's data and score it.
+
+Players are shards of training rows. Nearest centroid needs only per-shard label sums, so
+it is joins and sums. Logistic models are fitted one coalition per row, on the class means of
+its shards.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def shard_sums(train: DataFrame) -> DataFrame:
+    """Per (player, label, feature): rows and feature sum of the shard, in one partial aggregation."""
+    long = train.select("player", "label", F.posexplode("features").alias("feature", "x"))
+    return long.groupBy("player", "label", "feature").agg(F.count(F.lit(1)).alias("rows"), F.sum("x").alias("total"))
+
+
+def centroids(members: DataFrame, sums: DataFrame) -> DataFrame:
+    """Class centroids of every coalition: (sample, label, centroid array, rows)."""
+    met = members.select("sample", "player").join(sums, "player")
+    means = met.groupBy("sample", "label", "feature").agg((F.sum("total") / F.sum("rows")).alias("mean"), F.sum("rows").alias("rows"))
+    return means.groupBy("sample", "label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("feature", "mean"))), lambda e: e["mean"]).alias("centroid"), F.first("rows").alias("rows"))
+
+
+def centroid_accuracy(test: DataFrame, models: DataFrame, samples: int) -> DataFrame:
+    """Share of test points whose nearest centroid has their label; ties go to the lower label.
+
+    A model row packs the centroids of one coalition (labels x features numbers). Test points
+    stay where they are; models, of a size that the data does not change, are joined to them.
+    """
+    packed = models.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("model"))
+    rows = test.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
+    distance = lambda c: F.aggregate(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
+    best = F.array_min(F.transform("model", lambda m: F.struct(F.round(distance(m["centroid"]), 9).alias("d"), m["label"].alias("label"))))
+    hits = rows.join(packed, "sample").withColumn("hit", (best["label"] == F.col("label")).cast("bigint"))
+    return hits.groupBy("sample").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("points")).withColumn(
+        "value", F.col("hits") / F.col("points"))
+
+
+def best_constant(test: DataFrame) -> DataFrame:
+    """Accuracy of the most frequent test label: the value of the empty coalition."""
+    counts = test.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.agg((F.max("rows") / F.sum("rows")).alias("value"))
+
+
+def logistic_models(members: DataFrame, sums: DataFrame, labels: int, seed: str, *, one_pass: bool,
+                    steps: int = 60, rate: float = 0.5) -> DataFrame:
+    """A softmax model per coalition, (sample, weights): one row of feature weights and a bias per label.
+
+    Training uses the shards' class means weighted by their rows, so a coalition row carries at
+    most players x labels vectors whatever the number of training points. one_pass updates once
+    per vector, in an order seeded by the coalition's members; otherwise full gradient steps.
+    A coalition with one class predicts that class.
+    """
+    means = sums.groupBy("player", "label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("feature", (F.col("total") / F.col("rows")).alias("m")))), lambda e: e["m"]).alias("mean"),
+        F.first("rows").alias("rows"))
+    packed = members.select("sample", "player").join(means, "player").groupBy("sample").agg(
+        F.sort_array(F.collect_list(F.struct("player", "label", "rows", "mean"))).alias("cells"))
+
+    def task(batches):
+        from allotment.operators.balanced import generator
+        for pdf in batches:
+            out = []
+            for cells in pdf["cells"]:
+                x = np.array([c["mean"] for c in cells], dtype=float)
+                y = np.array([c["label"] for c in cells], dtype=int)
+                w = np.array([c["rows"] for c in cells], dtype=float)
+                if len(np.unique(y)) == 1:
+                    weights = np.zeros((x.shape[1] + 1, labels))
+                    weights[-1] = np.where(np.arange(labels) == y[0], 0.0, -30.0)
+                else:
+                    order = generator(seed, *sorted({c["player"] for c in cells})).permutation(len(y))
+                    weights = fit_softmax(x[order], y[order], w[order], labels, steps, rate, one_pass)
+                out.append(weights.T.tolist())
+            yield pd.DataFrame({"sample": pdf["sample"], "weights": out})
+
+    return packed.mapInPandas(task, "sample BIGINT, weights ARRAY<ARRAY<DOUBLE>>")
+
+
+def logistic_scores(test: DataFrame, models: DataFrame, samples: int) -> DataFrame:
+    """Accuracy and mean log-likelihood of every model on all test rows."""
+    rows = test.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
+    dot = lambda w: F.aggregate(F.zip_with(F.concat("features", F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    logits = rows.join(models, "sample").select("sample", "label", F.inline(F.array(F.struct(F.transform("weights", dot).alias("z")))))
+    top = F.array_max("z")
+    spread = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("z")))
+    own = F.col("z")[F.col("label")]
+    scored = logits.select("sample", (own == top).cast("bigint").alias("hit"), (own - top - F.log(spread)).alias("ll"))
+    return scored.groupBy("sample").agg(F.avg("hit").alias("accuracy"), F.avg("ll").alias("log_likelihood"))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def fit_softmax(x, y, w, labels, steps, rate, one_pass=False):
+    """Weighted gradient descent; one_pass makes one update per row instead."""
+    x = np.column_stack([x, np.ones(len(x))])
+    hot = np.eye(labels)[y]
+    weights = np.zeros((x.shape[1], labels))
+    share = (w / w.sum())[:, None]
+    if one_pass:
+        for i in range(len(x)):
+            weights += rate * share[i] * np.outer(x[i], hot[i] - softmax(x[i:i + 1] @ weights)[0])
+        return weights
+    for _ in range(steps):
+        weights += rate * x.T @ (share * (hot - softmax(x @ weights)))
+    return weights
