@@ -14,7 +14,7 @@ from allotment.operators import designs as D
 from allotment.operators import estimators as E
 from allotment.operators import exact as X
 from allotment.operators import utilities as U
-from allotment.sources import results as R
+from allotment.sources.shared import cut
 
 T, REPEATS, DRAWS = 24, 3, 40
 GROUP = A.GROUP
@@ -49,7 +49,8 @@ def scored(spark, folder):
 
 
 def cells(spark, folder):
-    return A.cells(scored(spark, folder))
+    """The cell table, written once: reports read it several times."""
+    return cut(A.cells(scored(spark, folder)), "cells")
 
 
 EST_SQL = q.with_(q.game("max"), q.ordered(T, "rep"), q.path_values(), """br AS (SELECT *, CASE WHEN abs(full_value - value) <= 0.001*abs(full_value) THEN 0 ELSE 1 END AS away FROM pm),
@@ -116,7 +117,7 @@ sp AS (SELECT game_id, method, repeat, budget_index, CASE WHEN stddev_pop(rv) >
 def rank_correlation(spark, folder):
     # Estimates are rounded first so that equal averages tie whatever the order of summation.
     rows = scored(spark, folder).withColumn("value", F.round("value", 6)).withColumn("truth", F.round("truth", 6))
-    return tidied(A.rank_correlation(rows), [], 4)
+    return tidied(A.rank_correlation(rows, wide=max_game(spark, folder).hot is not None), [], 4)
 
 
 ORACLE_ROUND = ("FROM sc),", "FROM (SELECT * REPLACE (round(value, 6) AS value, round(truth, 6) AS truth) FROM sc) r),")
@@ -129,7 +130,7 @@ ORACLES["rank_correlation"] = ORACLES["rank_correlation"].replace(*ORACLE_ROUND)
   row_number() OVER (PARTITION BY game_id, method, repeat, budget_index ORDER BY round(truth, 6) DESC, player) <= 5 AS b FROM sc),
 to1 AS (SELECT game_id, method, repeat, budget_index, count(*) FILTER (WHERE a AND b)/CAST(least(count(*), 5) AS DOUBLE) AS o FROM tp GROUP BY 1, 2, 3, 4)""" + by_group([("mean_top_overlap", "avg(o)")], "to1"))
 def top_overlap(spark, folder):
-    rows = scored(spark, folder).withColumn("value", F.round("value", 6)).withColumn("truth", F.round("truth", 6))
+    rows = cut(scored(spark, folder).withColumn("value", F.round("value", 6)).withColumn("truth", F.round("truth", 6)), "scored")
     return tidied(A.top_overlap(rows), [], 4)
 
 
@@ -255,7 +256,7 @@ def design_errors(spark, folder):
     gaps = paths.groupBy("game_id", "repeat", "player").agg((F.avg("pos") - (F.first("n") + 1) / 2).alias("g"))
     errors = gaps.groupBy("game_id", "repeat").agg(F.round(F.sqrt(F.avg(F.col("g") * F.col("g"))), 6).alias("design_error"))
     rows = cells_clean(spark, folder).withColumn("rmse", F.round("rmse", 6)).join(errors, ["game_id", "repeat"])
-    return rows.where("design_error > 0 and rmse > 0")
+    return cut(rows.where("design_error > 0 and rmse > 0"), "design-errors")
 
 
 @query("design_error_correlation", CLEAN_SQL + DESIGN_SQL + """, rk3 AS (SELECT *, rank() OVER (PARTITION BY method, budget_index ORDER BY design_error) + (count(*) OVER (PARTITION BY method, budget_index, design_error) - 1)/2.0 AS rx,
@@ -367,9 +368,9 @@ def modelled_time(spark, folder):
 
 @query("reference_quantiles", q.with_(q.game("max"), EXACT_ORDERS) + "SELECT game_id, " + ", ".join(f"{q.tidy(f'quantile_cont(abs(share), {p})')} AS q{int(p*100):02d}" for p in (0, 0.25, 0.5, 0.75, 1)) + " FROM ex GROUP BY 1")
 def reference_quantiles(spark, folder):
-    points = (0.0, 0.25, 0.5, 0.75, 1.0)
-    out = truth(spark, folder).groupBy("game_id").agg(*[F.percentile(F.abs("share"), F.lit(p)).alias(f"q{int(p * 100):02d}") for p in points])
-    return tidied(out, [], 4)
+    points = {f"q{int(p * 100):02d}": p for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
+    sizes = truth(spark, folder).select("game_id", F.abs("share").alias("size"))
+    return tidied(A.exact_quantiles(sizes, ["game_id"], "size", points), [], 4)
 
 
 @query("interpolated_error", CLEAN_SQL + """, su AS (SELECT game_id, method, sqrt(avg(mse) FILTER (WHERE budget_index = 0)) AS y0, sqrt(avg(mse) FILTER (WHERE budget_index = 1)) AS y1 FROM ce GROUP BY 1, 2)

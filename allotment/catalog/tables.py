@@ -19,6 +19,7 @@ from allotment.operators.skew import Split
 from allotment.sources import features as P
 from allotment.sources import results as R
 from allotment.sources import tables as S
+from allotment.sources.shared import scratch
 
 SHARDS, SAMPLES = 20, 24
 
@@ -78,7 +79,7 @@ def standardised_features(spark, folder):
 @query("csv_round_trip", q.with_(q.game("max"), EXACT_ORDERS) + f"SELECT game_id, player, {q.tidy('share')} AS share FROM ex")
 def csv_round_trip(spark, folder):
     exact = X.airport_shares(S.customer_orders(spark, folder).rows().select("game_id", "player", "cost"))
-    return R.write_csv(exact.select("game_id", "player", tidy(F.col("share")).alias("share")), R.scratch(spark, "exact-values"))
+    return R.write_csv(exact.select("game_id", "player", tidy(F.col("share")).alias("share")), scratch(spark, "exact-values"))
 
 
 DONE_SQL = ", dn AS (SELECT o_custkey AS game_id, CAST(count(*) % 3 AS INTEGER) AS budget_index FROM orders GROUP BY 1)"

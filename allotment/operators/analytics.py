@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allotment.functions.hashing import order_key
+from allotment.operators.skew import hot_rows
 
 CELL = ["game_id", "method", "repeat", "budget_index"]
 GROUP = ["game_id", "method", "budget_index"]
@@ -59,24 +60,77 @@ def relative_errors(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*CELL).agg(F.avg(ratio).alias("average_relative"), F.max(ratio).alias("maximum_relative"))
 
 
+def cumulative_levels(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, copies, earlier, total): distinct values with the rows before them, for keys of any size.
+
+    Rows collapse to distinct values first. A key with many of them is cut into ranges of the value
+    axis: totals per range, running sums over ranges, then running sums inside a range. No task
+    ever holds a whole large key.
+    """
+    levels = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    stats = levels.groupBy(*keys).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("_levels"),
+                                      F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    width = F.ceil(F.col("_levels") / F.lit(hot_rows()))
+    spot = (F.col(value).cast("double") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    cut_ = levels.join(stats, keys).withColumn("_part", F.least(F.floor(spot * width), width - 1)).drop("_levels", "_low", "_high")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut_.groupBy(*keys, "_part").agg(F.sum("copies").alias("_c")).select(
+        *keys, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut_.withColumn("_local", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    return local.join(parts, [*keys, "_part"]).select(*keys, value, "copies", "total", (F.col("_carried") + F.col("_local")).alias("earlier"))
+
+
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Add the rank of `value` within keys; ties share their mean rank. For keys of any size."""
+    ranks = cumulative_levels(rows, keys, value).select(*keys, value, (F.col("earlier") + (F.col("copies") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles per key, read off cumulative counts: exact for keys of any size."""
+    levels = cumulative_levels(rows, keys, value)
+    reach = F.col("earlier") + F.col("copies")
+
+    def quantile(p: float) -> Column:
+        spot = (F.col("total") - 1) * F.lit(float(p))
+        low = F.min(F.when(reach > F.floor(spot), F.col(value)))
+        high = F.min(F.when(reach > F.ceil(spot), F.col(value)))
+        part = F.first(spot - F.floor(spot))
+        return low + (high - low) * part
+
+    return levels.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in points.items()])
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank with ties sharing their mean rank."""
+    """Rank with ties sharing their mean rank, for keys that fit a window."""
     peers = Window.partitionBy(*keys, value)
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2
 
 
-def rank_correlation(scored: DataFrame) -> DataFrame:
-    """Mean over repeats of the Spearman correlation with the reference; constant sides leave a repeat out."""
-    ranked = scored.withColumn("rv", average_rank("value", CELL)).withColumn("rt", average_rank("truth", CELL))
+def rank_correlation(scored: DataFrame, wide: bool = False) -> DataFrame:
+    """Mean over repeats of the Spearman correlation with the reference; constant sides leave a repeat out.
+
+    wide=True ranks games that are too large for a window.
+    """
+    if wide:
+        ranked = average_ranks(average_ranks(scored, CELL, "value", "rv"), CELL, "truth", "rt")
+    else:
+        ranked = scored.withColumn("rv", average_rank("value", CELL)).withColumn("rt", average_rank("truth", CELL))
     per = ranked.groupBy(*CELL).agg(F.when((F.stddev_pop("rv") > 0) & (F.stddev_pop("rt") > 0), F.corr("rv", "rt")).alias("rho"))
     return per.groupBy(*GROUP).agg(F.avg("rho").alias("mean_spearman"), F.count("rho").alias("defined"))
 
 
 def top_overlap(scored: DataFrame, k: int = 5) -> DataFrame:
-    """Mean over repeats of |top-k of the estimate and of the reference| / min(k, n); ties go to the lower player."""
-    pick = lambda c: F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc(c), "player")) <= k
-    rows = scored.withColumn("a", pick("value")).withColumn("b", pick("truth"))
-    per = rows.groupBy(*CELL).agg((F.sum((F.col("a") & F.col("b")).cast("int")) / F.least(F.count(F.lit(1)), F.lit(k))).alias("share"))
+    """Mean over repeats of |top-k of the estimate and of the reference| / min(k, n); ties go to the lower player.
+
+    Each side is a top-k filter, which Spark applies before the shuffle; only k rows per cell meet.
+    """
+    rank = lambda c: F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc(c), "player"))
+    top = lambda c: scored.withColumn("_r", rank(c)).where(F.col("_r") <= k).select(*CELL, "player")
+    sizes = top("truth").groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"))
+    common = top("value").join(top("truth"), [*CELL, "player"]).groupBy(*CELL).agg(F.count(F.lit(1)).alias("common"))
+    per = sizes.join(common, CELL, "left").withColumn("share", F.coalesce("common", F.lit(0)) / F.col("size"))
     return per.groupBy(*GROUP).agg(F.avg("share").alias("mean_top_overlap"))
 
 
@@ -168,7 +222,7 @@ def rank_configurations(rows: DataFrame, keys: list[str], order: list) -> DataFr
 
 def log_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson of log10 values and Spearman; undefined for fewer than 2 rows, non-positive or constant values."""
-    ranked = rows.withColumn("rx", average_rank(x, keys)).withColumn("ry", average_rank(y, keys))
+    ranked = average_ranks(average_ranks(rows, keys, x, "rx"), keys, y, "ry")
     lx, ly = F.log10(F.when(F.col(x) > 0, F.col(x))), F.log10(F.when(F.col(y) > 0, F.col(y)))
     defined = (F.count(F.lit(1)) >= 2) & (F.min(x) > 0) & (F.min(y) > 0) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return ranked.groupBy(*keys).agg(
@@ -178,10 +232,10 @@ def log_correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFra
 
 def centred_correlation(rows: DataFrame, cell: list[str], x: str, y: str) -> DataFrame:
     """Correlation of logs after removing the mean of every cell."""
-    w = Window.partitionBy(*cell)
-    lx, ly = F.log10(x), F.log10(y)
-    rows = rows.where((F.col(x) > 0) & (F.col(y) > 0)).select((lx - F.avg(lx).over(w)).alias("cx"), (ly - F.avg(ly).over(w)).alias("cy"))
-    return rows.agg(F.corr("cx", "cy").alias("within_correlation"), F.count(F.lit(1)).alias("rows"))
+    logs = rows.where((F.col(x) > 0) & (F.col(y) > 0)).select(*cell, F.log10(x).alias("lx"), F.log10(y).alias("ly"))
+    means = logs.groupBy(*cell).agg(F.avg("lx").alias("mx"), F.avg("ly").alias("my"))
+    centred = logs.join(means, cell).select((F.col("lx") - F.col("mx")).alias("cx"), (F.col("ly") - F.col("my")).alias("cy"))
+    return centred.agg(F.corr("cx", "cy").alias("within_correlation"), F.count(F.lit(1)).alias("rows"))
 
 
 def log_trend(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -238,8 +292,9 @@ def metric_summary(rows: DataFrame, keys: list[str], metrics: list[str]) -> Data
 
 
 def timing_summary(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.avg(seconds).alias("mean"), F.percentile(seconds, F.lit(0.5)).alias("median"),
-                                   F.min(seconds).alias("fastest"), F.max(seconds).alias("slowest"), F.count(seconds).alias("rows"))
+    """Mean, exact median, fastest and slowest per cell of any size."""
+    summary = rows.groupBy(*keys).agg(F.avg(seconds).alias("mean"), F.min(seconds).alias("fastest"), F.max(seconds).alias("slowest"), F.count(seconds).alias("rows"))
+    return summary.join(exact_quantiles(rows, keys, seconds, {"median": 0.5}), keys)
 
 
 def modelled_time(calls: DataFrame, unit_costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ running values are computed in two levels over evenly sized buckets instead.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from typing import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from allotment.functions.hashing import KEY_SPAN
+from allotment.sources.shared import cut
 
 DEFAULT_HOT_ROWS = 1_000_000
 
@@ -26,15 +26,6 @@ def hot_rows() -> int:
     return int(spark.conf.get("spark.allotment.hotRows", str(DEFAULT_HOT_ROWS)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that has several readers to the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 @dataclass
 class Split:
     """Rows of ordinary games and, if there are any, rows of hot games, with the same meaning."""
