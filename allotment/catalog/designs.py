@@ -87,7 +87,7 @@ def boundary_coalitions(spark, folder):
   FROM rk JOIN sz USING (game_id, sample) GROUP BY 1, 2, 3""")
 def complement_pairs(spark, folder):
     rows = D.complement_design(S.customer_orders(spark, folder), T, "pair").rows()
-    side = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("player"))))
+    side = lambda keep: F.sort_array(F.collect_list(F.when(keep, F.col("player"))))
     pairs = rows.groupBy("game_id", "sample", "size").agg(side(F.col("inside")).alias("members"), side(~F.col("inside")).alias("rest"))
     return pairs.select("game_id", "sample", "size", listed().alias("members"), listed("rest").alias("rest"))
 

@@ -398,8 +398,7 @@ arr AS (SELECT sample, term_id, max_by(rk.player, pos) AS player, first(weight)
 SELECT CAST(0 AS BIGINT) AS game_id, CAST(player AS INTEGER) AS player, """ + q.tidy("sum(weight)/4.0/100", 2) + " AS share FROM arr GROUP BY 2")
 def basket_supplier_paths(spark, folder):
     suppliers = S.table(spark, folder, "supplier").select(F.lit(0).cast("bigint").alias("game_id"), F.col("s_suppkey").cast("int").alias("player"))
-    players = suppliers.join(
-        suppliers.groupBy("game_id").agg(F.count(F.lit(1)).cast("int").alias("n")), "game_id")
+    players = suppliers.withColumn("n", F.lit(suppliers.count()))
     paths = D.random_order(Split(players), 4, "basket").rows()
     out = I.path_shares(paths, S.supplier_baskets(spark, folder), 4)
     return shares(out.withColumn("share", F.col("share") / 100), 2)

@@ -241,8 +241,8 @@ def holdout_confirmation(spark, folder):
     out = per_draw.groupBy("budget_index").agg(F.percentile("g", F.lit(0.025)).alias("ratio_low"), F.percentile("g", F.lit(0.5)).alias("ratio_mid"),
                                                F.percentile("g", F.lit(0.975)).alias("ratio_high"))
     seeds = lambda stage: games(spark, folder).select(cell_seed(stage, F.col("game_id")).alias("seed"))
-    shared = seeds("screen").join(seeds("holdout"), "seed", "left_semi").agg(F.count(F.lit(1)).alias("shared_seeds"))
-    return tidied(out, [], 4).join(F.broadcast(shared))
+    shared = seeds("screen").join(seeds("holdout"), "seed", "left_semi").count()
+    return tidied(out, [], 4).withColumn("shared_seeds", F.lit(shared).cast("bigint"))
 
 
 DESIGN_SQL = """, dp AS (SELECT game_id, CAST(sample//8 AS INTEGER) AS repeat, player, avg(pos) - (first(n) + 1)/2.0 AS g FROM rk GROUP BY 1, 2, 3),

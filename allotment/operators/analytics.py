@@ -136,7 +136,7 @@ def top_overlap(scored: DataFrame, k: int = 5) -> DataFrame:
 
 def repeat_arrays(cell_rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Values by repeat in one array per key (as many entries as repeats)."""
-    pairs = F.array_sort(F.collect_list(F.struct("repeat", value)))
+    pairs = F.sort_array(F.collect_list(F.struct("repeat", value)))
     return cell_rows.groupBy(*keys).agg(F.transform(pairs, lambda p: p[value]).alias(name))
 
 

@@ -312,12 +312,12 @@ def expand_orbits(bases: DataFrame, seed: str, per_size: bool = True) -> DataFra
     n = F.col("n")
     parts = [F.lit("relabel"), F.col("game_id")] + ([F.col("size")] if per_size else [])
     labels = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(order_key(seed, *parts, p).alias("k"), p.alias("p")))),
+        F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(order_key(seed, *parts, p).alias("k"), p.alias("p")))),
         lambda e: e["p"])
     shifted = bases.withColumn("labels", labels).withColumn("shift", F.explode(F.sequence(F.lit(0), n - 1)))
     moved = F.transform("members", lambda m: F.col("labels")[(m + F.col("shift")) % n])
     return shifted.select("game_id", "design", "n", (F.col("sample") * n + F.col("shift")).alias("sample"), "size",
-                          F.array_sort(moved).alias("members"))
+                          F.sort_array(moved).alias("members"))
 
 
 def fill_pairs(partitions: DataFrame, seed: str) -> DataFrame:

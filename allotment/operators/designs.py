@@ -144,7 +144,7 @@ def scheduled_design(players: Split, schedule: DataFrame, samples: int | Column,
 def coalition_arrays(sampled: DataFrame, carry: list[str] = ()) -> DataFrame:
     """One row per coalition with its sorted members, for designs whose n fits in a row."""
     return sampled.where("inside").groupBy("game_id", "sample", "size").agg(
-        F.array_sort(F.collect_list("player")).alias("members"), *[F.first(c).alias(c) for c in carry])
+        F.sort_array(F.collect_list("player")).alias("members"), *[F.first(c).alias(c) for c in carry])
 
 
 def size_law_table(games: DataFrame, law: SizeLaw) -> DataFrame:
@@ -170,7 +170,7 @@ def boundary_coalitions(players: DataFrame) -> DataFrame:
 def hash_permutation(n: Column, *parts) -> Column:
     """A permutation of 0..n-1 inside a row, ordered by hash."""
     return F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(order_key(*parts, p).alias("k"), p.alias("p")))),
+        F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(order_key(*parts, p).alias("k"), p.alias("p")))),
         lambda e: e["p"])
 
 
@@ -178,7 +178,7 @@ def _first_fixed(n: Column, *parts) -> Column:
     """A hash-ordered permutation that keeps 0 in front."""
     keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(
         F.when(p == 0, F.lit(-1)).otherwise(order_key(*parts, p)).alias("k"), p.alias("p")))
-    return F.transform(F.array_sort(keyed), lambda e: e["p"])
+    return F.transform(F.sort_array(keyed), lambda e: e["p"])
 
 
 def latin_square(games: DataFrame, blocks: int | Column, seed: str) -> DataFrame:
@@ -233,7 +233,7 @@ def candidate_pool(games: DataFrame, size: Column, pool: int, seed: str, used: D
     """Distinct coalitions of a size per game that are not in `used` (game_id, members)."""
     drawn = games.withColumn("size", size.cast("int")).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(pool - 1))))
     order = hash_permutation(F.col("n"), seed, F.col("game_id"), F.col("candidate"))
-    drawn = drawn.withColumn("members", F.array_sort(F.slice(order, F.lit(1), F.col("size"))))
+    drawn = drawn.withColumn("members", F.sort_array(F.slice(order, F.lit(1), F.col("size"))))
     fresh = drawn.groupBy("game_id", "size", "members").agg(F.min("candidate").alias("candidate"))
     return fresh.join(used.select("game_id", "members"), ["game_id", "members"], "left_anti")
 
@@ -243,21 +243,21 @@ def relabel(coalitions: DataFrame, seed: str) -> DataFrame:
     labels = hash_permutation(F.col("n"), seed, F.lit("relabel"), F.col("game_id"))
     # One-row inline: the labels are computed once per row instead of once per member.
     return coalitions.select("*", F.inline(F.array(F.struct(labels.alias("labels"))))).withColumn(
-        "members", F.array_sort(F.transform("members", lambda m: F.col("labels")[m]))).drop("labels")
+        "members", F.sort_array(F.transform("members", lambda m: F.col("labels")[m]))).drop("labels")
 
 
 def cyclic_orbit(bases: DataFrame) -> DataFrame:
     """All n shifts of every base coalition."""
     n = F.col("n")
     shifted = bases.withColumn("shift", F.explode(F.sequence(F.lit(0), n - 1)))
-    return shifted.withColumn("members", F.array_sort(F.transform("members", lambda m: (m + F.col("shift")) % n)))
+    return shifted.withColumn("members", F.sort_array(F.transform("members", lambda m: (m + F.col("shift")) % n)))
 
 
 def random_bases(games: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
     """Random orbit bases: one uniform coalition per (game, size, orbit); `counts` has game_id, n, size, count."""
     rows = counts.withColumn("orbit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
     order = hash_permutation(F.col("n"), seed, F.lit("base"), F.col("game_id"), F.col("size"), F.col("orbit"))
-    return rows.select("game_id", "n", "size", "orbit", F.array_sort(F.slice(order, F.lit(1), F.col("size"))).alias("members"))
+    return rows.select("game_id", "n", "size", "orbit", F.sort_array(F.slice(order, F.lit(1), F.col("size"))).alias("members"))
 
 
 def partition_blocks(games: DataFrame, seed: str) -> DataFrame:
@@ -267,7 +267,7 @@ def partition_blocks(games: DataFrame, seed: str) -> DataFrame:
     sizes = sizes.withColumn("order", hash_permutation(n, seed, F.lit("sdiff"), F.col("game_id"), s))
     cut = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(n / s).cast("int") - 1)))
     block = F.transform(F.sequence(F.lit(0), s - 1), lambda k: F.col("order")[(F.col("part") * s + k) % n])
-    cut = cut.withColumn("block_members", F.array_sort(block))
+    cut = cut.withColumn("block_members", F.sort_array(block))
     rest = F.filter(F.sequence(F.lit(0), n - 1), lambda p: ~F.array_contains("block_members", p))
     sides = F.array(F.struct(F.lit(0).alias("complement"), F.col("block_members").alias("members")),
                     F.struct(F.lit(1).alias("complement"), rest.alias("members")))
@@ -285,7 +285,7 @@ def predecessor_samples(counts: DataFrame, seed: str) -> DataFrame:
     keyed = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: p != F.col("player")),
         lambda p: F.struct(order_key(seed, F.col("game_id"), F.col("player"), F.col("size"), F.col("draw"), p).alias("k"), p.alias("p")))
-    order = F.transform(F.array_sort(keyed), lambda e: e["p"])
+    order = F.transform(F.sort_array(keyed), lambda e: e["p"])
     return draws.withColumn("predecessors", F.slice(order, F.lit(1), F.col("size")))
 
 

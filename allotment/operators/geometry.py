@@ -197,6 +197,6 @@ def fingerprint(coalitions: DataFrame, bucket: int = 1024) -> DataFrame:
     """Order-sensitive hash of a design (game_id, sample, members): row hashes fold per bucket of samples, then per game."""
     row = F.md5(F.concat_ws("|", F.col("sample").cast("string"), F.concat_ws(",", F.transform("members", lambda m: m.cast("string")))))
     rows = coalitions.select("game_id", "sample", F.floor(F.col("sample") / bucket).alias("part"), row.alias("h"))
-    fold = lambda key: F.md5(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda e: e["h"])))
+    fold = lambda key: F.md5(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(key, "h"))), lambda e: e["h"])))
     parts = rows.groupBy("game_id", "part").agg(fold("sample").alias("h"))
     return parts.groupBy("game_id").agg(fold("part").alias("fingerprint"))

@@ -24,7 +24,7 @@ def centroids(members: DataFrame, sums: DataFrame) -> DataFrame:
     met = members.select("sample", "player").join(sums, "player")
     means = met.groupBy("sample", "label", "feature").agg((F.sum("total") / F.sum("rows")).alias("mean"), F.sum("rows").alias("rows"))
     return means.groupBy("sample", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("feature", "mean"))), lambda e: e["mean"]).alias("centroid"), F.first("rows").alias("rows"))
+        F.transform(F.sort_array(F.collect_list(F.struct("feature", "mean"))), lambda e: e["mean"]).alias("centroid"), F.first("rows").alias("rows"))
 
 
 def centroid_accuracy(test: DataFrame, models: DataFrame, samples: int) -> DataFrame:
@@ -33,7 +33,7 @@ def centroid_accuracy(test: DataFrame, models: DataFrame, samples: int) -> DataF
     A model row packs the centroids of one coalition (labels x features numbers). Test points
     stay where they are; models, of a size that the data does not change, are joined to them.
     """
-    packed = models.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("model"))
+    packed = models.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("label", "centroid"))).alias("model"))
     rows = test.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
     distance = lambda c: F.aggregate(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, d: acc + d)
     best = F.array_min(F.transform("model", lambda m: F.struct(F.round(distance(m["centroid"]), 9).alias("d"), m["label"].alias("label"))))
@@ -58,7 +58,7 @@ def logistic_models(members: DataFrame, sums: DataFrame, labels: int, seed: str,
     A coalition with one class predicts that class.
     """
     means = sums.groupBy("player", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("feature", (F.col("total") / F.col("rows")).alias("m")))), lambda e: e["m"]).alias("mean"),
+        F.transform(F.sort_array(F.collect_list(F.struct("feature", (F.col("total") / F.col("rows")).alias("m")))), lambda e: e["m"]).alias("mean"),
         F.first("rows").alias("rows"))
     packed = members.select("sample", "player").join(means, "player").groupBy("sample").agg(
         F.sort_array(F.collect_list(F.struct("player", "label", "rows", "mean"))).alias("cells"))

@@ -66,7 +66,7 @@ def standardise(points: DataFrame, places: int = 9) -> DataFrame:
     """
     train = points.where("split = 'train'").select(F.posexplode("features").alias("feature", "x"))
     stats = train.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    table = stats.where(F.round("sd", places) > 0).agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "sd"))).alias("stats")).withColumn("one", F.lit(1))
+    table = stats.where(F.round("sd", places) > 0).agg(F.sort_array(F.collect_list(F.struct("feature", "mean", "sd"))).alias("stats")).withColumn("one", F.lit(1))
     joined = points.withColumn("one", F.lit(1)).join(F.broadcast(table), "one").drop("one")
     scaled = F.transform("stats", lambda s: (F.col("features")[s["feature"]] - s["mean"]) / s["sd"])
     return joined.withColumn("kept", F.col("stats.feature")).withColumn("features", scaled).drop("stats")
