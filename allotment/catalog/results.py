@@ -314,7 +314,7 @@ def call_accounting_audit(spark, folder):
     from allotment.plans.budget import truncated_permutations
     rows = reference_paths(spark, folder).rows().withColumn("repeat", F.floor(F.col("sample") / 8).cast("int"))
     actual = rows.groupBy("game_id", "repeat").agg(
-        (F.sum(F.col("evaluated").cast("bigint")) + 2).alias("actual_calls"), F.countDistinct("sample").alias("permutations"))
+        (F.sum(F.col("evaluated").cast("bigint")) + 2).alias("actual_calls"), F.sum((F.col("pos") == 1).cast("bigint")).alias("permutations"))
     plan = games(spark, folder).withColumn("cap", (F.col("n") * 8 + 2).cast("bigint"))
     count, reserved, _ = truncated_permutations(F.col("n"), F.col("cap"))
     joined = actual.join(plan.select("game_id", count.alias("planned"), reserved.alias("target_calls")), "game_id")

@@ -21,7 +21,8 @@ SAMPLE = ["game_id", "block", "sample"]
 
 
 def shuffle_partitions() -> int:
-    return int(SparkSession.getActiveSession().conf.get("spark.sql.shuffle.partitions"))
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(players: Split, samples: int | Column) -> Split:
@@ -216,7 +217,7 @@ def component_array(games: DataFrame, blocks: int | Column, seed: str, max_playe
                  (F.col("row") % (q - 1) + 1).alias("m"), F.posexplode("cols").alias("at", "c"))
     proper = sorted({o for _, o in field_orders(max_players) if is_prime_power(o)[1] > 1})
     cells = [(o, x, y, field_tables(o)[0][x][y], field_tables(o)[1][x][y]) for o in proper for x in range(o) for y in range(o)]
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     table = spark.createDataFrame(cells, "q INT, x INT, y INT, total INT, product INT")
     times = F.broadcast(table.select("q", F.col("x").alias("m"), F.col("y").alias("c"), "product"))
     plus = F.broadcast(table.select("q", F.col("x").alias("a"), F.col("y").alias("_mc"), "total"))

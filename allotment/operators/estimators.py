@@ -9,11 +9,12 @@ shrinks T*n rows to n (or n*sizes) before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allotment.functions.laws import harmonic, inner_total, kernel_total
-from allotment.operators.skew import Split, attach
+from allotment.operators.skew import Split, attach, key_bucket
+from allotment.operators.utilities import Utility, prior_states
 
 GAME = ["game_id"]
 PLAYER = ["game_id", "player"]
@@ -212,12 +213,9 @@ def truncate_paths(paths: Split, tolerance: float = 1e-3, relative: bool = True,
         # The last position away from v(all) before each row starts the current run.
         df = df.withColumn("_away", F.when(away, F.col("pos")))
         if not hot:
-            from pyspark.sql import Window
             w = Window.partitionBy(*sample).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
             df = df.withColumn("_last", F.coalesce(F.max("_away").over(w), F.lit(0)))
         else:
-            from allotment.operators.skew import key_bucket
-            from allotment.operators.utilities import Utility, prior_states
             last = Utility("last", lambda: F.col("_away"), F.max, lambda a, b: F.greatest(a, b), lambda s: s)
             df = prior_states(df, sample, "pos", key_bucket("key", F.col("n")), last, "_prior")
             df = df.withColumn("_last", F.coalesce(F.greatest("_prior", "_away"), F.lit(0))).drop("_prior")
@@ -236,7 +234,7 @@ def truncated_mean(truncated: Split) -> DataFrame:
 def truncation_accounting(truncated: Split, cap: Column) -> DataFrame:
     """Prefixes evaluated, truncation rate, mean prefix, calls and unused calls per game."""
     return truncated.rows().groupBy("game_id").agg(
-        F.countDistinct("sample").alias("permutations"),
+        F.sum((F.col("pos") == 1).cast("bigint")).alias("permutations"),
         F.sum(F.col("evaluated").cast("bigint")).alias("prefixes"),
         F.sum(((F.col("pos") == 1) & F.col("stop").isNotNull()).cast("bigint")).alias("truncated"),
         F.first("n").alias("n"),

@@ -22,7 +22,7 @@ DEFAULT_HOT_ROWS = 1_000_000
 
 def hot_rows() -> int:
     """Rows above which a game is hot (`spark.allotment.hotRows`)."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     return int(spark.conf.get("spark.allotment.hotRows", str(DEFAULT_HOT_ROWS)))
 
 

@@ -69,10 +69,17 @@ def run_moments(spark: SparkSession, blocks: str, work: str, half_pairs: int, ke
         .dropDuplicates(["game_id", "pair", "player"])
     )
     state = reference_moments(arriving, F.col("pair") < half_pairs).select(*COLUMNS)
-    query = (
-        state.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True).foreach(StateFiles(f"{work}/state")).start()
-    )
+    # State is six numbers per player: one state partition per core is plenty. The first start fixes the number.
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        query = (
+            state.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint")
+            .trigger(availableNow=True).foreach(StateFiles(f"{work}/state")).start()
+        )
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
