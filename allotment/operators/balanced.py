@@ -180,7 +180,7 @@ def mean_balance(schedule: DataFrame, lambda0: float, mode: str = "normalized",
 
 def per_size_design(games: DataFrame, samples: int | Column, seed: str, *, pool: int = 64, lambda0: float = 1 / 16,
                     frame_weight: float = 1.0, mode: str = "normalized", name: str = "per_size") -> DataFrame:
-    """INSIDE-Greedy: each size balanced on its own, one relabelling for the whole game."""
+    """Each size balanced on its own, one relabelling for the whole game."""
     schedule = systematic_schedule(games, samples, seed, INNER)
 
     def work(r):
@@ -243,7 +243,7 @@ def stratified_design(games: DataFrame, samples: Column, seed: str, *, pool: int
 
 
 def orbit_base_design(games: DataFrame, orbits: Column, seed: str, *, pool: int = 4, arms: tuple[str, ...] = ("orbit",)) -> DataFrame:
-    """INSIDE-Orbit bases: per size, the base whose signature cancels the sum best.
+    """Orbit bases per size: the base whose signature cancels the sum best.
 
     arms may also ask for 'random_orbit', a control that shares pools and relabelling.
     """
