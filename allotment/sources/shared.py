@@ -11,9 +11,15 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below `spark.checkpoint.dir`; a temporary folder only where none is set."""
+    """A new folder name below `spark.checkpoint.dir`.
+
+    A session in one process (local mode) may go without that setting and gets a temporary folder; on a cluster, whose
+    machines share no local folder, its absence is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault("folder", tempfile.mkdtemp(prefix="allotment-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
