@@ -1,0 +1,137 @@
+"""Repeated lines and sentences across documents: global digests of normalised units, the earliest one stays."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from allotment.llm.arrays import U64, WHITE, Words, byte_table, mix, constants, pieces, range_hash
+
+#: A unit with fewer words is told by its neighbours in the line as well, so chance repeats of short ones stay.
+MIN_WORDS = 8
+#: A whole line may be shorter.
+MIN_LINE_WORDS = 4
+SENTENCE_END = byte_table(b".!?")
+UNITS = "id long, row long, d1 long, d2 long, start int, end int, words int, again boolean"
+
+
+def units(words: Words) -> dict[str, np.ndarray]:
+    """Sentences within lines: first and last word of each, and the words [since, until) its digest is made of."""
+    n = len(words.start)
+    lines = np.zeros(len(words.raw) + 1, dtype=np.int64)
+    np.cumsum(words.raw == 0x0A, out=lines[1:])
+    line = lines[words.start] + words.doc  # a new document is a new line too
+    new_line = np.ones(n, dtype=bool)
+    new_line[1:] = line[1:] != line[:-1]
+    new = new_line.copy()
+    new[1:] |= SENTENCE_END[words.data[words.end[:-1] - 1]]
+    first = np.flatnonzero(new)
+    after = np.append(first[1:], n)
+    count = len(first)
+    opens = np.flatnonzero(new_line[first])                         # units that open a line
+    in_line = np.cumsum(new_line[first]) - 1
+    least, most = opens[in_line], np.append(opens[1:], count)[in_line] - 1
+    a, b = np.arange(count), np.arange(count)
+    while (short := (after[b] - first[a] < MIN_WORDS) & (a > least)).any():
+        a = a - short
+    while (short := (after[b] - first[a] < MIN_WORDS) & (b < most)).any():
+        b = b + short
+    return {"first": first, "after": after, "since": first[a], "until": after[b], "whole": (a == least) & (b == most)}
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            words = Words(piece.column("text"), WHITE)
+            if not len(words.start):
+                continue
+            u, h = units(words), words.hashes()
+            size = u["until"] - u["since"]
+            u = {k: v[(size >= MIN_WORDS) | (u["whole"] & (size >= MIN_LINE_WORDS))] for k, v in u.items()}
+            place = ((u["first"] - u["since"]) * 65536 + (u["after"] - u["first"])).astype(np.uint64)
+            d1 = mix(range_hash(h, u["since"], u["until"]) + place)
+            d2 = mix(range_hash(mix(h ^ constants("second", 1)), u["since"], u["until"]) + place)
+            doc = words.doc[u["first"]]
+            order = np.lexsort((d1, doc))                          # stable, so the earliest of equals comes first
+            again = np.zeros(len(order), dtype=bool)
+            again[order[1:]] = (d1[order[1:]] == d1[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+            points = words.code_points()
+            zero = points[words.bounds[doc]]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id").take(pa.array(doc)), piece.column("row").take(pa.array(doc)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                 pa.array((points[words.start[u["first"]]] - zero).astype(np.int32)), pa.array((points[words.end[u["after"] - 1]] - zero).astype(np.int32)),
+                 pa.array((u["after"] - u["first"]).astype(np.int32)), pa.array(again)],
+                [part.split()[0] for part in UNITS.split(", ")])
+
+
+def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The units to remove: every occurrence but the earliest of a line or sentence that occurs more than once.
+
+    A unit is a sentence of a line, ends told by . ! ? or the line. Its digest (128 bits) is taken of its words with
+    A-Z lower-cased and white space ignored; a unit of fewer than MIN_WORDS words is told together with the sentences
+    before it in the line, then with those behind, so that only the repeat of all of them counts; whole lines may be
+    as short as MIN_LINE_WORDS. Rank is the id, then the place in the text. Returns id, row (xxhash64 of the text),
+    start and end (code points of the original), words, first_id (the document that keeps it) and copies.
+
+    Digests are counted before they are joined, and the join's hot keys can be split. Null, empty and white texts have
+    no units; null ids come last; rows of one id are one document, so its repeated rows keep what the document keeps
+    (`again` tells repeats within a row). Other columns are ignored.
+    """
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+                       F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text"))
+    found = rows.mapInArrow(_units, UNITS)
+    repeats = found.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+    known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
+    return found.join(repeats, ["d1", "d2"]).filter("again or id > first_id").select(
+        known("id").alias(id_column), "row", "start", "end", "words", known("first_id").alias("first_id"), "copies")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans; where one was cut, a single space or line break parts what is left."""
+    parts, at = [], 0
+    for start, end in sorted(spans):
+        parts.append(text[at:start])
+        at = max(at, end)
+    parts.append(text[at:])
+    out, last = [], "\n"
+    for part in parts:
+        cut = part.strip(" \t")
+        if last == "\n":
+            cut = cut.removeprefix("\n")
+        elif cut and cut[0] != "\n":
+            out.append(" ")
+        if cut:
+            out.append(cut)
+            last = cut[-1]
+    return "".join(out).strip("\n")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        cleaned = [t if not s else without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(cleaned, pa.string())], ["id", "row", "text"])
+
+
+def remove_units(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`docs` with the spans cut out of their texts; rows without spans pass as they are, rows left empty go.
+
+    A document is told by id and text, so one row stands for repeated ones where something is cut.
+    """
+    per_row = spans.groupBy(F.col(id_column).alias("id"), "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = docs.withColumn("__row", F.xxhash64(text_column))
+    key = rows[id_column].eqNullSafe(per_row["id"]) & (rows["__row"] == per_row["row"])
+    joined = rows.join(per_row, key, "left")
+    untouched = joined.filter("spans is null").select(*docs.columns)
+    touched = joined.filter("spans is not null")
+    others = [F.col(c) for c in docs.columns if c not in (id_column, text_column)]
+    carried = touched.select(F.col(id_column).alias("id"), F.struct(*[o.alias(f"c{i}") for i, o in enumerate(others)] or [F.lit(0).alias("c0")]).alias("row"),
+                             F.col(text_column).alias("text"), "spans")
+    kind = carried.schema["row"].dataType.simpleString()
+    cleaned = carried.mapInArrow(_cut, f"id long, row {kind}, text string").filter(F.trim("text") != "")
+    back = {id_column: F.col("id").cast(docs.schema[id_column].dataType), text_column: F.col("text")}
+    back |= {c: F.col(f"row.c{i}") for i, c in enumerate(c for c in docs.columns if c not in (id_column, text_column))}
+    return untouched.unionByName(cleaned.select(*[back[c].alias(c) for c in docs.columns]))
