@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches sort out, full shingle sets decide.
 
-Odd sketch: every MinHash sample (number, value) is hashed to one of 512 bits and flips it. Samples that two sets
+Odd sketch: every MinHash sample (number, value) is hashed to one of 1024 bits and flips it. Samples that two sets
 share cancel out in the XOR of their sketches, so its population count tells how many samples differ, and is most
 precise where similarities are high.
 """
@@ -18,7 +18,7 @@ from allotment.llm.arrays import U64, WHITE, Words, constants, mix, pieces
 from allotment.sources.shared import cut
 
 SHINGLE = 5
-BANDS, ROWS, SAMPLES, BITS = 24, 3, 128, 512
+BANDS, ROWS, SAMPLES, BITS = 24, 3, 512, 1024
 NO_ID = (1 << 63) - 1
 
 
@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text",
-                    loosest: float = 0.5) -> DataFrame:
+                    loosest: float = 0.66) -> DataFrame:
     """Every row of `docs` with its set size and the component of similar documents it belongs to.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| on their sets of 5-word shingles; copies of a
@@ -164,13 +164,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     itself included), kept and row (xxhash64 of the text).
 
     1. One pass over the texts gives set size, set name, band keys and odd sketch of each row.
-    2. A bucket holds the classes with one band key. Every class is compared with the smallest class of its buckets
-       whose sketch is nearest: as many pairs as classes, however large a bucket is.
+    2. A bucket holds the classes with one band key. Every class is compared with the hub of its buckets whose sketch is
+       nearest: as many pairs as classes, however large a bucket is. A bucket's hub is the class with the most
+       companions over all its buckets, as an original has among its edited copies.
     3. Links found so far make components. What is left are pairs of one bucket in different components: all of them
-       are compared by sketch (within the join, which Spark can split) and, if near enough, by full sets.
+       are compared by sketch, once, in the first bucket they share (within the join, which Spark can split) and, if
+       near enough, by full sets.
 
-    `loosest` is the similarity below which a sketch ends a comparison; it lies some five standard deviations below
-    the limit, so that full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
+    `loosest` is the similarity below which a sketch ends a comparison; it lies four standard deviations (of 512 samples
+    in 1024 bits) below the limit, so that full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
     null id is larger than every other id, and its component_id is null if no other id is reached. Rows with the same
     id and text share everything; rows with the same id and different texts are documents of their own. Other columns
     are ignored. Set names and shingle hashes have 64 bits.
@@ -182,8 +184,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     spread = classes.select(F.explode("bands").alias("band"), "cid")
-    shared = spread.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).filter("hub != last")
-    members = cut(spread.join(shared.select("band", "hub"), "band"), "members")
+    shared = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(spread.join(shared, "band"), "members")
+    fame = members.groupBy("cid").agg(F.sum("n").alias("fame"))
+    ranked = members.join(fame, "cid")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("fame", "cid")).alias("top")).select("band", F.col("top.cid").alias("hub"))
 
     sketches = classes.select("cid", "sketch")
     limit = most_bits(loosest)
@@ -206,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b", common.alias("common")).filter(
             F.col("common") * 100 >= both * percent).select("a", "b")
 
-    stars = members.filter("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    stars = members.join(hubs, "band").filter("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     first = cut(near(stars).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b"), "pairs")
     links = cut(linked(first), "links")
     roots = cut(components(links), "roots")
@@ -214,11 +219,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    open_rows = cut(placed.join(mixed.select("band"), "band").join(sketches, "cid"), "open")
-    left = open_rows.select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    right = open_rows.select("band", F.col("cid").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-    across = left.join(right, (left.band == right.band) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                       & (differing_bits("sketch_a", "sketch_b") <= limit)).select("a", "b").distinct()
+    open_rows = cut(placed.join(mixed.select("band"), "band").join(classes.select("cid", "bands", "sketch"), "cid"), "open")
+    left, right = (open_rows.select([F.col(c).alias(f"{c}_{side}") for c in open_rows.columns]) for side in "ab")
+    meet = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    across = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
+                       & (differing_bits("sketch_a", "sketch_b") <= limit)
+                       & (F.array_position(meet, True) == F.array_position("bands_a", F.col("band_a"))))
+    across = across.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
