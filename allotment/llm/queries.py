@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from allotment.llm import decontam, langid, near_dedup, packing, repeats
+from allotment.llm import chat, decontam, langid, near_dedup, packing, repeats, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,50 @@ def language(spark, folder):
 def packing_pieces(spark, folder):
     found = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.drop("padded")
+
+
+CONTROL_STRINGS = " + ".join(
+    f"(length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
+
+
+@query("op5_chat_format", f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|turn|><|text|><|end|>') + length(r) + length(t) + length(t) - length(replace(t, chr(92), ''))
+      + {CONTROL_STRINGS})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def chat_format(spark, folder):
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)").withColumn("text", F.lit(said))
+    turns = chat.turns_of_table(table(spark, folder, "conversations")).unionByName(chat.turns_of_table(own))
+    return chat.read_back(chat.formatted(turns))
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op10_url_rules", """
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(a, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(a, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+judged AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM judged""")
+def url_rules(spark, folder):
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS t(host, path, verdict)")
+    return urls.judged(table(spark, folder, "pages"), rules, ["page_id"])
