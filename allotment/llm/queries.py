@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from allotment.llm import chat, decontam, langid, near_dedup, packing, repeats, urls
+from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, packing, repeats, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,9 @@ FROM judged""")
 def url_rules(spark, folder):
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS t(host, path, verdict)")
     return urls.judged(table(spark, folder, "pages"), rules, ["page_id"])
+
+
+@query("op7_main_text")
+def main_text(spark, folder):
+    found = main_text_.main_texts(table(spark, folder, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
