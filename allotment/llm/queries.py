@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, packing, repeats, urls
+from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, neighbours, packing, repeats, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,21 @@ def url_rules(spark, folder):
 def main_text(spark, folder):
     found = main_text_.main_texts(table(spark, folder, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: Order of the chain: what is hard to read, what is toxic, and what is both.
+CATEGORIES = ["low_quality", "toxic", "toxic_low_quality"]
+
+
+@query("op2_toxicity")
+def toxicity_chain(spark, folder):
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select(
+        "doc_id", (F.col("quality") == 0).alias("low_quality"), (F.col("toxic") == 1).alias("toxic"),
+        ((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("toxic_low_quality"))
+    return toxicity.judged(docs, toxicity.fit(docs, labels, CATEGORIES), CATEGORIES, ["doc_id"])
+
+
+@query("op4_nearest")
+def nearest(spark, folder):
+    return neighbours.neighbours(table(spark, folder, "embeddings"))
