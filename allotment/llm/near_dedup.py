@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches sort out, full shingle sets decide.
 
-Odd sketch: every MinHash sample (number, value) is hashed to one of 1024 bits and flips it. Samples that two sets
+Odd sketch: every MinHash sample (number, value) is hashed to one of 2048 bits and flips it. Samples that two sets
 share cancel out in the XOR of their sketches, so its population count tells how many samples differ, and is most
 precise where similarities are high.
 """
@@ -18,7 +18,7 @@ from allotment.llm.arrays import U64, WHITE, Words, constants, mix, pieces
 from allotment.sources.shared import cut
 
 SHINGLE = 5
-BANDS, ROWS, SAMPLES, BITS = 24, 3, 512, 1024
+BANDS, ROWS, SAMPLES, BITS = 24, 3, 512, 2048
 NO_ID = (1 << 63) - 1
 
 
@@ -156,7 +156,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text",
-                    loosest: float = 0.66) -> DataFrame:
+                    loosest: float = 0.665) -> DataFrame:
     """Every row of `docs` with its set size and the component of similar documents it belongs to.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| on their sets of 5-word shingles; copies of a
@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
        are compared by sketch, once, in the first bucket they share (within the join, which Spark can split) and, if
        near enough, by full sets.
 
-    `loosest` is the similarity below which a sketch ends a comparison; it lies four standard deviations (of 512 samples
-    in 1024 bits) below the limit, so that full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
+    `loosest` is the similarity below which a sketch ends a comparison; it lies nearly four standard deviations (of 512
+    samples in 2048 bits) below the limit, so that full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
     null id is larger than every other id, and its component_id is null if no other id is reached. Rows with the same
     id and text share everything; rows with the same id and different texts are documents of their own. Other columns
     are ignored. Set names and shingle hashes have 64 bits.
@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
     spread = classes.select(F.explode("bands").alias("band"), "cid")
-    shared = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")  # written, so that the join's hot keys can be split
     members = cut(spread.join(shared, "band"), "members")
     fame = members.groupBy("cid").agg(F.sum("n").alias("fame"))
     ranked = members.join(fame, "cid")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("fame", "cid")).alias("top")).select("band", F.col("top.cid").alias("hub"))
+    hubs = cut(ranked.groupBy("band").agg(F.max(F.struct("fame", "cid")).alias("top")).select("band", F.col("top.cid").alias("hub")), "hubs")
 
     sketches = classes.select("cid", "sketch")
     limit = most_bits(loosest)
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough; texts are read again for the classes in question."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        asked = pairs.select(F.col("a").alias("cid")).distinct().unionByName(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
         wanted = classes.join(asked, "cid").select(F.col("rep").alias("id"), "cid")
         sets = rows.join(wanted, "id").select("cid", "text").mapInArrow(_sets, "cid long, found long, members array<long>")
         sets = cut(sets.filter("cid = found").select("cid", "members").dropDuplicates(["cid"]), "sets")
@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    open_rows = cut(placed.join(mixed.select("band"), "band").join(classes.select("cid", "bands", "sketch"), "cid"), "open")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("band")
+    open_rows = cut(placed.join(cut(mixed, "mixed"), "band").join(classes.select("cid", "bands", "sketch"), "cid"), "open")
     left, right = (open_rows.select([F.col(c).alias(f"{c}_{side}") for c in open_rows.columns]) for side in "ab")
     meet = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     across = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
