@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from allotment.llm.arrays import U64, WHITE, Words, byte_table, mix, constants, pieces, range_hash
+from allotment.llm.arrays import WHITE, Words, byte_table, constants, mix, pieces, range_hash
+from allotment.sources.shared import cut
 
 #: A unit with fewer words is told by its neighbours in the line as well, so chance repeats of short ones stay.
 MIN_WORDS = 8
@@ -85,6 +86,7 @@ def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = rows.mapInArrow(_units, UNITS)
     repeats = found.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
     known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
+    repeats = cut(repeats, "repeats")  # written, so that the join's hot keys can be split
     return found.join(repeats, ["d1", "d2"]).filter("again or id > first_id").select(
         known("id").alias(id_column), "row", "start", "end", "words", known("first_id").alias("first_id"), "copies")
 
