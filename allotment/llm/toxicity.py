@@ -13,24 +13,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from allotment.llm.arrays import NOT_WORD, U64, Words, pieces
+from allotment.llm.arrays import NOT_WORD, U64, Words, constants, pieces, range_hash
 
-#: Hashed words; a text's features are the words it holds, however often.
-DIMS = 1 << 18
+#: A text's features are the words and the stems (first bytes) of words that it holds, however often, hashed.
+DIMS = 1 << 20
+STEMS = (4, 5, 6, 7, 8)
 #: Labelled rows that training looks at.
 TRAIN_ROWS = 6000
 FOLDS, LEAST_ROWS, PENALTY, STEPS = 3, 4, 1.0, 120
 
 
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and word number of every distinct (hashed) word of each text, of those in `wanted` if given."""
+    """Text number and feature number of every distinct word and stem of each text, of those in `wanted` if given."""
     words = Words(column, NOT_WORD)
-    number = (words.hashes() % U64(DIMS)).astype(np.int64)
-    doc = words.doc
-    if wanted is not None:
-        some = wanted[number]
-        number, doc = number[some], doc[some]
-    pairs = np.unique(doc * DIMS + number)
+    letters = constants("byte", 256)[words.data]
+    found = []
+    for k, salt in zip((0, *STEMS), constants("stem", len(STEMS) + 1)):
+        own = words.end - words.start > k
+        start = words.start[own]
+        number = ((range_hash(letters, start, start + k if k else words.end[own]) ^ salt) % U64(DIMS)).astype(np.int64)
+        doc = words.doc[own]
+        if wanted is not None:
+            some = wanted[number]
+            number, doc = number[some], doc[some]
+        found.append(np.unique(doc * DIMS + number))
+    pairs = np.unique(np.concatenate(found))
     return pairs // DIMS, pairs % DIMS
 
 
