@@ -20,9 +20,9 @@ from allotment.sources.shared import cut
 #: Rows of the sample that centroids are fitted on (fewer for long vectors), and rows of a list on average.
 SAMPLE, SAMPLE_NUMBERS, LIST_ROWS = 20_000, 8_000_000, 256
 #: A row is also in lists whose centroid is at most this much farther than the nearest, up to COPIES lists.
-BOUNDARY, COPIES = 1.15, 4
+BOUNDARY, COPIES = 1.03, 4
 #: A query reads lists at most this much farther than the nearest, of those a walk with this beam has found.
-RATIO, BEAM, LEAST_LISTS, GRAPH_LINKS = 1.35, 96, 12, 12
+RATIO, BEAM, LEAST_LISTS, GRAPH_LINKS = 1.15, 96, 12, 12
 #: Rows of one list that one task looks at together.
 SHARD_ROWS = 8192
 
