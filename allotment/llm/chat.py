@@ -114,9 +114,10 @@ def turns_of_records(records: DataFrame, key: str, record: str) -> DataFrame:
 
 def turns_of_table(table: DataFrame, key: str = "conv_id") -> DataFrame:
     """Canonical turns of a table in one layout, told by its schema: conv_id, turn, role, text. Extra columns are ignored."""
-    layout = MAPPINGS.get(fingerprint(schema_paths(table.schema)))
+    paths = schema_paths(table.schema)
+    layout = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint(paths - {key}))
     if layout is None:
-        raise ValueError("no mapping for the field paths " + ", ".join(sorted(schema_paths(table.schema))))
+        raise ValueError("no mapping for the field paths " + ", ".join(sorted(paths)))
     if "rows" in layout:
         conv, turn, role, text = (F.col(c) for c in layout["rows"])
     elif "list" in layout:

@@ -56,8 +56,10 @@ class Network:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on the cross entropy; gradients reach only the bytes under each filter's largest answer."""
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = 4, steps: int = 1200, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam on the cross entropy, for `epochs` rounds, or more until there are `steps` steps; gradients reach only the bytes
+    under each filter's largest answer."""
+    epochs = max(epochs, -(-steps // -(-len(windows) // batch)))
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     weights, bias = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)

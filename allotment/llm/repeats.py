@@ -123,15 +123,14 @@ def remove_units(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", t
 
     A document is told by id and text, so one row stands for repeated ones where something is cut.
     """
-    per_row = spans.groupBy(F.col(id_column).alias("id"), "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    per_row = spans.groupBy(F.col(id_column).alias("__id"), F.col("row").alias("__of")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     rows = docs.withColumn("__row", F.xxhash64(text_column))
-    key = rows[id_column].eqNullSafe(per_row["id"]) & (rows["__row"] == per_row["row"])
-    joined = rows.join(per_row, key, "left")
-    untouched = joined.filter("spans is null").select(*docs.columns)
-    touched = joined.filter("spans is not null")
+    joined = rows.join(per_row, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left")
+    untouched = joined.filter("__spans is null").select(*docs.columns)
+    touched = joined.filter("__spans is not null")
     others = [F.col(c) for c in docs.columns if c not in (id_column, text_column)]
     carried = touched.select(F.col(id_column).alias("id"), F.struct(*[o.alias(f"c{i}") for i, o in enumerate(others)] or [F.lit(0).alias("c0")]).alias("row"),
-                             F.col(text_column).alias("text"), "spans")
+                             F.col(text_column).alias("text"), F.col("__spans").alias("spans"))
     kind = carried.schema["row"].dataType.simpleString()
     cleaned = carried.mapInArrow(_cut, f"id long, row {kind}, text string").filter(F.trim("text") != "")
     back = {id_column: F.col("id").cast(docs.schema[id_column].dataType), text_column: F.col("text")}

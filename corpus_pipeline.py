@@ -9,7 +9,7 @@ from allotment.llm import decontam, langid, near_dedup, packing, repeats
 from allotment.sources.shared import cut
 
 #: A text whose best language has a lower mean probability is no text in a language that was learned.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
