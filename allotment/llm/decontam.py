@@ -65,13 +65,13 @@ def _automaton(items: list) -> tuple:
     return _automata[key]
 
 
-def scan(items: list):
-    """A function on Arrow batches with a column `text` that finds every window in every whole text."""
+def scan(items: list, column: str = "text"):
+    """A function on Arrow batches with a column of texts that finds every window in every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, size = _automaton(items)
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                words = Words(piece.column("text"), NOT_WORD)
+            for piece in pieces(batch, column):
+                words = Words(piece.column(column), NOT_WORD)
                 text, ends = _spaced(words)
                 hit = np.zeros(len(words.start) + 1, dtype=np.int64)
                 ids: dict[int, set] = {}
@@ -136,7 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)] + ["n_words", "n_hit", "items", "spans"]
     groups = item_groups(items, item_id, item_text)
     if len(groups) == 1:
-        return texts.mapInArrow(scan(groups[0]), f"{carried}, {FOUND}").select(*names)
+        own = f"k{keep.index(text_column)}" if text_column in keep else "text"  # a text goes to Python once
+        return (texts.drop("text") if text_column in keep else texts).mapInArrow(scan(groups[0], own), f"{carried}, {FOUND}").select(*names)
     texts = cut(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     found = [texts.select("row", "text").mapInArrow(scan(group), f"row long, {FOUND}") for group in groups]
     merged = reduce(DataFrame.unionByName, found).groupBy("row").agg(

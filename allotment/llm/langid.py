@@ -122,11 +122,11 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return train(np.frombuffer(b"".join(bytes_), np.uint8).reshape(-1, WINDOW), np.array(labels), langs)
 
 
-def applied(network: Network | None):
+def applied(network: Network | None, text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                data, bounds = text_bytes(piece.column("text"))
+            for piece in pieces(batch, text):
+                data, bounds = text_bytes(piece.column(text))
                 sizes = np.diff(bounds)
                 count = np.maximum(1, -(-sizes // WINDOW))
                 out = np.zeros(int(count.sum()) * WINDOW, dtype=np.uint8)
@@ -152,9 +152,9 @@ def predict(docs: DataFrame, network: Network | None, keep: list[str], text_colu
     """
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-                       F.col(text_column).alias("text"))
+                       *([] if text_column in keep else [F.col(text_column).alias("text")]))  # a text goes to Python once
     schema = ", ".join([f"k{i} {kind}" for i, kind in enumerate(kinds)] + ["letters boolean", "lang_pred string", "score double"])
-    found = rows.mapInArrow(applied(network), schema)
+    found = rows.mapInArrow(applied(network, f"k{keep.index(text_column)}" if text_column in keep else "text"), schema)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
                         F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
                         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))

@@ -24,7 +24,7 @@ SENTENCE_CUT, INNER_CUT = 8, 64
 #: Tokens looked at together; what a look leaves open goes into the next one, so the bound costs no padding.
 LOOK = 1 << 19
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh.
-TABLE = 600_000
+TABLE = 400_000
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long")
 _SENTENCE = re.compile(r"[.!?]+[\"')\]]*$")
 _tokenizers: dict[str, object] = {}

@@ -113,9 +113,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-        cleaned = [t if not s else without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(cleaned, pa.string())], ["id", "row", "text"])
+        for piece in pieces(batch, "text"):
+            texts, lists = piece.column("text").to_pylist(), piece.column("spans")
+            found = lists.flatten()
+            start, end = (found.field(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            cleaned = [without(t, list(zip(start[i:j], end[i:j]))) for t, i, j in zip(texts, at, at[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("row"), pa.array(cleaned, pa.string())], ["id", "row", "text"])
 
 
 def remove_units(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
