@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from allotment.llm.arrays import pieces, text_bytes
+from allotment.llm.sampling import smallest
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -110,7 +111,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     cut = F.transform(starts, lambda s: F.substring(F.encode(F.col(text_column), "UTF-8"), s + 1, F.lit(WINDOW)))
     sample = labelled.filter(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}")).select(
         F.xxhash64(F.lit("language"), F.col(id_column), F.xxhash64(text_column)).alias("place"), F.col(lang_column).alias("lang"), cut.alias("windows"))
-    found = sample.orderBy("place", "lang").limit(rows).collect()
+    found = smallest(sample, "place", rows, labelled.filter(F.col(lang_column).isNotNull()).count()).collect()
     if not found:
         return None
     langs = sorted({r.lang for r in found})

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from allotment.llm.sampling import smallest
 from allotment.sources.shared import cut
 
 #: Rows of the sample that centroids are fitted on (fewer for long vectors), and rows of a list on average.
@@ -203,7 +204,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str
     if not facts.n:
         return spark.createDataFrame([], schema)
     bound = max(1, min(SAMPLE, SAMPLE_NUMBERS // facts.size))
-    sample = matrix(rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(bound).select("vector").toArrow().column("vector"))
+    sample = matrix(smallest(rows.withColumn("place", F.xxhash64(F.lit("sample"), "vec_id", "vector")), "place", bound, facts.n).select("vector").toArrow().column("vector"))
     lists = max(1, min(facts.n // LIST_ROWS, len(sample) // 4))
     centroids = balanced_centroids(sample, lists)
     placed = cut(rows.mapInArrow(_place(centroids), "list int, vec_id long, vector array<double>"), "lists")

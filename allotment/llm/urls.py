@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from allotment.llm.sampling import smallest
+
 #: Keys that the range bounds are taken from.
 SAMPLE = 4096
 BIG, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,7 +116,8 @@ def judged(rows: DataFrame, rules: DataFrame, keep: list[str], url_column: str =
                       host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"),
                       F.xxhash64(*keep, url_column).alias("tie")).withColumn("key", reversed_host(F.col("host")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = sorted((r.key, r.tie) for r in url.select("key", "tie").orderBy(F.xxhash64("key", "tie"), "key", "tie").limit(SAMPLE).collect())
+    sample = smallest(url.select("key", "tie", F.xxhash64("key", "tie").alias("place")), "place", SAMPLE, rows.count())
+    sample = sorted((r.key, r.tie) for r in sample.collect())
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     kind = url.schema["row"].dataType.simpleString()
     placed = url.mapInArrow(_ranges(bounds, False), f"part int, row {kind}, host string, path string, tie long, key string")
