@@ -57,6 +57,8 @@ class CandidatePool:
             self.free = np.ones(self.total, dtype=bool)
 
     def draw(self, k: int) -> np.ndarray:
+        if self.table is None and self.total - len(self.used) <= 2 * k:
+            self.list_rest()  # drawing at random would look for the last ones for ever
         if self.table is not None:
             if not self.free.any():
                 self.free[:] = True
@@ -75,6 +77,12 @@ class CandidatePool:
         self.drawn = list(found)
         return np.stack(list(found.values()))
 
+    def list_rest(self) -> None:
+        """Goes on with a table of all subsets, of which the unused are free; nearly all have been held one by one by now."""
+        self.table = all_subsets(self.n, self.size)
+        self.free = np.array([np.packbits(row.astype(bool)).tobytes() not in self.used for row in self.table])
+        self.used.clear()
+
     def take(self, index: int) -> None:
         if self.reuse:
             return

@@ -284,3 +284,19 @@ def test_pair_tiles_match_a_loop(monkeypatch):
     for i, j, (count, total, _) in P.pair_tiles(5, samples, members, values, weights):
         cells.update({(a, b): (c, t) for a, b, c, t in zip(i, j, count, total)})
     assert cells[(2, 2)] == (2, 7.0) and cells[(1, 4)] == (1, 5.0) and (0, 1) not in cells
+
+
+def test_pool_ends_and_uses_every_subset_once():
+    """A slice too large to be listed at first is drawn to its end, each subset once, and starts over."""
+    import numpy as np
+
+    from allotment.operators.balanced import ENUMERATE_UP_TO, CandidatePool
+    pool = CandidatePool(15, 5, np.random.default_rng(0))
+    assert pool.total == 3003 > ENUMERATE_UP_TO
+    seen = set()
+    for _ in range(pool.total):
+        rows = pool.draw(64)
+        assert 1 <= len(rows) <= 64 and (rows.sum(axis=1) == 5).all()
+        seen.add(rows[0].tobytes())
+        pool.take(0)
+    assert len(seen) == pool.total and len(pool.draw(64)) == 64
