@@ -1,10 +1,10 @@
 """Balanced designs: coalitions picked one after another so that the set stays even.
 
-Each pick depends on the picks before it, so one slice (game, size, batch) is a small
-sequential loop. Slices share no state. They are rows of a specification table that
-Spark computes and spreads; every task turns its own specification rows into
-coalitions. A slice with very many rows is cut into batches that are each balanced on
-their own; every row keeps its uniform law through the relabelling.
+Each pick depends on the picks before it, so one slice (a size of a game, or a game where
+one balance runs over all sizes) is a sequential loop from its first row to its last.
+Slices share no state. They are rows of a specification table that Spark computes and
+spreads; every task turns its own specification rows into coalitions. Every row keeps its
+uniform law through the relabelling.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from allotment.functions.laws import INNER, SizeLaw
 from allotment.operators.designs import shuffle_partitions, systematic_schedule
 from allotment.plans.budget import minimum_one_counts
 
-BATCH_ROWS = 4096
 ENUMERATE_UP_TO = 2048
 SCHEMA = "game_id BIGINT, design STRING, n INT, sample BIGINT, size INT, members ARRAY<INT>"
 
@@ -51,17 +50,17 @@ class CandidatePool:
         self.n, self.size, self.rng, self.reuse = n, size, rng, reuse
         self.total = comb(n, size)
         self.used: set[bytes] = set()
-        self.table = None
-        if self.total <= ENUMERATE_UP_TO:
-            self.table = all_subsets(n, size)
-            self.free = np.ones(self.total, dtype=bool)
+        self.start_over()
+
+    def start_over(self) -> None:
+        self.used.clear()
+        self.table = all_subsets(self.n, self.size) if self.total <= ENUMERATE_UP_TO else None
+        self.free = None if self.table is None else np.ones(self.total, dtype=bool)
 
     def draw(self, k: int) -> np.ndarray:
         if self.table is None and self.total - len(self.used) <= 2 * k:
             self.list_rest()  # drawing at random would look for the last ones for ever
         if self.table is not None:
-            if not self.free.any():
-                self.free[:] = True
             left = np.flatnonzero(self.free)
             self.drawn = left if len(left) <= k else np.sort(self.rng.choice(left, k, replace=False))
             return self.table[self.drawn]
@@ -78,20 +77,25 @@ class CandidatePool:
         return np.stack(list(found.values()))
 
     def list_rest(self) -> None:
-        """Goes on with a table of all subsets, of which the unused are free; nearly all have been held one by one by now."""
-        self.table = all_subsets(self.n, self.size)
-        self.free = np.array([np.packbits(row.astype(bool)).tobytes() not in self.used for row in self.table])
-        self.used.clear()
+        """Goes on with a table of the few unused subsets."""
+        rest = []
+        for members in combinations(range(self.n), self.size):
+            row = np.zeros(self.n)
+            row[list(members)] = 1.0
+            if np.packbits(row.astype(bool)).tobytes() not in self.used:
+                rest.append(row)
+        self.table = np.stack(rest)
+        self.free = np.ones(len(rest), dtype=bool)
 
     def take(self, index: int) -> None:
         if self.reuse:
             return
-        if self.table is not None:
-            self.free[self.drawn[index]] = False
-        else:
+        if self.table is None:
             self.used.add(self.drawn[index])
-            if len(self.used) == self.total:
-                self.used.clear()
+            return
+        self.free[self.drawn[index]] = False
+        if not self.free.any():
+            self.start_over()
 
 
 def pick_lowest(scores: np.ndarray, rng: np.random.Generator) -> int:
@@ -166,13 +170,8 @@ def _run(spec: DataFrame, work) -> DataFrame:
 
 
 def _slices(schedule: DataFrame, keys: list[str]) -> DataFrame:
-    """Group a schedule into slices of at most about BATCH_ROWS samples."""
-    batches = F.ceil(F.col("samples") / F.lit(BATCH_ROWS))
-    return (
-        schedule.withColumn("batch", F.col("sample") % batches)
-        .groupBy("game_id", "n", "batch", *keys)
-        .agg(F.sort_array(F.collect_list(F.struct("sample", "size"))).alias("plan"))
-    )
+    """Group a schedule into slices: the samples of a game that share the keys, in order."""
+    return schedule.groupBy("game_id", "n", *keys).agg(F.sort_array(F.collect_list(F.struct("sample", "size"))).alias("plan"))
 
 
 def mean_balance(schedule: DataFrame, lambda0: float, mode: str = "normalized", radial: bool = False) -> DataFrame:
@@ -194,7 +193,7 @@ def per_size_design(games: DataFrame, samples: int | Column, seed: str, *, pool:
     def work(r):
         n, s = int(r.n), int(r.size)
         weight = lambda0 * (1 - 1 / (n - 1)) if mode == "normalized" else lambda0
-        rng = generator(seed, name, r.game_id, s, r.batch)
+        rng = generator(seed, name, r.game_id, s)
         relabel = generator(seed, "relabel", r.game_id).permutation(n)
         rows = greedy_rows(n, [s] * len(r.plan), rng, pool, weight, frame_weight, "size")
         for (sample, _), row in zip(_pairs(r.plan), rows):
@@ -209,7 +208,7 @@ def _pairs(plan):
 
 def coupled_design(games: DataFrame, samples: int | Column, seed: str, *, pool: int = 32, lambda0: float = 1.0,
                    mode: str = "normalized", name: str = "coupled") -> DataFrame:
-    """One weighted operator for all sizes of a batch; batches of a game are independent."""
+    """One weighted operator for all sizes of a game."""
     schedule = systematic_schedule(games, samples, seed, INNER)
 
     def work(r):
@@ -218,7 +217,7 @@ def coupled_design(games: DataFrame, samples: int | Column, seed: str, *, pool:
         weight = lambda0
         if mode == "normalized":
             weight *= (1 - 1 / (n - 1)) * float(np.mean([s * (n - s) for s in sizes]))
-        rng = generator(seed, name, r.game_id, r.batch)
+        rng = generator(seed, name, r.game_id)
         relabel = generator(seed, "relabel", r.game_id).permutation(n)
         for (sample, s), row in zip(plan, greedy_rows(n, sizes, rng, pool, weight, 1.0, "all")):
             yield r.game_id, name, n, sample, s, np.sort(relabel[row]).tolist()
@@ -227,12 +226,8 @@ def coupled_design(games: DataFrame, samples: int | Column, seed: str, *, pool:
 
 
 def counted_slices(games: DataFrame, samples: Column, law: SizeLaw = INNER) -> DataFrame:
-    """Slices (game, size, batch) of the minimum-one allocation; samples are numbered size by size."""
-    counts = minimum_one_counts(games, samples, law)
-    parts = F.ceil(F.col("count") / F.lit(BATCH_ROWS))
-    cut = counts.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    first = F.col("batch") * BATCH_ROWS
-    return cut.withColumn("first", first).withColumn("rows", F.least(F.col("count") - first, F.lit(BATCH_ROWS)).cast("int"))
+    """Slices (game, size) of the minimum-one allocation; samples are numbered size by size."""
+    return minimum_one_counts(games, samples, law).withColumnRenamed("count", "samples_here")
 
 
 def stratified_design(games: DataFrame, samples: Column, seed: str, *, pool: int = 32, lambda0: float = 1.0,
@@ -242,10 +237,10 @@ def stratified_design(games: DataFrame, samples: Column, seed: str, *, pool: int
     def work(r):
         n, s = int(r.n), int(r.size)
         weight = lambda0 * (1 - 1 / (n - 1)) if mode == "normalized" else lambda0
-        rng = generator(seed, name, r.game_id, s, r.batch)
+        rng = generator(seed, name, r.game_id, s)
         relabel = generator(seed, "relabel", r.game_id, s).permutation(n)
-        for i, row in enumerate(greedy_rows(n, [s] * int(r.rows), rng, pool, weight, 1.0, "size")):
-            yield r.game_id, name, n, s * 2**40 + r.first + i, s, np.sort(relabel[row]).tolist()
+        for i, row in enumerate(greedy_rows(n, [s] * int(r.samples_here), rng, pool, weight, 1.0, "size")):
+            yield r.game_id, name, n, s * 2**40 + i, s, np.sort(relabel[row]).tolist()
 
     return _run(counted_slices(games, samples), work)
 
@@ -258,22 +253,22 @@ def orbit_base_design(games: DataFrame, orbits: Column, seed: str, *, pool: int
 
     def work(r):
         n, s = int(r.n), int(r.size)
-        rng = generator(seed, "orbit", r.game_id, s, r.batch)
-        chosen, control = orbit_bases(n, [s] * int(r.rows), rng, pool, weighted=False)
+        rng = generator(seed, "orbit", r.game_id, s)
+        chosen, control = orbit_bases(n, [s] * int(r.samples_here), rng, pool, weighted=False)
         for arm in arms:
             for i, row in enumerate(chosen if arm == "orbit" else control):
-                yield r.game_id, arm, n, s * 2**40 + r.first + i, s, row.tolist()
+                yield r.game_id, arm, n, s * 2**40 + i, s, row.tolist()
 
     return _run(counted_slices(games, orbits), work)
 
 
 def coupled_orbit_bases(games: DataFrame, orbits: Column, seed: str, *, pool: int = 32) -> DataFrame:
-    """Orbit sizes by systematic sampling, one weighted signature over all sizes of a batch."""
+    """Orbit sizes by systematic sampling, one weighted signature over all sizes of a game."""
     schedule = systematic_schedule(games, orbits, seed, INNER)
 
     def work(r):
         n, plan = int(r.n), _pairs(r.plan)
-        rng = generator(seed, "coupled_orbit", r.game_id, r.batch)
+        rng = generator(seed, "coupled_orbit", r.game_id)
         chosen, _ = orbit_bases(n, [int(s) for _, s in plan], rng, pool, weighted=True)
         for (sample, s), row in zip(plan, chosen):
             yield r.game_id, "coupled_orbit", n, sample, s, row.tolist()
@@ -306,9 +301,9 @@ def orthogonal_orders(games: DataFrame, pairs: Column, seed: str) -> DataFrame:
 
 def orthonormal_rows(count: int, n: int, rng) -> np.ndarray:
     """Random orthonormal rows that each sum to zero (count < n)."""
-    basis = np.concatenate([np.full((1, n), n**-0.5), rng.standard_normal((count, n))]).T
-    q, r = np.linalg.qr(basis)
-    return (q * np.where(np.diag(r) < 0, -1.0, 1.0))[:, 1:].T
+    rows = rng.standard_normal((count, n))
+    left, _, right = np.linalg.svd(rows - rows.mean(axis=1, keepdims=True), full_matrices=False)
+    return left @ right  # the orthonormal rows nearest to the centred ones
 
 
 def expand_orbits(bases: DataFrame, seed: str, per_size: bool = True) -> DataFrame:
@@ -338,25 +333,28 @@ def fill_pairs(partitions: DataFrame, seed: str) -> DataFrame:
     def work(r):
         n, size = int(r.n), int(r.size)
         rng = generator(seed, "fill", r.game_id, size)
-        z = np.zeros((len(r.blocks), n))
-        for row, ids in enumerate(r.blocks):
-            z[row, list(ids)] = 1.0
-        seen = (z.T @ (1 - z)) > 0
-        if 2 * size == n:
-            seen |= seen.T
-        np.fill_diagonal(seen, True)
+
+        def missing_after(missing, rows):
+            hit = rows.T @ (1 - rows) > 0
+            return missing & ~(hit | hit.T if 2 * size == n else hit)
+
+        rows = np.zeros((len(r.blocks), n))
+        np.put_along_axis(rows, np.array([list(ids) for ids in r.blocks]), 1.0, axis=1)
+        missing = missing_after(~np.eye(n, dtype=bool), rows)
         added = 0
-        while not seen.all():
-            i, j = divmod(int(np.argmin(seen)), n)
-            rest = np.setdiff1d(np.arange(n), (i, j))
-            inside = np.zeros(n, dtype=bool)
-            inside[i] = True
-            inside[rng.permutation(rest)[: size - 1]] = True
-            seen |= np.outer(inside, ~inside)
-            if 2 * size == n:
-                seen |= np.outer(~inside, inside)
-            yield r.game_id, "sdiff_fill", n, added, size, np.flatnonzero(inside).tolist()
-            added += 1
+        while len(players := np.flatnonzero(missing.any(axis=1))):
+            # One coalition for every player that misses another one: it joins, one of those stays out, chance fills up.
+            each = np.arange(len(players))
+            keys = rng.random((len(players), n))
+            keys[each, (rng.random(keys.shape) * missing[players]).argmax(axis=1)] = 2.0
+            keys[each, players] = -1.0
+            picks = np.argsort(keys, axis=1)[:, :size]
+            rows = np.zeros((len(players), n))
+            np.put_along_axis(rows, picks, 1.0, axis=1)
+            missing = missing_after(missing, rows)
+            for row in np.sort(picks, axis=1):
+                yield r.game_id, "sdiff_fill", n, added, size, row.tolist()
+                added += 1
 
     # At most ceil(n / size) blocks per row.
     spec = partitions.groupBy("game_id", "n", "size").agg(F.sort_array(F.collect_list("members")).alias("blocks"))

@@ -92,9 +92,9 @@ def complement_plan(cap: Column) -> dict[str, Column]:
     return {"pairs": pairs, "calls": pairs * 2, "unused": cap - pairs * 2, "even": cap % 2 == 0}
 
 
-def upstream_rows(n: Column, per_player: Column, mode: Column) -> Column:
+def per_player_rows(n: Column, per_player: Column, mode: Column) -> Column:
     """per_player * n sampled rows, or per_player complete orbits for the orbit modes."""
-    return F.when(mode.isin("orbit", "inside_orbit"), per_player).otherwise(per_player * n).cast("bigint")
+    return F.when(mode.isin("orbit", "complete_orbits"), per_player).otherwise(per_player * n).cast("bigint")
 
 
 def marginal_counts(players: DataFrame, cap: Column, seed: str) -> DataFrame:
@@ -117,7 +117,7 @@ def minimum_one_counts(games: DataFrame, samples: Column, law: SizeLaw) -> DataF
 
     Start at max(1, floor). Missing units go to the largest deficits; surplus units leave
     where the excess is largest, unit by unit, as ranked unit steps (lowest size on ties).
-    Games with fewer samples than sizes get no rows.
+    A game with fewer samples than sizes has no such counts and stops the job.
     """
     per_game = Window.partitionBy("game_id")
     base = (
@@ -127,7 +127,8 @@ def minimum_one_counts(games: DataFrame, samples: Column, law: SizeLaw) -> DataF
         .withColumn("start", F.greatest(F.lit(1), F.floor("target")).cast("bigint"))
         .select("game_id", "n", "samples", "size", "target", "start",
                 F.sum("start").over(per_game).alias("total"), F.count(F.lit(1)).over(per_game).alias("sizes"))
-        .where("samples >= sizes")
+        .withColumn("samples", F.when(F.col("samples") >= F.col("sizes"), F.col("samples")).otherwise(
+            F.raise_error(F.lit("a game has fewer samples than sizes")).cast("bigint")))
     )
     grow = F.col("total") < F.col("samples")
     steps = base.withColumn("k", F.explode(F.sequence(
