@@ -92,7 +92,7 @@ def power_index(players: DataFrame) -> DataFrame:
     weight) are exact integers.
     """
     def rows(players, weights, quota):
-        return players, subset_swings(weights, quota)[0]
+        return players, swing_shares(weights, quota)
 
     return _per_body(players, rows, "player", "share")
 
@@ -118,27 +118,42 @@ def subset_counts(weights, quota: int):
     # C(60, 30) still fits 64 bits; larger bodies need Python integers.
     counts = np.zeros((len(weights) + 1, quota), dtype=np.int64 if len(weights) <= 60 else object)
     counts[0, 0] = 1
-    for done, w in enumerate(int(x) for x in weights):
-        if w < quota:
-            counts[1:done + 2, w:] += counts[:done + 1, :quota - w].copy()
+    return joined_by(counts, weights)
+
+
+def joined_by(counts, weights):
+    """The counts of subset_counts after voters of these weights have joined the body."""
+    counts = counts.copy()
+    for w in map(int, weights):
+        if w < counts.shape[1]:
+            counts[1:, w:] += counts[:-1, :counts.shape[1] - w].copy()
     return counts
 
 
-def subset_swings(weights, quota: int):
-    """(index per player, losing subsets per size). A swing: S loses and S with i wins."""
-    n = len(weights)
-    counts = subset_counts(weights, quota)
-    share = {}
-    for w in sorted({int(x) for x in weights}):
-        # Take one voter of weight w out again: without[s] = counts[s] - shift(without[s-1], w).
-        without = counts[:n].copy()
-        if w < quota:
-            for s in range(1, n):
-                without[s, w:] -= without[s - 1, :quota - w]
-        low = max(0, quota - w)
-        total = sum((Fraction(int(without[s, low:].sum()), n * comb(n - 1, s)) for s in range(n)), Fraction(0))
-        share[w] = float(total)
-    return [share[int(w)] for w in weights], [int(x) for x in counts.sum(axis=1)]
+def swing_shares(weights, quota: int) -> list[float]:
+    """Index per player: the chance, over random orders, that S loses and S with i wins.
+
+    The counts of the body without i come from halving: whoever is in one half of the players still
+    in question needs the other half joined, down to a single player. Equal weights share one answer.
+    """
+    weights = [int(w) for w in weights]
+    n, kinds = len(weights), sorted(set(weights))
+    rest = list(weights)
+    for w in kinds:
+        rest.remove(w)
+    empty = subset_counts([], quota).astype(np.int64 if n <= 60 else object)
+    start = joined_by(np.concatenate([empty, np.zeros((n, quota), dtype=empty.dtype)]), rest)
+    share, open_halves = {}, [(kinds, start)]
+    while open_halves:
+        asked, counts = open_halves.pop()
+        if len(asked) > 1:
+            middle = len(asked) // 2
+            low, high = asked[:middle], asked[middle:]
+            open_halves += [(low, joined_by(counts, high)), (high, joined_by(counts, low))]
+            continue
+        swings = counts[:n, max(0, quota - asked[0]):].sum(axis=1)
+        share[asked[0]] = float(sum(Fraction(int(c), n * comb(n - 1, s)) for s, c in enumerate(swings)))
+    return [share[w] for w in weights]
 
 
 def win_probability_by_size(players: DataFrame) -> DataFrame:
