@@ -14,26 +14,27 @@ from allotment.operators.skew import Split
 from allotment.operators.utilities import Utility, boundary, evaluate, path_values
 
 # Design defaults of the modes (candidate pool, lambda0).
-DEFAULTS = {"inside_greedy": (64, 1 / 16), "inside_orbit": (4, 0.0), "coupled": (32, 1.0),
+DEFAULTS = {"greedy_by_size": (64, 1 / 16), "complete_orbits": (4, 0.0), "coupled": (32, 1.0),
             "stratified": (32, 1.0), "orbit": (32, 0.0)}
-DESIGN_MODES = ["inside_greedy", "inside_orbit", "iid", "coupled", "stratified", "orbit", "iid_linear"]
+DESIGN_MODES = ["greedy_by_size", "complete_orbits", "iid", "coupled", "stratified", "orbit", "iid_linear"]
 BASELINES = ["complementary", "differential", "group_testing", "kernel_shap", "gels", "permutation", "truncated",
              "antithetic", "latin_square", "component_array", "orthogonal"]
 
 
-def attribute(players: Split | DataFrame, utility: Utility, method: str = "inside_greedy", per_player: int = 4,
+def attribute(players: Split | DataFrame, utility: Utility, method: str = "greedy_by_size", per_player: int | Column = 4,
               seed: str = "0", *, pool: int | None = None, lambda0: float | None = None, missing: str = "zero",
               balance_mode: str = "normalized", profile: str | None = "endpoint",
               tolerance: float = 1e-3, patience: int = 5) -> DataFrame:
     """Shares (game_id, player, share) by one of DESIGN_MODES or BASELINES.
 
     `per_player` is the number of sampled calls per player: per_player * n coalitions (or pairs, or
-    permutations of about n calls each), per_player complete orbits for the orbit modes. Design modes
+    permutations of about n calls each), per_player complete orbits for the orbit modes; there it may be
+    a column of the game's n. complete_orbits needs one orbit per inner size, so at least n - 3. Design modes
     need n >= 4. missing='raise' stops on an unseen stratum, 'zero' counts it as 0.
     """
     if method not in DESIGN_MODES + BASELINES:
         raise ValueError(f"unknown method {method!r}")
-    if per_player < 1:
+    if isinstance(per_player, int) and per_player < 1:
         raise ValueError("per_player must be positive")
     if missing not in ("zero", "raise"):
         raise ValueError("missing must be 'zero' or 'raise'")
@@ -57,16 +58,17 @@ def _design(split, utility, method, samples, per_player, seed, pool, lambda0, mi
         k, lam = pool or k, lam if lambda0 is None else lambda0
         rows = split.rows()
         games = rows.where("player = 0").select("game_id", "n")
-        if method == "inside_greedy":
+        orbits = F.lit(per_player) if isinstance(per_player, int) else per_player
+        if method == "greedy_by_size":
             design = G.per_size_design(games, samples, seed, pool=k, lambda0=lam, mode=mode)
         elif method == "coupled":
             design = G.coupled_design(games, samples, seed, pool=k, lambda0=lam, mode=mode)
         elif method == "stratified":
             design = G.stratified_design(games, samples, seed, pool=k, lambda0=lam, mode=mode)
-        elif method == "inside_orbit":
-            design = G.expand_orbits(G.orbit_base_design(games, F.greatest(F.lit(per_player), F.col("n") - 3), seed, pool=k), seed)
+        elif method == "complete_orbits":
+            design = G.expand_orbits(G.orbit_base_design(games, orbits, seed, pool=k), seed)
         else:
-            design = G.expand_orbits(G.coupled_orbit_bases(games, F.lit(per_player), seed, pool=k), seed, per_size=False)
+            design = G.expand_orbits(G.coupled_orbit_bases(games, orbits, seed, pool=k), seed, per_size=False)
         sampled = evaluate(Split(G.sampled_rows(design, rows)), utility)
     if method in ("coupled", "orbit", "iid_linear"):
         return E.linear(sampled, profile)

@@ -208,17 +208,17 @@ def balanced_report(df):
 
 @query("greedy_per_size_design")
 def greedy_per_size_design(spark, folder):
-    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", pool=8))
+    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys"))
 
 
 @query("greedy_mean_only_design")
 def greedy_mean_only_design(spark, folder):
-    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", pool=8, frame_weight=0.0, name="mean_only"))
+    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", frame_weight=0.0, name="mean_only"))
 
 
 @query("greedy_frame_only_design")
 def greedy_frame_only_design(spark, folder):
-    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", pool=8, lambda0=0.0, name="frame_only"))
+    return balanced_report(G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", lambda0=0.0, name="frame_only"))
 
 
 @query("mean_balance_normalised", q.with_(GAMES_SQL, q.law("inner", "gm"), SYSTEMATIC_SQL) + f"""SELECT game_id, {q.tidy('avg(size*(n-size))', 6)} AS mean_weight_squared,
@@ -231,12 +231,12 @@ def mean_balance_normalised(spark, folder):
 
 @query("coupled_frame_design")
 def coupled_frame_design(spark, folder):
-    return balanced_report(G.coupled_design(inner_games(spark, folder), F.col("n") * 3, "sys", pool=8))
+    return balanced_report(G.coupled_design(inner_games(spark, folder), F.col("n") * 3, "sys"))
 
 
 @query("stratified_frame_design")
 def stratified_frame_design(spark, folder):
-    return balanced_report(G.stratified_design(inner_games(spark, folder), F.col("n") * 3, "strat", pool=8))
+    return balanced_report(G.stratified_design(inner_games(spark, folder), F.col("n") * 3, "strat"))
 
 
 RELABEL_SQL = """lb AS (SELECT game_id, n, p, row_number() OVER (PARTITION BY game_id ORDER BY {k}, p) - 1 AS i FROM gm, unnest(range(0, n)) r(p))""".format(
@@ -272,7 +272,7 @@ def orbit_frame_design(spark, folder):
 
 @query("orbit_coupled_design")
 def orbit_coupled_design(spark, folder):
-    bases = G.coupled_orbit_bases(inner_games(spark, folder), F.lit(4), "corbit", pool=8)
+    bases = G.coupled_orbit_bases(inner_games(spark, folder), F.lit(4), "corbit")
     return balanced_report(G.expand_orbits(bases, "corbit", per_size=False))
 
 
@@ -285,7 +285,7 @@ def paired_orbit_designs(spark, folder):
 @query("paired_scope_designs")
 def paired_scope_designs(spark, folder):
     g = inner_games(spark, folder)
-    both = G.coupled_design(g, F.col("n") * 3, "sys", pool=8).unionByName(G.per_size_design(g, F.col("n") * 3, "sys", pool=8))
+    both = G.coupled_design(g, F.col("n") * 3, "sys").unionByName(G.per_size_design(g, F.col("n") * 3, "sys"))
     return balanced_report(both)
 
 

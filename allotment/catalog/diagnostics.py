@@ -142,5 +142,5 @@ def design_fingerprint(spark, folder):
 def greedy_design_discrepancy(spark, folder):
     """Frame discrepancy of the balanced per-size design."""
     players = S.at_least(S.customer_orders(spark, folder), 4).rows()
-    design_ = G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys", pool=8)
+    design_ = G.per_size_design(inner_games(spark, folder), F.col("n") * 3, "sys")
     return tidied(Y.frame_discrepancy(Y.inner_frame(G.sampled_rows(design_, players))), [])

@@ -68,7 +68,7 @@ def interaction_values(spark, folder):
     return I.coalition_values(rows, terms, ["game_id", "sample"])
 
 
-PRIORITY_SQL = """pr0 AS (SELECT o_custkey AS game_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, count(*) AS weight,
+PRIORITY_SQL = """pr0 AS (SELECT o_custkey AS game_id, o_orderpriority AS priority, count(*) AS weight,
   sum(CAST(floor(o_totalprice/1000) AS BIGINT)) AS cost FROM orders GROUP BY 1, 2),
 pr AS (SELECT *, CAST(row_number() OVER (PARTITION BY game_id ORDER BY priority) - 1 AS INTEGER) AS player, count(*) OVER (PARTITION BY game_id) AS n,
   sum(weight) OVER (PARTITION BY game_id)//2 + 1 AS quota FROM pr0)"""
@@ -362,13 +362,14 @@ def efficiency_projection(spark, folder):
 
 def attribute_query(method, per_player, places=4):
     def run(spark, folder):
-        least = 4 if method in ("inside_greedy", "inside_orbit", "coupled", "stratified", "orbit") else 1
+        least = 4 if method in ("greedy_by_size", "complete_orbits", "coupled", "stratified", "orbit") else 1
         players = S.at_least(S.customer_orders(spark, folder), least)
-        return shares(attribute(players, U.max_cost(), method, per_player, "api", pool=8 if least == 4 else None), places)
+        least_orbits = F.greatest(F.lit(per_player), F.col("n") - 3) if method == "complete_orbits" else per_player
+        return shares(attribute(players, U.max_cost(), method, least_orbits, "api"), places)
     return run
 
 
-for _m in ("inside_greedy", "inside_orbit", "coupled", "stratified", "orbit"):
+for _m in ("greedy_by_size", "complete_orbits", "coupled", "stratified", "orbit"):
     query(f"attribute_{_m}")(attribute_query(_m, 3))
 
 query("attribute_permutation", q.with_(q.game("max"), q.ordered(3, "api"), q.path_values()) + f"SELECT game_id, player, {q.tidy('avg(marginal)')} AS share FROM pm GROUP BY 1, 2")(

@@ -117,12 +117,12 @@ def plan_minimum_one_counts(spark, folder):
     return counts.select("game_id", "size", tidy(F.col("target"), 6).alias("target"), "count")
 
 
-@query("plan_upstream_rows", q.with_(GAMES_SQL) + """SELECT game_id, mode, CAST(CASE WHEN mode IN ('orbit', 'inside_orbit') THEN 7 ELSE 7*n END AS BIGINT) AS design_rows
-FROM gm, (VALUES ('iid'), ('coupled'), ('stratified'), ('inside_greedy'), ('orbit'), ('inside_orbit')) v(mode)""")
-def plan_upstream_rows(spark, folder):
-    modes = ["iid", "coupled", "stratified", "inside_greedy", "orbit", "inside_orbit"]
+@query("plan_per_player_rows", q.with_(GAMES_SQL) + """SELECT game_id, mode, CAST(CASE WHEN mode IN ('orbit', 'complete_orbits') THEN 7 ELSE 7*n END AS BIGINT) AS design_rows
+FROM gm, (VALUES ('iid'), ('coupled'), ('stratified'), ('greedy_by_size'), ('orbit'), ('complete_orbits')) v(mode)""")
+def plan_per_player_rows(spark, folder):
+    modes = ["iid", "coupled", "stratified", "greedy_by_size", "orbit", "complete_orbits"]
     rows = games(spark, folder).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
-    return rows.select("game_id", "mode", B.upstream_rows(F.col("n"), F.lit(7), F.col("mode")).alias("design_rows"))
+    return rows.select("game_id", "mode", B.per_player_rows(F.col("n"), F.lit(7), F.col("mode")).alias("design_rows"))
 
 
 @query("plan_tuning_grid", q.with_(GAMES_SQL) + """SELECT DISTINCT game_id, lambda0, candidate_pool FROM (

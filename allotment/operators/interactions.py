@@ -42,8 +42,8 @@ def boundary_values(players: DataFrame, terms: DataFrame) -> DataFrame:
     """e = 0, f = all weights, v({i}) = weights of i's own degree-1 terms, v(N without i) = f - weights with i."""
     per_player = terms.groupBy("game_id", "player").agg(
         F.sum(F.when(F.col("degree") == 1, F.col("weight")).otherwise(0)).alias("single_value"),
-        F.sum("weight").alias("_with"), F.sum(F.col("weight") / F.col("degree")).alias("_parts"))
-    full = per_player.groupBy("game_id").agg(F.sum("_parts").alias("full_value"))
+        F.sum("weight").alias("_with"))
+    each = terms.groupBy("game_id", "term_id").agg(F.first("weight").alias("weight"))
+    full = each.groupBy("game_id").agg(F.sum("weight").alias("full_value"))
     joined = players.join(per_player, ["game_id", "player"], "left").join(full, "game_id", "left").fillna(0)
-    return joined.withColumn("full_value", F.round("full_value")).withColumn("empty_value", F.lit(0.0)).withColumn(
-        "without_value", F.col("full_value") - F.col("_with")).drop("_with", "_parts")
+    return joined.withColumn("empty_value", F.lit(0.0)).withColumn("without_value", F.col("full_value") - F.col("_with")).drop("_with")

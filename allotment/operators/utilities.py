@@ -58,7 +58,8 @@ def additive(coef: str = "coef", constant: float = 0.0) -> Utility:
 
 def member_mask(player: str = "player") -> Utility:
     """Bit mask of a coalition (players below 63), the join key of table games."""
-    return Utility("member_mask", lambda: F.expr(f"shiftleft(1L, {player})"), F.sum, _add,
+    return Utility("member_mask", lambda: F.when(F.col(player) < 63, F.expr(f"shiftleft(1L, {player})")).otherwise(
+        F.raise_error(F.lit("a mask holds players below 63")).cast("bigint")), F.sum, _add,
                    lambda s: F.coalesce(s, F.lit(0)).cast("bigint"))
 
 

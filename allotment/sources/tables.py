@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allotment.operators.players import number_players
@@ -59,6 +59,11 @@ def order_lines(spark: SparkSession, folder: str) -> Split:
     return number_players(raw, LINE_ORDER).map(lambda df, hot: df.select("game_id", "player", "n", "cost"))
 
 
+def first_bytes(name: str) -> Column:
+    """A number that orders strings by their first four bytes: the leading, numeric key before the string itself."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), 1, 4)), 8, "0"), 16, 10).cast("bigint")
+
+
 def at_least(players: Split, least: int) -> Split:
     """Games inside a method's domain; the others are reported by the plan tables."""
     return players.map(lambda df, hot: df.where(F.col("n") >= least))
@@ -67,9 +72,9 @@ def at_least(players: Split, least: int) -> Split:
 def customer_priorities(spark: SparkSession, folder: str) -> Split:
     """Game = customer, players = the priorities it orders with (at most five), weight = its orders there."""
     raw = table(spark, folder, "orders").groupBy(
-        F.col("o_custkey").alias("game_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")
+        F.col("o_custkey").alias("game_id"), F.col("o_orderpriority").alias("priority")
     ).agg(F.count(F.lit(1)).alias("weight"), F.sum(F.floor(F.col("o_totalprice") / 1000).cast("bigint")).alias("cost"))
-    numbered = number_players(raw, ["priority"], {"total": F.sum("weight")})
+    numbered = number_players(raw.withColumn("code", first_bytes("priority")), ["code", "priority"], {"total": F.sum("weight")})
     return numbered.map(lambda df, hot: df.select(
         "game_id", "player", "n", "priority", "weight", "cost", "total", (F.floor(F.col("total") / 2) + 1).alias("quota")))
 
@@ -87,8 +92,8 @@ def channel_game(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     from allotment.operators.interactions import terms_of
     days = daily_channels(spark, folder)
     channels = days.groupBy("game_id", "channel").agg(F.sum("part").alias("coef"))
-    coded = channels.withColumn("code", F.conv(F.hex(F.substring("channel", 1, 4)), 16, 10).cast("bigint"))
-    players = number_players(coded, ["code"]).rows().select("game_id", "player", "n", "channel", "coef")
+    coded = channels.withColumn("code", first_bytes("channel"))
+    players = number_players(coded, ["code", "channel"]).rows().select("game_id", "player", "n", "channel", "coef")
     pairs = days.join(players.select("game_id", "channel", "player"), ["game_id", "channel"])
     return players, terms_of(pairs.select("game_id", "term_id", "player", "part"))
 

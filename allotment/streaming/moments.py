@@ -61,18 +61,21 @@ def check_configuration(spark: SparkSession, folder: str, key: str) -> None:
         spark.range(1).select(F.lit(key).alias("key")).write.json(path)
 
 
-def run_moments(spark: SparkSession, blocks: str, work: str, half_pairs: int, key: str, files_per_trigger: int = 1) -> None:
-    """Consume all blocks that have arrived and stop; calling it again goes on from the checkpoint."""
+def run_moments(spark: SparkSession, blocks: str, work: str, half_pairs: int, key: str, files_per_trigger: int = 1,
+                state_partitions: int | None = None) -> None:
+    """Consume all blocks that have arrived and stop; calling it again goes on from the checkpoint.
+
+    The first start fixes the number of state partitions for good: state_partitions, or else the session's shuffle partitions.
+    """
     check_configuration(spark, work, key)
     arriving = (
         spark.readStream.schema(BLOCK_SCHEMA + ", arrival INT").option("maxFilesPerTrigger", files_per_trigger).parquet(blocks)
         .dropDuplicates(["game_id", "pair", "player"])
     )
     state = reference_moments(arriving, F.col("pair") < half_pairs).select(*COLUMNS)
-    # State is six numbers per player: one state partition per core is plenty. The first start fixes the number.
     setting = "spark.sql.shuffle.partitions"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    spark.conf.set(setting, str(state_partitions or before))
     try:
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint")

@@ -10,7 +10,7 @@ from allotment.session import local_session
 
 HEADLINE = ["order_cost_exact", "order_cost_paths", "customer_cost_exact", "full_permutation_mean", "ratio_zero_filled",
             "coupled_linear", "complementary", "group_testing", "gels", "differential", "kernel_shap", "truncated_permutation_mean",
-            "latin_square_mean", "attribute_inside_greedy", "attribute_inside_orbit", "customer_power_index",
+            "latin_square_mean", "attribute_greedy_by_size", "attribute_complete_orbits", "customer_power_index",
             "basket_supplier_exact", "basket_supplier_paths", "channel_credit_exact", "rmse_summary"]
 
 

@@ -1,5 +1,6 @@
 """Small games with known answers, and invariants of designs."""
 
+import math
 from collections import Counter
 from itertools import permutations
 
@@ -80,12 +81,11 @@ def test_power_index_matches_enumeration():
                 if total < quota <= total + w[i]:
                     swings[i] += 1
                 total += w[i]
-        assert X.subset_swings(w, quota)[0] == pytest.approx(swings / len(orders))
+        assert X.swing_shares(w, quota) == pytest.approx(swings / len(orders))
 
 
 def test_large_body_uses_exact_integers():
-    share, _ = X.subset_swings([1] * 70, 36)
-    assert share == pytest.approx([1 / 70] * 70)
+    assert X.swing_shares([1] * 70, 36) == pytest.approx([1 / 70] * 70)
 
 
 @pytest.mark.parametrize("name", ["ratio", "complementary", "differential", "stratified_differential", "group_testing_like"])
@@ -300,3 +300,34 @@ def test_pool_ends_and_uses_every_subset_once():
         seen.add(rows[0].tobytes())
         pool.take(0)
     assert len(seen) == pool.total and len(pool.draw(64)) == 64
+
+
+def test_slices_are_balanced_as_a_whole(spark):
+    """More rows than 4,096: no coalition of a size comes twice before all have come, and players stay more even than by chance."""
+    rows = G.per_size_design(games(spark, 16), F.lit(9000), "whole").collect()
+    assert len(rows) == 9000
+    for s in {r["size"] for r in rows}:
+        sets = [tuple(r["members"]) for r in rows if r["size"] == s]
+        total = math.comb(16, s)
+        assert max(Counter(sets).values()) == -(-len(sets) // total)
+        held = Counter(m for members in sets for m in members)
+        assert np.std(list(held.values())) < np.sqrt(len(sets) * s / 16 * (1 - s / 16)) / 4
+
+
+def test_large_stratified_slices_end(spark):
+    assert G.stratified_design(games(spark, 15), F.lit(12000), "end").count() == 12000
+
+
+def test_too_few_samples_for_all_sizes_stop(spark):
+    with pytest.raises(Exception, match="fewer samples than sizes"):
+        B.minimum_one_counts(games(spark, 30), F.lit(8), INNER).collect()
+    with pytest.raises(Exception, match="fewer samples than sizes"):
+        attribute(players(spark, cost=list(range(1, 13))), U.max_cost(), "complete_orbits", 4).collect()
+
+
+def test_boundary_values_of_real_weights(spark):
+    from allotment.operators.interactions import boundary_values
+    terms = spark.createDataFrame([(1, 0, 0, 0.5, 1), (1, 1, 0, 0.25, 2), (1, 1, 1, 0.25, 2)],
+                                  "game_id BIGINT, term_id INT, player INT, weight DOUBLE, degree INT")
+    got = boundary_values(players(spark, cost=[1, 1]), terms).orderBy("player").collect()
+    assert [(r["full_value"], r["single_value"], r["without_value"]) for r in got] == [(0.75, 0.5, 0.0), (0.75, 0.0, 0.5)]
