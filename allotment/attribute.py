@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from allotment.functions.laws import INNER, KERNEL
 from allotment.operators import balanced as G
+from allotment.operators import covered_pairs as C
 from allotment.operators import designs as D
 from allotment.operators import estimators as E
 from allotment.operators import pairs as P
@@ -17,7 +18,7 @@ from allotment.operators.utilities import Utility, boundary, evaluate, path_valu
 DEFAULTS = {"greedy_by_size": (64, 1 / 16), "complete_orbits": (4, 0.0), "coupled": (32, 1.0),
             "stratified": (32, 1.0), "orbit": (32, 0.0)}
 DESIGN_MODES = ["greedy_by_size", "complete_orbits", "iid", "coupled", "stratified", "orbit", "iid_linear"]
-BASELINES = ["complementary", "differential", "group_testing", "kernel_shap", "gels", "permutation", "truncated",
+BASELINES = ["complementary", "differential", "stratified_differential", "group_testing", "kernel_shap", "gels", "permutation", "truncated",
              "antithetic", "latin_square", "component_array", "orthogonal"]
 
 
@@ -81,6 +82,9 @@ def _design(split, utility, method, samples, per_player, seed, pool, lambda0, mi
 def _baseline(split, utility, method, samples, per_player, seed, tolerance, patience, missing):
     if method == "complementary":
         return E.complementary(evaluate(D.complement_design(split, samples, seed), utility, with_rest=True))
+    if method == "stratified_differential":
+        shares, _ = C.estimate(split.rows(), utility, samples + 2, seed)
+        return E.require_coverage(shares.drop("status")) if missing == "raise" else shares.drop("status")
     if method in ("group_testing", "gels", "kernel_shap", "differential"):
         sampled = evaluate(D.iid_design(split, samples, seed, KERNEL), utility)
         if method == "group_testing":

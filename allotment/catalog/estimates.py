@@ -14,6 +14,7 @@ from allotment.catalog.sampling import INNER_SQL, SHARES, STRATA_SQL, T, harmoni
 from allotment.functions.hashing import tidy
 from allotment.functions.laws import INNER, KERNEL
 from allotment.operators import balanced as G
+from allotment.operators import covered_pairs as C
 from allotment.operators import designs as D
 from allotment.operators import estimators as E
 from allotment.operators import exact as X
@@ -219,6 +220,25 @@ def stratified_differential(spark, folder):
     return shares(P.differential(sampled.rows(), players.rows(), by_size=True))
 
 
+SDIFF_CALLS = "ceil(6*n*ln(n) + 4*n*ln(n)*ln(n)) + 2"
+
+
+@query("sdiff_shares")
+def sdiff_shares(spark, folder):
+    """Covering rows, then random ones, at 6 n ln n + 4 n (ln n)^2 calls; single orders are out of the method's domain."""
+    estimate, _ = C.estimate(max_game(spark, folder, 1).rows(), U.max_cost(), F.expr(SDIFF_CALLS), "sdiff")
+    return estimate.select("game_id", "player", tidy(F.col("share")).alias("share"), "status")
+
+
+@query("sdiff_efficiency", q.with_(q.game("max")) + f"""SELECT game_id, CAST(CASE WHEN n >= 2 THEN {SDIFF_CALLS} ELSE 0 END AS BIGINT) AS calls,
+  CASE WHEN n >= 2 THEN {q.tidy('full_value - empty_value', 2)} END AS total FROM pl WHERE player = 0""")
+def sdiff_efficiency(spark, folder):
+    """The shares of every game sum to v(all) - v(empty), and its calls are exactly the cap."""
+    estimate, runs = C.estimate(max_game(spark, folder, 1).rows(), U.max_cost(), F.expr(SDIFF_CALLS), "sdiff")
+    totals = estimate.groupBy("game_id").agg(tidy(F.sum("share"), 2).alias("total"))
+    return runs.join(totals, "game_id").select("game_id", "calls", "total")
+
+
 @query("pair_coverage", pair_sql() + """SELECT game_id, count(*) AS pairs, CAST(count(*) FILTER (WHERE seen > 0) AS BIGINT) AS covered,
   CAST(min(seen) AS BIGINT) AS least, CAST(max(seen) AS BIGINT) AS most FROM pm GROUP BY 1""")
 def pair_coverage(spark, folder):

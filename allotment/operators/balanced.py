@@ -351,10 +351,11 @@ def fill_pairs(partitions: DataFrame, seed: str) -> DataFrame:
             picks = np.argsort(keys, axis=1)[:, :size]
             rows = np.zeros((len(players), n))
             np.put_along_axis(rows, picks, 1.0, axis=1)
-            missing = missing_after(missing, rows)
-            for row in np.sort(picks, axis=1):
-                yield r.game_id, "sdiff_fill", n, added, size, row.tolist()
-                added += 1
+            for at in each:
+                if missing[players[at]].any():  # else those before it in this round have covered all of the player's pairs
+                    missing = missing_after(missing, rows[at:at + 1])
+                    yield r.game_id, "sdiff_fill", n, added, size, np.sort(picks[at]).tolist()
+                    added += 1
 
     # At most ceil(n / size) blocks per row.
     spec = partitions.groupBy("game_id", "n", "size").agg(F.sort_array(F.collect_list("members")).alias("blocks"))

@@ -331,3 +331,22 @@ def test_boundary_values_of_real_weights(spark):
                                   "game_id BIGINT, term_id INT, player INT, weight DOUBLE, degree INT")
     got = boundary_values(players(spark, cost=[1, 1]), terms).orderBy("player").collect()
     assert [(r["full_value"], r["single_value"], r["without_value"]) for r in got] == [(0.75, 0.5, 0.0), (0.75, 0.0, 0.5)]
+
+
+def test_stratified_differential_covers_all_pairs_within_its_calls(spark):
+    from allotment.operators import covered_pairs as C
+    p = U.boundary(Split(players(spark, cost=[3, 1, 7, 4, 4, 9])), U.max_cost()).rows()
+    covering = C.covering_rows(games(spark, 6, 9), "c").collect()
+    assert len({(r["game_id"], r["sample"]) for r in covering}) == len(covering)
+    for game, n in enumerate((6, 9)):
+        for s in range(1, n):
+            rows = [r["members"] for r in covering if r["game_id"] == game and r["size"] == s]
+            assert len({(i, j) for m in rows for i in m for j in range(n) if j not in m}) == n * (n - 1)
+    got, runs = C.estimate(p, U.max_cost(), F.lit(4000), "c")
+    run = runs.collect()[0]
+    assert (run["status"], run["calls"]) == ("ok", 4000) and run["covering_calls"] + run["random_calls"] == 3998
+    assert shares(got) == pytest.approx(shares(X.airport_shares(players(spark, cost=[3, 1, 7, 4, 4, 9]))), abs=0.25)
+    assert sum(shares(got)) == pytest.approx(9)
+    short, runs = C.estimate(p, U.max_cost(), F.lit(44), "c")  # 4 n ln n = 43.0...: one call short
+    assert runs.collect()[0]["status"] == "budget_infeasible" and runs.collect()[0]["calls"] == 0
+    assert shares(short) == [None] * 6
