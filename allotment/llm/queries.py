@@ -31,7 +31,7 @@ def near_duplicate_components(spark, folder):
 
 @query("op3_repeated_lines")
 def repeated_lines(spark, folder):
-    found = repeats.repeated_units(table(spark, folder, "documents"))
+    found = repeats.repeated_passages(table(spark, folder, "documents"))
     return found.select("doc_id", "start", "end", "words", F.col("first_id").alias("first_doc_id"), "copies")
 
 

@@ -1,8 +1,9 @@
-"""Repeated lines and sentences across documents: global digests of normalised units, the earliest one stays."""
+"""Repeated lines, sentences and passages across documents: global digests of normalised units, the earliest one stays."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ MIN_WORDS = 8
 #: A whole line may be shorter.
 MIN_LINE_WORDS = 4
 SENTENCE_END = byte_table(b".!?")
+#: Passages are told by runs of GRAM words; of every REACH runs that follow each other, the one with the least hash is an edge.
+GRAM, REACH = 8, 12
 UNITS = "id long, row long, d1 long, d2 long, start int, end int, words int, again boolean"
 
 
@@ -43,7 +46,25 @@ def units(words: Words) -> dict[str, np.ndarray]:
     return {"first": first, "after": after, "since": first[a], "until": after[b], "whole": (a == least) & (b == most)}
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passages(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of the stretches of text from one edge to the end of the next edge's run.
+
+    Edges depend on the words of REACH runs alone, so equal passages have equal edges wherever they stand, but for less
+    than REACH words at both ends.
+    """
+    n = len(h)
+    none = np.zeros(0, dtype=np.int64)
+    if n < GRAM + REACH:
+        return none, none
+    run = range_hash(h, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    seen = np.arange(len(run) - REACH + 1)
+    seen = seen[words.doc[seen] == words.doc[seen + REACH + GRAM - 2]]
+    edge = np.unique(seen + np.lib.stride_tricks.sliding_window_view(run, REACH)[seen].argmin(axis=1))
+    same = words.doc[edge[1:]] == words.doc[edge[:-1]]
+    return edge[:-1][same], edge[1:][same] + GRAM
+
+
+def _units(batches: Iterator[pa.RecordBatch], inner: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
             words = Words(piece.column("text"), WHITE)
@@ -53,12 +74,19 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = u["until"] - u["since"]
             u = {k: v[(size >= MIN_WORDS) | (u["whole"] & (size >= MIN_LINE_WORDS))] for k, v in u.items()}
             place = ((u["first"] - u["since"]) * 65536 + (u["after"] - u["first"])).astype(np.uint64)
+            if inner:
+                first, after = passages(words, h)
+                u = {k: np.concatenate([u[k], v]) for k, v in {"first": first, "after": after, "since": first, "until": after}.items()}
+                place = np.concatenate([place, np.full(len(first), constants("passage", 1)[0])])
             d1 = mix(range_hash(h, u["since"], u["until"]) + place)
             d2 = mix(range_hash(mix(h ^ constants("second", 1)), u["since"], u["until"]) + place)
             doc = words.doc[u["first"]]
             order = np.lexsort((d1, doc))                          # stable, so the earliest of equals comes first
+            opens = np.ones(len(order), dtype=bool)
+            opens[1:] = (d1[order[1:]] != d1[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+            kept = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))] if len(order) else order
             again = np.zeros(len(order), dtype=bool)
-            again[order[1:]] = (d1[order[1:]] == d1[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+            again[order] = u["first"][order] >= u["after"][kept]   # what overlaps the one that stays is no repeat of it
             points = words.code_points()
             zero = points[words.bounds[doc]]
             yield pa.RecordBatch.from_arrays(
@@ -81,9 +109,23 @@ def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str
     no units; null ids come last; rows of one id are one document, so its repeated rows keep what the document keeps
     (`again` tells repeats within a row). Other columns are ignored.
     """
+    return _repeated(docs, id_column, text_column, False)
+
+
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """repeated_units and, as further rows that may overlap them, repeated stretches that begin and end anywhere.
+
+    Stretches are cut where the words themselves say so (`passages`) and have GRAM + 1 to GRAM + REACH words, across lines
+    too. Of a run of at least 2 * REACH + GRAM - 1 words that an earlier document or place has, all but less than REACH
+    words at either end are found, whatever stands around it.
+    """
+    return _repeated(docs, id_column, text_column, True)
+
+
+def _repeated(docs: DataFrame, id_column: str, text_column: str, inner: bool) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
                        F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text"))
-    found = rows.mapInArrow(_units, UNITS)
+    found = rows.mapInArrow(partial(_units, inner=inner), UNITS)
     repeats = found.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
     known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
     repeats = cut(repeats, "repeats")  # written, so that the join's hot keys can be split

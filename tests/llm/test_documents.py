@@ -186,6 +186,22 @@ def test_repeats_odd_rows(odd_docs, no_docs):
     assert repeats.repeated_units(no_docs).count() == 0 and repeats.remove_units(no_docs, repeats.repeated_units(no_docs)).count() == 0
 
 
+def test_repeated_passages_inside_sentences(spark):
+    """60 words in the middle of sentences that share nothing else, and a run that only overlaps itself."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join([f"a{k}x{i}" for i in range(20 + k)] + passage + [f"b{k}x{i}" for i in range(30)]) + ".") for k in range(4)]
+    rows += [(9, " ".join(f"c{i}" for i in range(200))), (10, "so " * 100)]
+    found, words = defaultdict(set), {k: [m.span() for m in re.finditer(r"\S+", t)] for k, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in repeats.repeated_passages(docs).collect():
+        found[r.doc_id] |= {i for i, (a, b) in enumerate(words[r.doc_id]) if r.start <= a and b <= r.end}
+        assert r.doc_id == r.first_id == 10 or (r.first_id == 0 and r.words >= repeats.MIN_WORDS)
+    assert set(found) == {1, 2, 3, 10} and 0 not in found[10]
+    for k in (1, 2, 3):
+        least, most = 20 + k, 80 + k
+        assert found[k] == set(range(min(found[k]), max(found[k]) + 1)) and least <= min(found[k]) < least + repeats.REACH and most - repeats.REACH < max(found[k]) + 1 <= most
+
+
 def test_without():
     assert repeats.without("One two. Three four. Five.", [(9, 20)]) == "One two. Five."
     assert repeats.without("a b\nc d\ne f", [(4, 7)]) == "a b\ne f"
