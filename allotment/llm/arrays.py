@@ -94,14 +94,26 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+def wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, bytes and number of the code points from U+0600 on."""
+    at = np.flatnonzero(raw >= 0xD8)
+    lead = raw[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.array([0x1F, 0x0F, 0x07])[size - 2]
+    for i in (1, 2, 3):
+        more = raw[np.minimum(at + i, len(raw) - 1)]
+        code = np.where(i < size, code << 6 | (more & 0x3F), code)
+    return at, size, code
+
+
 class Words:
     """Words of all texts of an Arrow column, in order.
 
     data: bytes, A-Z lower-cased; bounds: of texts in bytes; start, end: of words in bytes; doc: text of each word;
-    first: the first word of each text, n + 1 of them.
+    first: the first word of each text, n + 1 of them. `alone` gives first and last byte + 1 of what is a word by itself.
     """
 
-    def __init__(self, column: pa.Array, separators: np.ndarray):
+    def __init__(self, column: pa.Array, separators: np.ndarray, alone=None):
         raw, self.bounds = text_bytes(column)
         self.raw, self.data = raw, LOWER[raw]
         inside = ~separators[self.data]
@@ -114,6 +126,12 @@ class Words:
             edges = edges[(edges > 0) & (edges < n)]
             begins[edges] = inside[edges]
             ends[edges - 1] = inside[edges - 1]
+        if alone is not None:
+            at, to = alone(raw)
+            begins[at], ends[to - 1] = True, True
+            after, before = to[to < n], at[at > 0] - 1
+            begins[after] |= inside[after]
+            ends[before] |= inside[before]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.bounds)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from allotment.llm.arrays import WHITE, Words, byte_table, constants, mix, pieces, range_hash
+from allotment.llm.arrays import WHITE, Words, byte_table, constants, mix, pieces, range_hash, wide
 from allotment.sources.shared import cut
 
 #: A unit with fewer words is told by its neighbours in the line as well, so chance repeats of short ones stay.
@@ -17,11 +17,45 @@ MIN_WORDS = 8
 #: A whole line may be shorter.
 MIN_LINE_WORDS = 4
 SENTENCE_END = byte_table(b".!?")
+OTHER_ENDS = np.array([ord(c) for c in "。！．？｡।॥؟۔።။។"])
+#: Scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han and their full-width signs): every code point is a word of
+#: its own, and WORD of them count as one. A whole line of LONG_LINE code points needs no number of words.
+UNSPACED = np.array([(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+                     (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)]) + [0, 1]
+WORD, LONG_LINE = 5, 40
 #: Passages are told by runs of GRAM words; of every REACH runs that follow each other, the one with the least hash is an edge.
 GRAM, REACH = 8, 12
 UNITS = "id long, row long, d1 long, d2 long, start int, end int, words int, again boolean"
 
 
+def unspaced(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and last byte + 1 of the code points of scripts without spaces."""
+    at, size, code = wide(raw)
+    own = np.searchsorted(UNSPACED.ravel(), code, "right") % 2 == 1
+    return at[own], (at + size)[own]
+
+
+def sentence_ends(words: Words) -> np.ndarray:
+    """Bytes that end a sentence."""
+    ends = SENTENCE_END[words.data]
+    at, size, code = wide(words.raw)
+    ends[(at + size - 1)[np.isin(code, OTHER_ENDS)]] = True
+    return ends
+
+
+def sizes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over words, in parts of a word: of characters where a script has no spaces, and of what white space parts."""
+    n = len(words.start)
+    by_characters, by_spaces = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    alone = np.zeros(len(words.raw) + 1, dtype=bool)
+    alone[unspaced(words.raw)[0]] = True
+    np.cumsum(np.where(alone[words.start], 1, WORD), out=by_characters[1:])
+    apart = np.ones(n, dtype=bool)
+    apart[1:] = (words.start[1:] > words.end[:-1]) | (words.doc[1:] != words.doc[:-1])
+    np.cumsum(apart * WORD, out=by_spaces[1:])
+    return by_characters, by_spaces
+
+
 def units(words: Words) -> dict[str, np.ndarray]:
     """Sentences within lines: first and last word of each, and the words [since, until) its digest is made of."""
     n = len(words.start)
@@ -31,7 +65,7 @@ def units(words: Words) -> dict[str, np.ndarray]:
     new_line = np.ones(n, dtype=bool)
     new_line[1:] = line[1:] != line[:-1]
     new = new_line.copy()
-    new[1:] |= SENTENCE_END[words.data[words.end[:-1] - 1]]
+    new[1:] |= sentence_ends(words)[words.end[:-1] - 1]
     first = np.flatnonzero(new)
     after = np.append(first[1:], n)
     count = len(first)
@@ -39,11 +73,17 @@ def units(words: Words) -> dict[str, np.ndarray]:
     in_line = np.cumsum(new_line[first]) - 1
     least, most = opens[in_line], np.append(opens[1:], count)[in_line] - 1
     a, b = np.arange(count), np.arange(count)
-    while (short := (after[b] - first[a] < MIN_WORDS) & (a > least)).any():
+    sums = sizes(words)
+    size = lambda a, b: np.maximum(*(s[after[b]] - s[first[a]] for s in sums))
+    while (short := (size(a, b) < MIN_WORDS * WORD) & (a > least)).any():
         a = a - short
-    while (short := (after[b] - first[a] < MIN_WORDS) & (b < most)).any():
+    while (short := (size(a, b) < MIN_WORDS * WORD) & (b < most)).any():
         b = b + short
-    return {"first": first, "after": after, "since": first[a], "until": after[b], "whole": (a == least) & (b == most)}
+    points = words.code_points()
+    long = points[words.end[after[b] - 1]] - points[words.start[first[a]]] >= LONG_LINE
+    whole = (a == least) & (b == most) & ((size(a, b) >= MIN_LINE_WORDS * WORD) | long)
+    told = (size(a, b) >= MIN_WORDS * WORD) | whole
+    return {k: v[told] for k, v in {"first": first, "after": after, "since": first[a], "until": after[b]}.items()}
 
 
 def passages(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,25 +94,26 @@ def passages(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(h)
     none = np.zeros(0, dtype=np.int64)
-    if n < GRAM + REACH:
+    size, _ = sizes(words)
+    until = np.searchsorted(size, size[:-1] + GRAM * WORD)
+    until = until[until <= n]
+    if len(until) < REACH:
         return none, none
-    run = range_hash(h, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    run = range_hash(h, np.arange(len(until)), until)
     seen = np.arange(len(run) - REACH + 1)
-    seen = seen[words.doc[seen] == words.doc[seen + REACH + GRAM - 2]]
+    seen = seen[words.doc[seen] == words.doc[until[seen + REACH - 1] - 1]]
     edge = np.unique(seen + np.lib.stride_tricks.sliding_window_view(run, REACH)[seen].argmin(axis=1))
     same = words.doc[edge[1:]] == words.doc[edge[:-1]]
-    return edge[:-1][same], edge[1:][same] + GRAM
+    return edge[:-1][same], until[edge[1:][same]]
 
 
 def _units(batches: Iterator[pa.RecordBatch], inner: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            words = Words(piece.column("text"), WHITE)
+            words = Words(piece.column("text"), WHITE, unspaced)
             if not len(words.start):
                 continue
             u, h = units(words), words.hashes()
-            size = u["until"] - u["since"]
-            u = {k: v[(size >= MIN_WORDS) | (u["whole"] & (size >= MIN_LINE_WORDS))] for k, v in u.items()}
             place = ((u["first"] - u["since"]) * 65536 + (u["after"] - u["first"])).astype(np.uint64)
             if inner:
                 first, after = passages(words, h)
@@ -99,10 +140,11 @@ def _units(batches: Iterator[pa.RecordBatch], inner: bool = False) -> Iterator[p
 def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The units to remove: every occurrence but the earliest of a line or sentence that occurs more than once.
 
-    A unit is a sentence of a line, ends told by . ! ? or the line. Its digest (128 bits) is taken of its words with
+    A unit is a sentence of a line, ends told by . ! ?, their likes in other scripts, or the line. Its digest (128 bits) is taken of its words with
     A-Z lower-cased and white space ignored; a unit of fewer than MIN_WORDS words is told together with the sentences
     before it in the line, then with those behind, so that only the repeat of all of them counts; whole lines may be
-    as short as MIN_LINE_WORDS. Rank is the id, then the place in the text. Returns id, row (xxhash64 of the text),
+    as short as MIN_LINE_WORDS, or fewer words of LONG_LINE code points. In scripts without spaces WORD characters count as
+    a word, though `words` counts each. Rank is the id, then the place in the text. Returns id, row (xxhash64 of the text),
     start and end (code points of the original), words, first_id (the document that keeps it) and copies.
 
     Digests are counted before they are joined, and the join's hot keys can be split. Null, empty and white texts have
@@ -116,7 +158,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """repeated_units and, as further rows that may overlap them, repeated stretches that begin and end anywhere.
 
     Stretches are cut where the words themselves say so (`passages`) and have GRAM + 1 to GRAM + REACH words, across lines
-    too. Of a run of at least 2 * REACH + GRAM - 1 words that an earlier document or place has, all but less than REACH
+    too (in scripts without spaces GRAM * WORD characters in place of GRAM words, REACH characters in place of REACH). Of a run of at least 2 * REACH + GRAM - 1 words that an earlier document or place has, all but less than REACH
     words at either end are found, whatever stands around it.
     """
     return _repeated(docs, id_column, text_column, True)

@@ -202,6 +202,22 @@ def test_repeated_passages_inside_sentences(spark):
         assert found[k] == set(range(min(found[k]), max(found[k]) + 1)) and least <= min(found[k]) < least + repeats.REACH and most - repeats.REACH < max(found[k]) + 1 <= most
 
 
+def test_repeats_in_scripts_without_spaces(spark):
+    han = lambda seed, n: "".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(seed).integers(0, 9000, n))
+    thai = "".join(chr(0x0E01 + int(c)) for c in np.random.default_rng(3).integers(0, 46, 60))
+    hindi = " ".join(f"शब्द{i}" for i in range(9)) + "।"
+    long_line, passage = "x" * 30 + " " + "y" * 30, han(4, 150)
+    rows = [(1, han(5, 50) + "。" + han(6, 45) + "！"), (2, han(7, 50) + "。" + han(6, 45) + "！" + han(8, 50)), (3, thai), (4, "a\n" + thai),
+            (5, hindi + " " + hindi.replace("द", "ग")), (6, "और " * 9 + "। " + hindi), (7, long_line), (8, "b\n" + long_line),
+            (9, han(10, 60) + passage + han(11, 70)), (10, han(12, 80) + passage + han(13, 60)), (11, han(14, 15) + "。"), (12, han(14, 15) + "。")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, dict(rows)[r.doc_id][r.start:r.end]) for r in repeats.repeated_units(docs).collect()}
+    assert found == {(2, han(6, 45) + "！"), (4, thai), (6, hindi), (8, long_line)}
+    inside = [r for r in repeats.repeated_passages(docs).collect() if r.doc_id == 10]
+    assert min(r.start for r in inside) in range(80, 80 + repeats.REACH) and max(r.end for r in inside) in range(231 - repeats.REACH, 231)
+    assert {i for r in inside for i in range(r.start, r.end)} == set(range(min(r.start for r in inside), max(r.end for r in inside)))
+
+
 def test_without():
     assert repeats.without("One two. Three four. Five.", [(9, 20)]) == "One two. Five."
     assert repeats.without("a b\nc d\ne f", [(4, 7)]) == "a b\ne f"
