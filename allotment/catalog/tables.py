@@ -154,15 +154,17 @@ def empty_coalition_accuracy(spark, folder):
 @query("shard_logistic_accuracy")
 def shard_logistic_accuracy(spark, folder):
     train, test, members = shard_tables(spark, folder)
-    models = L.logistic_models(members, L.shard_sums(train), 10, "fit", one_pass=False)
-    return L.logistic_scores(test.select("label", "features"), models, SAMPLES).select("sample", tidy(F.col("accuracy")).alias("value"))
+    labels = L.classes(train, test)
+    models = L.logistic_models(members, train, labels, "fit", one_pass=False)
+    return L.logistic_scores(test.select("label", "features"), models, labels, SAMPLES).select("sample", tidy(F.col("accuracy")).alias("value"))
 
 
 @query("shard_one_pass_likelihood")
 def shard_one_pass_likelihood(spark, folder):
     train, test, members = shard_tables(spark, folder)
-    models = L.logistic_models(members, L.shard_sums(train), 10, "fit", one_pass=True)
-    return L.logistic_scores(test.select("label", "features"), models, SAMPLES).select("sample", tidy(F.col("log_likelihood")).alias("value"))
+    labels = L.classes(train, test)
+    models = L.logistic_models(members, train, labels, "fit", one_pass=True)
+    return L.logistic_scores(test.select("label", "features"), models, labels, SAMPLES).select("sample", tidy(F.col("log_likelihood")).alias("value"))
 
 
 DOC_SQL = """dq AS (SELECT d.source, l.quality, CASE WHEN d.n_chars >= 400 THEN 1 ELSE 0 END AS long, count(*) AS c FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2, 3),

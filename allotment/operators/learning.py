@@ -1,17 +1,22 @@
 """Utilities that train a small model on a coalition's data and score it.
 
 Players are shards of training rows. Nearest centroid needs only per-shard label sums, so
-it is joins and sums. Logistic models are fitted one coalition per row, on the class means of
-its shards.
+it is joins and sums. Logistic models are fitted on all rows of a coalition's shards.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allotment.functions.hashing import order_key
+
+#: Rows below which a task of a gradient step is not split.
+TASK_ROWS = 4096
+
 
 def shard_sums(train: DataFrame) -> DataFrame:
     """Per (player, label, feature): rows and feature sum of the shard, in one partial aggregation."""
@@ -48,44 +53,128 @@ def best_constant(test: DataFrame) -> DataFrame:
     return counts.agg((F.max("rows") / F.sum("rows")).alias("value"))
 
 
-def logistic_models(members: DataFrame, sums: DataFrame, labels: int, seed: str, *, one_pass: bool,
+def classes(train: DataFrame, test: DataFrame) -> list:
+    """The labels that occur, in order."""
+    found = train.select("label").unionByName(test.select("label")).where("label is not null").distinct()
+    return sorted(r["label"] for r in found.collect())
+
+
+def logistic_models(members: DataFrame, train: DataFrame, labels: list, seed: str, *, one_pass: bool,
                     steps: int = 60, rate: float = 0.5) -> DataFrame:
-    """A softmax model per coalition, (sample, weights): one row of feature weights and a bias per label.
+    """A softmax model per coalition, (sample, weights): one row of feature weights and a bias per label of `labels`.
 
-    Training uses the shards' class means weighted by their rows, so a coalition row carries at
-    most players x labels vectors whatever the number of training points. one_pass updates once
-    per vector, in an order seeded by the coalition's members; otherwise full gradient steps.
-    A coalition with one class predicts that class.
+    Every model is trained on every labelled row of its shards; rows stay where they are, and the models (samples x
+    labels x features numbers, held by the driver) go to them. Full gradient: one job per step, with a partial sum per
+    task. one_pass: one update per row. A coalition takes its shards in an order seeded by its members and the rows of a
+    shard in hash order of point_id; one job per turn serves all coalitions, so a shard is one task. A coalition with
+    one class predicts that class, one without rows has no model.
     """
-    means = sums.groupBy("player", "label").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("feature", (F.col("total") / F.col("rows")).alias("m")))), lambda e: e["m"]).alias("mean"),
-        F.first("rows").alias("rows"))
-    packed = members.select("sample", "player").join(means, "player").groupBy("sample").agg(
-        F.sort_array(F.collect_list(F.struct("player", "label", "rows", "mean"))).alias("cells"))
-
-    def task(batches):
-        from allotment.operators.balanced import generator
-        for pdf in batches:
-            out = []
-            for cells in pdf["cells"]:
-                x = np.array([c["mean"] for c in cells], dtype=float)
-                y = np.array([c["label"] for c in cells], dtype=int)
-                w = np.array([c["rows"] for c in cells], dtype=float)
-                if len(np.unique(y)) == 1:
-                    weights = np.zeros((x.shape[1] + 1, labels))
-                    weights[-1] = np.where(np.arange(labels) == y[0], 0.0, -30.0)
-                else:
-                    order = generator(seed, *sorted({c["player"] for c in cells})).permutation(len(y))
-                    weights = fit_softmax(x[order], y[order], w[order], labels, steps, rate, one_pass)
-                out.append(weights.T.tolist())
-            yield pd.DataFrame({"sample": pdf["sample"], "weights": out})
-
-    return packed.mapInPandas(task, "sample BIGINT, weights ARRAY<ARRAY<DOUBLE>>")
-
-
-def logistic_scores(test: DataFrame, models: DataFrame, samples: int) -> DataFrame:
-    """Accuracy and mean log-likelihood of every model on all test rows."""
-    rows = test.withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
+    known = F.array(*[F.lit(v) for v in labels])
+    rows = train.where("label is not null").select("player", (F.array_position(known, F.col("label")) - 1).cast("int").alias("y"), "features", "point_id")
+    counts = {}
+    for r in rows.groupBy("player", "y").agg(F.count(F.lit(1)).alias("rows"), F.first(F.size("features")).alias("width")).collect():
+        counts.setdefault(r["player"], {})[r["y"]] = r["rows"]
+        width = r["width"]
+    spark = train.sparkSession
+    schema = "sample BIGINT, weights ARRAY<ARRAY<DOUBLE>>"
+    inside = {}
+    for r in members.select("sample", "player").collect():
+        if r["player"] in counts:
+            inside.setdefault(r["sample"], []).append(r["player"])
+    if not inside:
+        return spark.createDataFrame([], schema)
+    weights, open_ = {}, {}
+    for sample, held in inside.items():
+        weights[sample] = np.zeros((width + 1, len(labels)))
+        held.sort()
+        seen = sorted({y for p in held for y in counts[p]})
+        if len(seen) == 1:
+            weights[sample][-1] = np.where(np.arange(len(labels)) == seen[0], 0.0, -30.0)
+        else:
+            open_[sample] = held
+    tasks = train.sparkSession.sparkContext.defaultParallelism
+    if one_pass:
+        order = order_key(seed, F.col("point_id"))
+        rows = rows.repartition(len(counts), "player").sortWithinPartitions("player", order, "point_id")
+    else:
+        rows = rows.repartition(max(1, min(2 * tasks, sum(sum(c.values()) for c in counts.values()) // TASK_ROWS)))
+    rows = rows.drop("point_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        (_passes if one_pass else _descent)(rows, open_, weights, counts, seed, steps, rate)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(s, w.T.tolist()) for s, w in sorted(weights.items())], schema)
+
+
+def _arrays(batch):
+    """Players, features with a one behind, and label numbers of an Arrow batch."""
+    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return batch.column(0).to_numpy(), np.column_stack([x, np.ones(len(x))]), batch.column(1).to_numpy()
+
+
+def _descent(rows, inside, weights, counts, seed, steps, rate):
+    """Gradient steps of all coalitions at once."""
+    samples, players = sorted(inside), sorted(counts)
+    if not samples:
+        return
+    share = np.zeros((len(players), len(samples)))
+    for i, s in enumerate(samples):
+        share[np.searchsorted(players, inside[s]), i] = 1 / sum(sum(counts[p].values()) for p in inside[s])
+    state = np.stack([weights[s] for s in samples], axis=1)  # features x samples x labels
+
+    def job(now):
+        def task(batches):
+            total = np.zeros_like(now)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    player, x, y = _arrays(batch.slice(at, 2048))
+                    p = softmax((x @ now.reshape(len(now), -1)).reshape(-1, now.shape[2])).reshape(len(x), *now.shape[1:])
+                    rest = (np.eye(now.shape[2])[y][:, None, :] - p) * share[np.searchsorted(players, player)][:, :, None]
+                    total += (x.T @ rest.reshape(len(x), -1)).reshape(now.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+        return sum(np.frombuffer(r["part"], dtype=float).reshape(now.shape) for r in rows.mapInArrow(task, "part BINARY").collect())
+
+    for _ in range(steps):
+        state = state + rate * job(state)
+    for i, s in enumerate(samples):
+        weights[s] = state[:, i]
+
+
+def _passes(rows, inside, weights, counts, seed, steps, rate):
+    """One update per row, shard after shard."""
+    from allotment.operators.balanced import generator
+    turns = {s: [held[i] for i in generator(seed, *held).permutation(len(held))] for s, held in inside.items()}
+
+    def job(due):
+        def task(batches):
+            done = {}
+            for batch in batches:
+                player, x, y = _arrays(batch)
+                for p in np.unique(player):
+                    if p not in due:
+                        continue
+                    if p not in done:
+                        done[p] = np.stack([w for _, w in due[p]])
+                    now, hot = done[p], np.eye(done[p].shape[2])
+                    for i in np.flatnonzero(player == p):
+                        now += rate * x[i][None, :, None] * (hot[y[i]] - softmax(x[i] @ now))[:, None, :]
+            names = [(s, w) for p, now in done.items() for (s, _), w in zip(due[p], now)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in names], pa.int64()), pa.array([w.tobytes() for _, w in names], pa.binary())], ["sample", "part"])
+        return rows.mapInArrow(task, "sample BIGINT, part BINARY").collect()
+
+    for turn in range(max(map(len, turns.values()), default=0)):
+        due = {}
+        for s, held in turns.items():
+            if turn < len(held):
+                due.setdefault(held[turn], []).append((s, weights[s]))
+        for r in job(due):
+            weights[r["sample"]] = np.frombuffer(r["part"], dtype=float).reshape(weights[r["sample"]].shape).copy()
+
+
+def logistic_scores(test: DataFrame, models: DataFrame, labels: list, samples: int) -> DataFrame:
+    """Accuracy and mean log-likelihood of every model on all labelled test rows."""
+    known = F.array(*[F.lit(v) for v in labels])
+    rows = test.where("label is not null").withColumn("label", (F.array_position(known, F.col("label")) - 1).cast("int")).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))))
     dot = lambda w: F.aggregate(F.zip_with(F.concat("features", F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     logits = rows.join(models, "sample").select("sample", "label", F.inline(F.array(F.struct(F.transform("weights", dot).alias("z")))))
     top = F.array_max("z")
@@ -96,20 +185,5 @@ def logistic_scores(test: DataFrame, models: DataFrame, samples: int) -> DataFra
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def fit_softmax(x, y, w, labels, steps, rate, one_pass=False):
-    """Weighted gradient descent; one_pass makes one update per row instead."""
-    x = np.column_stack([x, np.ones(len(x))])
-    hot = np.eye(labels)[y]
-    weights = np.zeros((x.shape[1], labels))
-    share = (w / w.sum())[:, None]
-    if one_pass:
-        for i in range(len(x)):
-            weights += rate * share[i] * np.outer(x[i], hot[i] - softmax(x[i:i + 1] @ weights)[0])
-        return weights
-    for _ in range(steps):
-        weights += rate * x.T @ (share * (hot - softmax(x @ weights)))
-    return weights
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)

@@ -350,3 +350,36 @@ def test_stratified_differential_covers_all_pairs_within_its_calls(spark):
     short, runs = C.estimate(p, U.max_cost(), F.lit(44), "c")  # 4 n ln n = 43.0...: one call short
     assert runs.collect()[0]["status"] == "budget_infeasible" and runs.collect()[0]["calls"] == 0
     assert shares(short) == [None] * 6
+
+
+@pytest.mark.parametrize("one_pass", [False, True])
+def test_logistic_models_train_on_rows(spark, one_pass):
+    """Weights against plain loops over the rows; twelve labels, rows that their class means do not stand for, one class alone."""
+    from allotment.operators import learning as L
+    rng = np.random.default_rng(0)
+    rows = [(i, int(rng.integers(3)), int(y), [float(v) for v in rng.normal(size=2) * (1 + y)]) for i, y in enumerate(rng.integers(0, 12, 150))]
+    rows += [(200, 3, 7, [1.0, 2.0])]
+    train = spark.createDataFrame(rows, "point_id long, player int, label int, features array<double>")
+    members = spark.createDataFrame([(0, 0), (0, 2), (1, 1), (2, 3), (3, 0), (3, 1), (3, 2), (4, 9)], "sample long, player int")
+    labels = L.classes(train, train)
+    assert labels == list(range(12))
+    models = L.logistic_models(members, train, labels, "fit", one_pass=one_pass, steps=5)
+    got = {r["sample"]: np.array(r["weights"]).T for r in models.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[2][-1].argmax() == 7
+    keys = dict(train.select("point_id", L.order_key("fit", F.col("point_id"))).collect())
+    for sample, held in {0: [0, 2], 1: [1], 3: [0, 1, 2]}.items():
+        mine = sorted((r for r in rows if r[1] in held), key=lambda r: (keys[r[0]], r[0]))
+        w = np.zeros((3, 12))
+        if one_pass:
+            for p in (held[i] for i in G.generator("fit", *held).permutation(len(held))):
+                for _, player, y, x in mine:
+                    if player == p:
+                        x = np.array([*x, 1.0])
+                        w += 0.5 * np.outer(x, np.eye(12)[y] - L.softmax(x @ w))
+        else:
+            x, y = np.array([[*r[3], 1.0] for r in mine]), [r[2] for r in mine]
+            for _ in range(5):
+                w += 0.5 * x.T @ (np.eye(12)[y] - L.softmax(x @ w)) / len(mine)
+        assert got[sample] == pytest.approx(w)
+    scores = L.logistic_scores(train.select("label", "features"), models, labels, 5).collect()
+    assert len(scores) == 4 and all(0 <= r["accuracy"] <= 1 and r["log_likelihood"] < 0 for r in scores)
