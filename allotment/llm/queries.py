@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, neighbours, packing, repeats, toxicity, urls
+from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, neighbours, packing, quality, repeats, runs, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,55 @@ def toxicity_chain(spark, folder):
 @query("op4_nearest")
 def nearest(spark, folder):
     return neighbours.neighbours(table(spark, folder, "embeddings"))
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+RULE_SQL = ", ".join(f"CASE WHEN {' OR '.join([f'{r.measure} * 1000 < {per} * {r.least}'] * (r.least is not None) + [f'{r.measure} * 1000 > {per} * {r.most}'] * (r.most is not None))} "
+                     f"THEN '{r.name}' END" for r in quality.RULES for per in ["1" if r.per == "one" else r.per])
+
+
+@query("op12_quality_rules", rf"""
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines,
+    row_number() OVER () AS row_id
+  FROM documents),
+windows AS (
+  SELECT row_id, i AS place, array_to_string(list_slice(words, i, i + {quality.WINDOW - 1}), ' ') AS said
+  FROM parts, unnest(range(1, len(words) - {quality.WINDOW - 2})) AS r(i)),
+again AS (
+  SELECT row_id, place FROM windows QUALIFY count(*) OVER (PARTITION BY row_id, said) > 1),
+covered AS (
+  SELECT row_id, sum(least({quality.WINDOW}, coalesce(place - before, {quality.WINDOW}))) AS n
+  FROM (SELECT row_id, place, lag(place) OVER (PARTITION BY row_id ORDER BY place) AS before FROM again) GROUP BY row_id),
+measured AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(words, lambda w: regexp_replace(translate(w, '{quality.UPPER}', '{quality.LOWER}'), '[.,;:!?"''()]', '', 'g')
+      IN ({_quoted(quality.STOP_WORDS)})))::BIGINT AS n_stop_words,
+    len(lines)::BIGINT AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[ 	-]*[-*•]')))::BIGINT AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-]*$')))::BIGINT AS n_ellipsis_lines
+  FROM parts LEFT JOIN covered USING (row_id)),
+failing AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {RULE_SQL}) AS failed FROM measured)
+SELECT doc_id, {", ".join(quality.MEASURES)}, base_failed, failed, NOT base_failed AND failed = '' AS kept FROM failing""")
+def quality_rules(spark, folder):
+    return quality.judged(table(spark, folder, "documents"))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark, folder):
+    found = runs.periodic_runs(table(spark, folder, "documents"), rewrite=runs.planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(F.col("best.length") * 1000 / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
