@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, neighbours, packing, quality, repeats, runs, toxicity, urls
+from allotment.llm import chat, decontam, langid, main_text as main_text_, near_dedup, neighbours, packing, quality, repeats, runs, spelling, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,8 @@ def periodic_runs(spark, folder):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
         (-F.col("best.period")).alias("period"), F.floor(F.col("best.length") * 1000 / -F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"), every=31)
