@@ -54,6 +54,13 @@ def fingerprint(paths) -> str:
 MAPPINGS = {fingerprint(layout["paths"]): layout for layout in LAYOUTS}
 
 
+def layout_within(paths: set[str]) -> dict | None:
+    """The layout with most field paths among those whose paths are all there; none if two have as many."""
+    fits = sorted((x for x in LAYOUTS if paths.issuperset(x["paths"])), key=lambda x: -len(x["paths"]))
+    clear = fits and (len(fits) == 1 or len(fits[0]["paths"]) > len(fits[1]["paths"]))
+    return MAPPINGS[fingerprint(fits[0]["paths"])] if clear else None
+
+
 def value_paths(value, at: str = "") -> set[str]:
     """Nested field paths of a decoded JSON value."""
     if isinstance(value, dict):
@@ -113,9 +120,12 @@ def turns_of_records(records: DataFrame, key: str, record: str) -> DataFrame:
 
 
 def turns_of_table(table: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Canonical turns of a table in one layout, told by its schema: conv_id, turn, role, text. Extra columns are ignored."""
+    """Canonical turns of a table in one layout, told by its schema: conv_id, turn, role, text.
+
+    Extra columns are ignored, also where other layouts know their names: the layout with most paths that are all there is taken.
+    """
     paths = schema_paths(table.schema)
-    layout = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint(paths - {key}))
+    layout = MAPPINGS.get(fingerprint(paths)) or MAPPINGS.get(fingerprint(paths - {key})) or layout_within(paths)
     if layout is None:
         raise ValueError("no mapping for the field paths " + ", ".join(sorted(paths)))
     if "rows" in layout:

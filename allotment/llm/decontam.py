@@ -15,7 +15,7 @@ from allotment.sources.shared import cut
 
 WINDOW = 10
 #: Bytes of item text that go into one automaton; more items make further scans, none is left out.
-AUTOMATON_BYTES = 4 << 20
+AUTOMATON_BYTES = 256 << 10
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 _automata: dict[int, tuple] = {}

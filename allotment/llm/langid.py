@@ -103,7 +103,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
 
 def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
         rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> Network | None:
-    """A network for the labels of `labelled`, from at most `rows` of its rows (those with the smallest hash of id and
+    """A network for the labels of `labelled`, from at most `rows` of its different rows with letters (those with the smallest hash of id and
     text) and at most `windows` windows of each, spread over the whole text and cut by Spark. None without any label."""
     size = F.octet_length(text_column)
     spread = F.sequence(F.lit(0), F.lit(windows - 1))
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     cut = F.transform(starts, lambda s: F.substring(F.encode(F.col(text_column), "UTF-8"), s + 1, F.lit(WINDOW)))
     sample = labelled.filter(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}")).select(
         F.xxhash64(F.lit("language"), F.col(id_column), F.xxhash64(text_column)).alias("place"), F.col(lang_column).alias("lang"), cut.alias("windows"))
-    found = smallest(sample, "place", rows, labelled.filter(F.col(lang_column).isNotNull()).count()).collect()
+    found = smallest(sample, "place", rows).collect()
     if not found:
         return None
     langs = sorted({r.lang for r in found})

@@ -20,7 +20,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead
     tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = ("script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "select", "canvas", "audio", "video", "math")
+SILENT = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select")
 SILENT_SET = frozenset(SILENT)
 #: Elements whose end tag may be left out, by the start tags that end them.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
@@ -113,7 +113,7 @@ def blocks(page: str) -> list[Block]:
                 if tag == "tr" and stack[-1][0] == "tr":
                     stack.pop()
             links = sum(e[0] == "a" for e in stack)
-        if tag in VOID or token[3].endswith("/"):
+        if tag in VOID:  # a slash before the end of other tags means nothing
             continue
         added = set()
         if f"in {tag}" in FEATURES:

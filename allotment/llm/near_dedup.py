@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from allotment.llm.arrays import U64, WHITE, Words, constants, mix, pieces
-from allotment.sources.shared import cut
+from allotment.sources.shared import cut, erase
 
 SHINGLE = 5
 BANDS, ROWS, SAMPLES, BITS = 24, 3, 512, 2048
@@ -146,7 +146,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     before = state(links)
     while before[0]:
-        links = cut(star(star(links, True), False), "links")
+        earlier, links = links, cut(star(star(links, True), False), "links")
+        erase(earlier)
         after = state(links)
         if after == before:
             break
@@ -156,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text",
-                    loosest: float = 0.665) -> DataFrame:
+                    loosest: float = 0.62) -> DataFrame:
     """Every row of `docs` with its set size and the component of similar documents it belongs to.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| on their sets of 5-word shingles; copies of a
@@ -171,8 +172,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
        are compared by sketch, once, in the first bucket they share (within the join, which Spark can split) and, if
        near enough, by full sets.
 
-    `loosest` is the similarity below which a sketch ends a comparison; it lies nearly four standard deviations (of 512
-    samples in 2048 bits) below the limit, so that full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
+    `loosest` is the similarity below which a sketch ends a comparison; it lies 5.5 standard deviations (of 512
+    samples in 2048 bits) below the limit, so that of pairs at the very limit one in some 50 million is lost to it, and full sets
+    decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
     null id is larger than every other id, and its component_id is null if no other id is reached. Rows with the same
     id and text share everything; rows with the same id and different texts are documents of their own. Other columns
     are ignored. Set names and shingle hashes have 64 bits.
@@ -191,6 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     hubs = cut(ranked.groupBy("band").agg(F.max(F.struct("fame", "cid")).alias("top")).select("band", F.col("top.cid").alias("hub")), "hubs")
 
     sketches = classes.select("cid", "sketch")
+    done = [shared, members, hubs]
     limit = most_bits(loosest)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -204,6 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         wanted = classes.join(asked, "cid").select(F.col("rep").alias("id"), "cid")
         sets = rows.join(wanted, "id").select("cid", "text").mapInArrow(_sets, "cid long, found long, members array<long>")
         sets = cut(sets.filter("cid = found").select("cid", "members").dropDuplicates(["cid"]), "sets")
+        done.append(sets)
         a = sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -219,7 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("band")
-    open_rows = cut(placed.join(cut(mixed, "mixed"), "band").join(classes.select("cid", "bands", "sketch"), "cid"), "open")
+    mixed = cut(mixed, "mixed")
+    open_rows = cut(placed.join(mixed, "band").join(classes.select("cid", "bands", "sketch"), "cid"), "open")
+    done += [first, mixed, open_rows]
     left, right = (open_rows.select([F.col(c).alias(f"{c}_{side}") for c in open_rows.columns]) for side in "ab")
     meet = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     across = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
@@ -232,6 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         links = cut(links.unionByName(linked(rest)), "links")
         roots = cut(components(links), "roots")
 
+    erase(*done, rest)
     named = classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -246,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 def deduplicated(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with one document of each component: its smallest id. Repeated rows of that id and text stay once."""
     found = near_duplicates(docs, percent, id_column, text_column)
-    keep = found.filter("kept").select(F.col(id_column).alias("__id"), F.col("row").alias("__row")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64(text_column))
-    same = rows[id_column].eqNullSafe(keep["__id"]) & (rows["__text"] == keep["__row"])
-    return rows.join(keep, same, "left_semi").dropDuplicates([id_column, "__text"]).drop("__text")
+    number = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("__id")
+    keep = found.filter("kept").select(number, F.col("row").alias("__row")).distinct()
+    rows = docs.select("*", number, F.xxhash64(text_column).alias("__row"))
+    return rows.join(keep, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*docs.columns)  # one shuffle of texts for both

@@ -163,16 +163,20 @@ def _route(graph: Graph, sizes: np.ndarray, ratio: float):
 
 def _scan(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest rows of one shard for each query that reads its list."""
+        """The k nearest ids of one shard for each query that reads its list; an id counts with its nearest row."""
         out = []
         if len(queries) and len(rows):
             ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64)
+            repeated = len(np.unique(ids)) < len(ids)
             for query_id, query in zip(queries["query_id"], queries["query"]):
                 other = ids != query_id
                 d = vectors - np.asarray(query, dtype=np.float64)
                 d = np.sqrt(np.einsum("ij,ij->i", d, d))
                 d[~other] = np.inf
-                best = np.lexsort((ids, d))[:k]
+                best = np.lexsort((ids, d))
+                if repeated:
+                    best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+                best = best[:k]
                 best = best[other[best]]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -204,7 +208,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str
     if not facts.n:
         return spark.createDataFrame([], schema)
     bound = max(1, min(SAMPLE, SAMPLE_NUMBERS // facts.size))
-    sample = matrix(smallest(rows.withColumn("place", F.xxhash64(F.lit("sample"), "vec_id", "vector")), "place", bound, facts.n).select("vector").toArrow().column("vector"))
+    sample = matrix(smallest(rows.withColumn("place", F.xxhash64(F.lit("sample"), "vec_id", "vector")), "place", bound).select("vector").toArrow().column("vector"))
     lists = max(1, min(facts.n // LIST_ROWS, len(sample) // 4))
     centroids = balanced_centroids(sample, lists)
     placed = cut(rows.mapInArrow(_place(centroids), "list int, vec_id long, vector array<double>"), "lists")

@@ -7,9 +7,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from allotment.llm.arrays import WHITE, Words, byte_table, constants, mix, pieces, range_hash, wide
+from allotment.llm.arrays import U64, WHITE, Words, byte_table, constants, mix, pieces, range_hash, wide
 from allotment.sources.shared import cut
 
 #: A unit with fewer words is told by its neighbours in the line as well, so chance repeats of short ones stay.
@@ -25,7 +26,13 @@ UNSPACED = np.array([(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000
 WORD, LONG_LINE = 5, 40
 #: Passages are told by runs of GRAM words; of every REACH runs that follow each other, the one with the least hash is an edge.
 GRAM, REACH = 8, 12
-UNITS = "id long, row long, d1 long, d2 long, start int, end int, words int, again boolean"
+#: A passage of fewer words is left where it is.
+LEAST_WORDS = 25
+#: 64-bit words of the bitmap that keeps digests that surely occur once out of the second pass (16 MB, whatever the input).
+BITMAP = 1 << 21
+LAST = (1 << 63) - 1
+UNITS = "id long, row long, d1 long, d2 long, start int, end int, first int, after int, again boolean"
+RUNS = "id long, row long, start int, end int, words int, first_id long, copies long"
 
 
 def unspaced(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +114,20 @@ def passages(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][same], until[edge[1:][same]]
 
 
-def _units(batches: Iterator[pa.RecordBatch], inner: bool = False) -> Iterator[pa.RecordBatch]:
+def bitmap(repeats: DataFrame) -> np.ndarray:
+    """A bit for every d1 of `repeats`. Of other digests a part has its bit set too, all the more the more repeats there are."""
+    at, bit = F.col("d1").bitwiseAND(F.lit(BITMAP - 1)), F.shiftrightunsigned("d1", 21).bitwiseAND(F.lit(63)).cast("int")
+    found = repeats.groupBy(at.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    words = np.zeros(BITMAP, dtype=np.int64)
+    words[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def may_repeat(words: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    return words[(d1 & U64(BITMAP - 1)).astype(np.int64)] >> ((d1 >> U64(21)) & U64(63)) & U64(1) > 0
+
+
+def _units(batches: Iterator[pa.RecordBatch], inner: bool = False, wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
             words = Words(piece.column("text"), WHITE, unspaced)
@@ -129,11 +149,14 @@ def _units(batches: Iterator[pa.RecordBatch], inner: bool = False) -> Iterator[p
             again = np.zeros(len(order), dtype=bool)
             again[order] = u["first"][order] >= u["after"][kept]   # what overlaps the one that stays is no repeat of it
             points = words.code_points()
+            if wanted is not None:
+                asked = may_repeat(wanted.value, d1)
+                d1, d2, doc, again, u = d1[asked], d2[asked], doc[asked], again[asked], {k: v[asked] for k, v in u.items()}
             zero = points[words.bounds[doc]]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id").take(pa.array(doc)), piece.column("row").take(pa.array(doc)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                  pa.array((points[words.start[u["first"]]] - zero).astype(np.int32)), pa.array((points[words.end[u["after"] - 1]] - zero).astype(np.int32)),
-                 pa.array((u["after"] - u["first"]).astype(np.int32)), pa.array(again)],
+                 pa.array((u["first"] - words.first[doc]).astype(np.int32)), pa.array((u["after"] - words.first[doc]).astype(np.int32)), pa.array(again)],
                 [part.split()[0] for part in UNITS.split(", ")])
 
 
@@ -147,32 +170,64 @@ def repeated_units(docs: DataFrame, id_column: str = "doc_id", text_column: str
     a word, though `words` counts each. Rank is the id, then the place in the text. Returns id, row (xxhash64 of the text),
     start and end (code points of the original), words, first_id (the document that keeps it) and copies.
 
-    Digests are counted before they are joined, and the join's hot keys can be split. Null, empty and white texts have
+    Digests are counted before they are joined, a bitmap of fixed size keeps most single ones out of the join, and its hot
+    keys can be split. Null, empty and white texts have
     no units; null ids come last; rows of one id are one document, so its repeated rows keep what the document keeps
     (`again` tells repeats within a row). Other columns are ignored.
     """
-    return _repeated(docs, id_column, text_column, False)
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
+    return _repeated(docs, id_column, text_column, False).select(
+        known("id").alias(id_column), "row", "start", "end", (F.col("after") - F.col("first")).alias("words"), known("first_id"), "copies")
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """repeated_units and, as further rows that may overlap them, repeated stretches that begin and end anywhere.
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """Repeated passages of at least `least` words, whole: repeated units and stretches of a text that touch or overlap are
+    one passage.
 
-    Stretches are cut where the words themselves say so (`passages`) and have GRAM + 1 to GRAM + REACH words, across lines
+    Columns are those of repeated_units; first_id is the earliest document that keeps a part, copies the least number of occurrences
+    of a part. Where nothing around it repeats, a line or sentence of fewer words stays; least = 1 gives all.
+
+    Stretches begin and end anywhere, also inside sentences. They are cut where the words themselves say so (`passages`) and have GRAM + 1 to GRAM + REACH words, across lines
     too (in scripts without spaces GRAM * WORD characters in place of GRAM words, REACH characters in place of REACH). Of a run of at least 2 * REACH + GRAM - 1 words that an earlier document or place has, all but less than REACH
     words at either end are found, whatever stands around it.
     """
-    return _repeated(docs, id_column, text_column, True)
+    spans = F.struct("start", "end", "first", "after", "first_id", "copies")
+    per_row = _repeated(docs, id_column, text_column, True).groupBy("id", "row").agg(F.collect_set(spans).alias("spans"))
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
+    return per_row.mapInArrow(partial(_joined, least=least), RUNS).select(
+        known("id").alias(id_column), "row", "start", "end", "words", known("first_id"), "copies")
+
+
+def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Spans of a text that overlap or follow each other without a word between, as one."""
+    for batch in batches:
+        lists = batch.column("spans")
+        own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        start, end, first, after, first_id, copies = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+        order = np.lexsort((first, own))
+        own, first = own[order], first[order].astype(np.int64)
+        reached = np.maximum.accumulate((own << 32) + after[order])  # the last word so far; a later text begins beyond all of it
+        opens = np.ones(len(order), dtype=bool)
+        opens[1:] = (own[1:] << 32) + first[1:] > reached[:-1]
+        at = np.flatnonzero(opens)
+        words = reached[np.append(at[1:], len(order)) - 1] - (own[at] << 32) - first[at]
+        told = words >= least
+        at_row = pa.array(own[at][told])
+        whole = lambda f, x: pa.array(f.reduceat(x[order], at)[told])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at_row), batch.column("row").take(at_row), whole(np.minimum, start), whole(np.maximum, end), pa.array(words[told].astype(np.int32)),
+             whole(np.minimum, first_id), whole(np.minimum, copies)], [c.split()[0] for c in RUNS.split(", ")])
 
 
 def _repeated(docs: DataFrame, id_column: str, text_column: str, inner: bool) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"),
                        F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text"))
     found = rows.mapInArrow(partial(_units, inner=inner), UNITS)
     repeats = found.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
     repeats = cut(repeats, "repeats")  # written, so that the join's hot keys can be split
-    return found.join(repeats, ["d1", "d2"]).filter("again or id > first_id").select(
-        known("id").alias(id_column), "row", "start", "end", "words", known("first_id").alias("first_id"), "copies")
+    found = rows.mapInArrow(partial(_units, inner=inner, wanted=spark.sparkContext.broadcast(bitmap(repeats))), UNITS)
+    return found.join(repeats, ["d1", "d2"]).filter("again or id > first_id")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -201,26 +256,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, lists = piece.column("text").to_pylist(), piece.column("spans")
             found = lists.flatten()
             start, end = (found.field(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            cleaned = [without(t, list(zip(start[i:j], end[i:j]))) for t, i, j in zip(texts, at, at[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("row"), pa.array(cleaned, pa.string())], ["id", "row", "text"])
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            cleaned = [without(t, list(zip(start[i:j], end[i:j]))) if j > i else t for t, i, j in zip(texts, at, at[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(cleaned, pa.string()), lists.is_valid()], ["row", "text", "cut"])
 
 
 def remove_units(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with the spans cut out of their texts; rows without spans pass as they are, rows left empty go.
 
-    A document is told by id and text, so one row stands for repeated ones where something is cut.
+    A document is told by id and text, so repeated rows lose the same spans. Texts are shuffled once, to their spans.
     """
-    per_row = spans.groupBy(F.col(id_column).alias("__id"), F.col("row").alias("__of")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    rows = docs.withColumn("__row", F.xxhash64(text_column))
-    joined = rows.join(per_row, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left")
-    untouched = joined.filter("__spans is null").select(*docs.columns)
-    touched = joined.filter("__spans is not null")
-    others = [F.col(c) for c in docs.columns if c not in (id_column, text_column)]
-    carried = touched.select(F.col(id_column).alias("id"), F.struct(*[o.alias(f"c{i}") for i, o in enumerate(others)] or [F.lit(0).alias("c0")]).alias("row"),
-                             F.col(text_column).alias("text"), F.col("__spans").alias("spans"))
-    kind = carried.schema["row"].dataType.simpleString()
-    cleaned = carried.mapInArrow(_cut, f"id long, row {kind}, text string").filter(F.trim("text") != "")
-    back = {id_column: F.col("id").cast(docs.schema[id_column].dataType), text_column: F.col("text")}
-    back |= {c: F.col(f"row.c{i}") for i, c in enumerate(c for c in docs.columns if c not in (id_column, text_column))}
-    return untouched.unionByName(cleaned.select(*[back[c].alias(c) for c in docs.columns]))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST)).alias("__id")
+    per_row = spans.select(number(id_column), F.col("row").alias("__row"), F.struct("start", "end").alias("span")).groupBy("__id", "__row").agg(
+        F.collect_set("span").alias("__spans"))
+    joined = docs.select("*", number(id_column), F.xxhash64(text_column).alias("__row")).join(per_row, ["__id", "__row"], "left")
+    others = [c for c in docs.columns if c != text_column]
+    carried = joined.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), F.col(text_column).alias("text"), F.col("__spans").alias("spans"))
+    cleaned = carried.mapInArrow(_cut, f"row {carried.schema['row'].dataType.simpleString()}, text string, cut boolean").filter("not cut or trim(text) != ''")
+    back = {text_column: F.col("text")} | {c: F.col(f"row.c{i}") for i, c in enumerate(others)}
+    return cleaned.select(*[back[c].alias(c) for c in docs.columns])

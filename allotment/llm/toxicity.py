@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_column: st
     """
     known = labels.dropna(subset=[id_column, *categories]).groupBy(id_column).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     place = F.xxhash64(F.lit("labels"), id_column)
-    chosen = smallest(known.select(F.col(id_column).alias("id"), place.alias("place"), F.array(*categories).alias("targets")), "place", rows, known.count())
+    chosen = smallest(known.select(F.col(id_column).alias("id"), place.alias("place"), F.array(*categories).alias("targets")), "place", rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
     found = texts.select("place", "targets", "text").mapInArrow(_features, "place long, targets array<int>, words array<int>").toArrow()
     if not found.num_rows:

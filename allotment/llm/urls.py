@@ -116,7 +116,7 @@ def judged(rows: DataFrame, rules: DataFrame, keep: list[str], url_column: str =
                       host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"),
                       F.xxhash64(*keep, url_column).alias("tie")).withColumn("key", reversed_host(F.col("host")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = smallest(url.select("key", "tie", F.xxhash64("key", "tie").alias("place")), "place", SAMPLE, rows.count())
+    sample = smallest(url.select("key", "tie", F.xxhash64("key", "tie").alias("place")), "place", SAMPLE)
     sample = sorted((r.key, r.tie) for r in sample.collect())
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     kind = url.schema["row"].dataType.simpleString()

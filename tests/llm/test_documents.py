@@ -202,6 +202,27 @@ def test_repeated_passages_inside_sentences(spark):
         assert found[k] == set(range(min(found[k]), max(found[k]) + 1)) and least <= min(found[k]) < least + repeats.REACH and most - repeats.REACH < max(found[k]) + 1 <= most
 
 
+@pytest.mark.parametrize("least", [1, repeats.LEAST_WORDS])
+def test_passages_are_whole(spark, least):
+    """Every word that a repeated unit or stretch covers, joined word by word in plain Python."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts, covered, first_id = dict(docs.select("doc_id", "text").collect()), defaultdict(set), {}
+    for r in repeats._repeated(docs, "doc_id", "text", True).collect():
+        covered[r.id] |= set(range(r["first"], r.after))
+        for w in range(r["first"], r.after):
+            first_id[r.id, w] = min(r.first_id, first_id.get((r.id, w), r.first_id))
+    wanted = set()
+    for d, seen in covered.items():
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0d]+", texts[d])]
+        for w in sorted(seen):
+            if w - 1 not in seen:
+                last = next(x for x in range(w, len(spans) + 1) if x not in seen)
+                if last - w >= least:
+                    wanted.add((d, spans[w][0], spans[last - 1][1], last - w, min(first_id[d, x] for x in range(w, last))))
+    got = [(r.doc_id, r.start, r.end, r.words, r.first_id) for r in repeats.repeated_passages(docs, least=least).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len({r[0] for r in got}) > 20
+
+
 def test_repeats_in_scripts_without_spaces(spark):
     han = lambda seed, n: "".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(seed).integers(0, 9000, n))
     thai = "".join(chr(0x0E01 + int(c)) for c in np.random.default_rng(3).integers(0, 46, 60))
@@ -349,7 +370,7 @@ def test_pipeline(spark, tmp_path):
     unique = corpus_pipeline.near_duplicates(spark, kept, FOLDER)
     assert sorted(r.doc_id for r in unique.collect()) == [r.doc_id for i, r in enumerate(rows) if roots[i] == i]
     cut = corpus_pipeline.repeated_lines(spark, unique, FOLDER)
-    assert cut.columns == docs.columns and repeats.repeated_units(cut).filter("words >= 8").count() == 0
+    assert cut.columns == docs.columns and repeats.repeated_units(cut).filter(f"words >= {repeats.LEAST_WORDS}").count() == 0
     clean = corpus_pipeline.decontamination(spark, cut, FOLDER)
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     rows = cut.collect()
@@ -371,4 +392,42 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs, stage):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_sketch_limit_loses_no_pairs_at_the_limit():
+    """Pairs of similarity exactly 0.75 with ideal samples: the bits that differ stay below the limit."""
+    rng = np.random.default_rng(5)
+    limit, worst = near_dedup.most_bits(0.62), 0
+    for _ in range(40):
+        minima = rng.integers(0, 1 << 32, size=(1000, near_dedup.SAMPLES), dtype=np.uint32)
+        other = np.where(rng.random(minima.shape) < 0.75, minima, rng.integers(0, 1 << 32, size=minima.shape, dtype=np.uint32))
+        bits = np.bitwise_count((near_dedup.odd_sketches(minima) ^ near_dedup.odd_sketches(other)).view(np.uint64)).sum(axis=1)
+        worst = max(worst, int(bits.max()))
+    assert worst < limit
+
+
+def test_language_of_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(60_000).select(F.lit(1).alias("doc_id"), F.lit("the old mill by the sea").alias("text"), F.lit("en").alias("lang"))
+    empty = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("123").alias("text"), F.lit("fr").alias("lang"))
+    few = spark.range(300).select((F.col("id") + 100_000).alias("doc_id"), F.concat(F.lit("der alte Turm "), F.col("id").cast("string")).alias("text"), F.lit("de").alias("lang"))
+    network = langid.fit(rows.unionByName(empty).unionByName(few))
+    assert network is not None and set(network.langs) == {"en", "de"}
+
+
+def test_units_that_may_repeat(spark):
+    rng = np.random.default_rng(1)
+    d1 = rng.integers(-(1 << 63), 1 << 63, size=5000)
+    table = repeats.bitmap(spark.createDataFrame([(int(x),) for x in d1], "d1 long"))
+    assert repeats.may_repeat(table, d1.view(np.uint64)).all()
+    assert repeats.may_repeat(table, rng.integers(-(1 << 63), 1 << 63, size=5000).view(np.uint64)).mean() < 0.01
+
+
+def test_units_are_removed_in_one_branch(spark, odd_docs):
+    found = repeats.repeated_passages(odd_docs, least=1)
+    left = repeats.remove_units(odd_docs, found)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # the units, what joins them and the cut, each once
+    assert left.columns == odd_docs.columns
+    assert left.filter("text is null").count() == 2 and left.filter("doc_id = 9").count() == 1
