@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Cuts every line, sentence and passage that an earlier document has; what has nothing left goes."""
+    """Cuts every passage of lines, sentences and stretches, 25 words or more, that an earlier document has; what has nothing left goes."""
     kept = repeats.remove_units(docs, repeats.repeated_passages(docs))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
