@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches sort out, full shingle sets decide.
 
-Odd sketch: every MinHash sample (number, value) is hashed to one of 2048 bits and flips it. Samples that two sets
+Odd sketch: every MinHash sample (number, value) is hashed to one of 4096 bits and flips it. Samples that two sets
 share cancel out in the XOR of their sketches, so its population count tells how many samples differ, and is most
 precise where similarities are high.
 """
@@ -18,7 +18,7 @@ from allotment.llm.arrays import U64, WHITE, Words, constants, mix, pieces
 from allotment.sources.shared import cut, erase
 
 SHINGLE = 5
-BANDS, ROWS, SAMPLES, BITS = 24, 3, 512, 2048
+BANDS, ROWS, SAMPLES, BITS = 24, 3, 1024, 4096
 NO_ID = (1 << 63) - 1
 
 
@@ -66,11 +66,14 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
-    spots = (mix(minima.astype(np.uint64) + constants("sample", SAMPLES)) % U64(BITS)).astype(np.int64)
-    bits, rows = np.zeros((len(minima), BITS), dtype=np.uint8), np.arange(len(minima))
-    for i in range(SAMPLES):
-        bits[rows, spots[:, i]] ^= 1
-    return np.packbits(bits, axis=1).view(np.int64)
+    parts = []
+    for part in np.split(minima, range(512, len(minima), 512)):
+        spots = (mix(part.astype(np.uint64) + constants("sample", SAMPLES)) % U64(BITS)).astype(np.int64)
+        bits, rows = np.zeros((len(part), BITS), dtype=np.uint8), np.arange(len(part))
+        for i in range(SAMPLES):
+            bits[rows, spots[:, i]] ^= 1
+        parts.append(np.packbits(bits, axis=1).view(np.int64))
+    return np.concatenate(parts)
 
 
 def digest(s: np.ndarray) -> int:
@@ -157,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text",
-                    loosest: float = 0.62) -> DataFrame:
+                    loosest: float = 0.665) -> DataFrame:
     """Every row of `docs` with its set size and the component of similar documents it belongs to.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| on their sets of 5-word shingles; copies of a
@@ -172,9 +175,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
        are compared by sketch, once, in the first bucket they share (within the join, which Spark can split) and, if
        near enough, by full sets.
 
-    `loosest` is the similarity below which a sketch ends a comparison; it lies 5.5 standard deviations (of 512
-    samples in 2048 bits) below the limit, so that of pairs at the very limit one in some 50 million is lost to it, and full sets
-    decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
+    `loosest` is the similarity below which a sketch ends a comparison; it lies more than five standard deviations (of 1024
+    samples in 4096 bits) below the limit, so that of pairs at the very limit fewer than one in ten million are lost to it (the
+    bands lose some 2 in a million), and full sets decide. Nulls, empty and white texts have no shingle and are linked with nothing; a
     null id is larger than every other id, and its component_id is null if no other id is reached. Rows with the same
     id and text share everything; rows with the same id and different texts are documents of their own. Other columns
     are ignored. Set names and shingle hashes have 64 bits.
