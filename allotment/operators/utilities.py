@@ -150,6 +150,20 @@ def path_values(paths: Split, utility: Utility) -> Split:
     return paths.map(step)
 
 
+def marginal_values(draws: DataFrame, players: DataFrame, utility: Utility) -> DataFrame:
+    """(game_id, player, size, draw, n, with_value, without_value) of draws (player, size, draw, predecessors).
+
+    A draw's predecessors fold into one state; the player's own part is merged into it, so with and without share the fold.
+    """
+    keys = ["game_id", "player", "size", "draw"]
+    others = players.drop("n").withColumnRenamed("player", "other")
+    members = draws.select(*keys, F.explode_outer("predecessors").alias("other")).join(others, ["game_id", "other"], "left")
+    states = members.groupBy(*keys).agg(utility.state().alias("_state"))
+    both = states.join(players, ["game_id", "player"])
+    return both.select(*keys, "n", utility.value(utility.merge(F.col("_state"), utility.own())).alias("with_value"),
+                       utility.value(F.col("_state")).alias("without_value"))
+
+
 def decode_boundary(stored: DataFrame) -> DataFrame:
     """(game_id, kind, player, utility) rows to one row per player; the ends sit on the row of player 0."""
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("utility")))
