@@ -14,7 +14,8 @@ from allotment.operators import designs as D
 from allotment.operators import estimators as E
 from allotment.operators import pairs as P
 from allotment.operators.skew import Split
-from allotment.operators.utilities import Utility, boundary, evaluate, marginal_values, path_values
+from allotment.operators.custom import evaluate_paths
+from allotment.operators.utilities import BatchUtility, Utility, boundary, evaluate, marginal_values, path_values
 from allotment.plans import budget as B
 from allotment.plans import ledger as L
 
@@ -46,7 +47,7 @@ def attribute(players: Split | DataFrame, utility: Utility, method: str = "greed
     takes per_player samples of every cell (player, size), stratified_differential the calls its method asks for at least
     (`budgeted` takes a cap). Design modes need n >= 4. missing='zero' counts an unseen stratum as 0; 'raise' stops on it, and
     'balanced' (ratio estimates) also where a size's players are not seen equally often. A share that can not be told stops
-    the job; `budgeted` gives it a status.
+    the job; `budgeted` gives it a status. `utility` may be a BatchUtility, for any method.
     """
     if isinstance(per_player, int) and per_player < 1:
         raise ValueError("per_player must be positive")
@@ -176,7 +177,11 @@ def _baseline(split, utility, method, units, seed, tolerance, patience):
         paths = path_values(D.random_order(split, units, seed), utility)
         return E.permutation_mean(paths), _prefixes(paths, inner)
     if method == "truncated":
-        paths = E.truncate_paths(path_values(D.random_order(split, units, seed), utility), tolerance, True, patience)
+        orders = D.random_order(split, units, seed)
+        if isinstance(utility, BatchUtility):  # valued place by place, so that what is cut off is never called
+            paths = evaluate_paths(orders, utility, tolerance, True, patience)
+        else:
+            paths = E.truncate_paths(path_values(orders, utility), tolerance, True, patience)
         return E.truncated_mean(paths), _prefixes(paths, F.col("evaluated"))
     if method == "antithetic":
         paths = path_values(D.antithetic(split, units, seed), utility)

@@ -34,6 +34,20 @@ class Utility:
         return self.value(F.when(F.lit(False), self.own()))
 
 
+@dataclass(frozen=True)
+class BatchUtility:
+    """A utility that values whole coalitions and can not be folded member by member.
+
+    `call` gets a pandas DataFrame with a coalition per row (`members`, a list of players in ascending order or in order of arrival, and a
+    list for each of `columns`, what the members bring) and returns a finite number per row. It may be costly, so nothing
+    calls it twice for a row, and truncated paths stop calling it.
+    """
+
+    name: str
+    call: Callable
+    columns: tuple[str, ...] = ()
+
+
 def _add(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
@@ -65,6 +79,9 @@ def member_mask(player: str = "player") -> Utility:
 
 def evaluate(sampled: Split, utility: Utility, with_rest: bool = False) -> Split:
     """Add `value` = v(S), and with_rest also `rest` = v(N without S), to sampled rows."""
+    if isinstance(utility, BatchUtility):
+        from allotment.operators.custom import evaluate_coalitions
+        return evaluate_coalitions(sampled, utility, with_rest)
 
     def step(df: DataFrame, hot: bool) -> DataFrame:
         states = {"_in": utility.state(F.col("inside"))}
@@ -105,8 +122,11 @@ def boundary(players: Split, utility: Utility) -> Split:
     """v(empty), v(all), v({i}) and v(N without i) beside every player.
 
     N without i is what comes before i merged with what comes after i in player
-    order, so this never lists the n-1 members of any set.
+    order, so this never lists the n-1 members of any set (a BatchUtility must see them all).
     """
+    if isinstance(utility, BatchUtility):
+        from allotment.operators.custom import evaluate_boundary
+        return evaluate_boundary(players, utility)
 
     def step(df: DataFrame, hot: bool) -> DataFrame:
         if not hot:
@@ -133,6 +153,9 @@ def boundary(players: Split, utility: Utility) -> Split:
 
 def path_values(paths: Split, utility: Utility) -> Split:
     """Along every permutation: `before` and `value` around the player's arrival, and `marginal`."""
+    if isinstance(utility, BatchUtility):
+        from allotment.operators.custom import evaluate_paths
+        return evaluate_paths(paths, utility)
 
     def step(df: DataFrame, hot: bool) -> DataFrame:
         if not hot:
@@ -156,6 +179,9 @@ def marginal_values(draws: DataFrame, players: DataFrame, utility: Utility) -> D
     A draw's predecessors fold into one state; the player's own part is merged into it, so with and without share the fold.
     """
     keys = ["game_id", "player", "size", "draw"]
+    if isinstance(utility, BatchUtility):
+        from allotment.operators.custom import evaluate_marginals
+        return evaluate_marginals(draws, players, utility)
     others = players.drop("n").withColumnRenamed("player", "other")
     members = draws.select(*keys, F.explode_outer("predecessors").alias("other")).join(others, ["game_id", "other"], "left")
     states = members.groupBy(*keys).agg(utility.state().alias("_state"))
