@@ -158,7 +158,7 @@ coa AS (SELECT game_id, n, 0 AS design_block, rw AS sample, symbol AS player,
   count(*) AS permutations, CAST(sum(sample*sample) AS BIGINT) AS check_sum FROM coa GROUP BY 1, 2, 3""")
 def component_array_permutations(spark, folder):
     """How often every player stands at every position, with a checksum of the permutations."""
-    rows = D.component_array(games(spark, folder), 1, "coa", 64)
+    rows = D.component_array(games(spark, folder), 1, "coa")
     return rows.groupBy("game_id", "pos", "player").agg(
         F.count(F.lit(1)).alias("permutations"), F.sum(F.col("sample") * F.col("sample")).alias("check_sum"))
 
@@ -168,7 +168,7 @@ SELECT CAST(qs.q AS INTEGER) AS q, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) A
 UNION ALL SELECT q, CAST(a AS INTEGER), CAST(b AS INTEGER), CAST((a+b)%q AS INTEGER), CAST(a*b%q AS INTEGER), CAST(games AS BIGINT) FROM qs, unnest(range(0, q)) r(a), unnest(range(0, q)) r2(b) WHERE q NOT IN (SELECT q FROM ft)""")
 def field_tables_used(spark, folder):
     """The fields that the games need, with the number of games that use each."""
-    used = games(spark, folder).groupBy(B.field_order(F.col("n"), 64).alias("q")).agg(F.count(F.lit(1)).alias("games"))
+    used = games(spark, folder).groupBy(B.field_order(F.col("n")).alias("q")).agg(F.count(F.lit(1)).alias("games"))
     orders = [p for p in sorted({o for _, o in B.field_orders(64)})]
     rows = [(p, a, b, field_tables(p)[0][a][b], field_tables(p)[1][a][b]) for p in orders for a in range(p) for b in range(p)]
     tables = used.sparkSession.createDataFrame(rows, "q INT, a INT, b INT, sum INT, product INT")

@@ -349,7 +349,7 @@ def latin_square_mean(spark, folder):
 
 @query("component_array_mean", q.with_(q.game("max"), GAMES_SQL, COA_SQL) + block_sql("coa"))
 def component_array_mean(spark, folder):
-    return block_report(D.component_array(games(spark, folder), 1, "coa", 64), spark, folder)
+    return block_report(D.component_array(games(spark, folder), 1, "coa"), spark, folder)
 
 
 @query("orthogonal_mean")

@@ -197,37 +197,34 @@ def latin_square(games: DataFrame, blocks: int | Column, seed: str) -> DataFrame
         (F.col("at") + 1).alias("pos"), F.col("base")[(F.col("turn") + F.col("col")) % n].alias("player"))
 
 
-def component_array(games: DataFrame, blocks: int | Column, seed: str, max_players: int = 64) -> DataFrame:
+def component_array(games: DataFrame, blocks: int | Column, seed: str) -> DataFrame:
     """Per block q(q-1) permutations a + m*c over GF(q), q the least prime power >= n.
 
-    Symbols >= n are dummies and are dropped; positions close up. For prime q this is modular
-    arithmetic. Proper prime powers join one table of sums and products, whose size is fixed by
-    `max_players` (9,292 cells at 64), not by the data.
+    Symbols >= n are dummies and are dropped; positions close up. For prime q this is modular arithmetic. Proper prime powers
+    multiply by adding logarithms and add digit by digit, within a row; one row of powers and logarithms per field that occurs
+    (of a few hundred prime powers up to budget.LARGEST_FIELD) is what is broadcast. Larger games have no rows.
     """
-    from allotment.functions.fields import field_tables
-    from allotment.plans.budget import field_order, field_orders, is_prime_power
+    from allotment.functions.fields import field_row
+    from allotment.plans.budget import field_order
     total = F.lit(blocks) if isinstance(blocks, int) else blocks
     q = F.col("q")
-    b = games.withColumn("q", field_order(F.col("n"), max_players)).withColumn(
-        "design_block", F.explode(F.sequence(F.lit(0), total.cast("int") - 1)))
+    b = games.withColumn("q", field_order(F.col("n"))).where("q is not null")
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    used = [field_row(r.q) for r in b.select("q").distinct().collect()]
+    fields = F.broadcast(spark.createDataFrame(used, "q INT, p INT, places ARRAY<INT>, powers ARRAY<INT>, logs ARRAY<INT>"))
+    b = b.withColumn("design_block", F.explode(F.sequence(F.lit(0), total.cast("int") - 1)))
     b = b.repartition(shuffle_partitions(), "game_id", "design_block").withColumn(
         "cols", _first_fixed(q, seed, F.lit("coa"), F.col("game_id"), F.col("design_block")))
-    b = b.withColumn("row", F.explode(F.sequence(F.lit(0), q * (q - 1) - 1)))
-    b = b.select("game_id", "n", "design_block", "q", "row", F.floor(F.col("row") / (q - 1)).cast("int").alias("a"),
-                 (F.col("row") % (q - 1) + 1).alias("m"), F.posexplode("cols").alias("at", "c"))
-    proper = sorted({o for _, o in field_orders(max_players) if is_prime_power(o)[1] > 1})
-    cells = [(o, x, y, field_tables(o)[0][x][y], field_tables(o)[1][x][y]) for o in proper for x in range(o) for y in range(o)]
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    table = spark.createDataFrame(cells, "q INT, x INT, y INT, total INT, product INT")
-    times = F.broadcast(table.select("q", F.col("x").alias("m"), F.col("y").alias("c"), "product"))
-    plus = F.broadcast(table.select("q", F.col("x").alias("a"), F.col("y").alias("_mc"), "total"))
-    b = b.join(times, ["q", "m", "c"], "left").withColumn("_mc", F.coalesce("product", F.col("m") * F.col("c") % q))
-    b = b.join(plus, ["q", "a", "_mc"], "left").withColumn("player", F.coalesce("total", (F.col("a") + F.col("_mc")) % q))
-    # In proper fields the modular fall-backs are never used: the table holds every cell.
-    place = Window.partitionBy("game_id", "design_block", "row").orderBy("at")
-    return b.where("player < n").select(
-        "game_id", "n", "design_block", (F.col("design_block") * q * (q - 1) + F.col("row")).cast("bigint").alias("sample"),
-        F.row_number().over(place).alias("pos"), F.col("player").cast("int").alias("player"))
+    b = b.withColumn("row", F.explode(F.sequence(F.lit(0), q * (q - 1) - 1))).join(fields, "q")
+    b = b.withColumn("a", F.floor(F.col("row") / (q - 1)).cast("int")).withColumn("m", F.col("row") % (q - 1) + 1)
+    digit = lambda x, w: F.floor(x / w).cast("int") % F.col("p")
+    times = lambda c: F.when(c == 0, 0).otherwise(F.get("powers", (F.get("logs", F.col("m")) + F.get("logs", c)) % (q - 1)))
+    plus = lambda x: F.aggregate("places", F.lit(0), lambda s, w: s + (digit(x, w) + digit(F.col("a"), w)) % F.col("p") * w)
+    player = lambda c: F.when(F.col("p") == q, (F.col("a") + F.col("m") * c) % q).otherwise(plus(times(c)))
+    players = F.filter(F.transform("cols", player), lambda x: x < F.col("n"))
+    return b.select("game_id", "n", "design_block", (F.col("design_block") * q * (q - 1) + F.col("row")).cast("bigint").alias("sample"),
+                    F.posexplode(players).alias("at", "player")).select(
+        "game_id", "n", "design_block", "sample", (F.col("at") + 1).alias("pos"), F.col("player").cast("int").alias("player"))
 
 
 def candidate_pool(games: DataFrame, size: Column, pool: int, seed: str, used: DataFrame) -> DataFrame:

@@ -67,17 +67,19 @@ def field_orders(limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def field_order(n: Column, limit: int = 4096) -> Column:
-    """The smallest prime power >= n, looked up among the prime powers up to `limit`."""
-    powers = sorted({q for _, q in field_orders(min(limit, 4096))})
-    if limit > 4096:
-        raise ValueError("component arrays need q(q-1) rows; n above 4096 is not planned")
-    return F.element_at(F.filter(F.array(*[F.lit(q) for q in powers]), lambda q: q >= n), 1)
+#: Component arrays need q(q-1) rows of q symbols; no field is planned above this order.
+LARGEST_FIELD = 4096
 
 
-def block_plan(n: Column, cap: Column, method: str, limit: int = 4096) -> dict[str, Column]:
+def field_order(n: Column) -> Column:
+    """The smallest prime power >= n, looked up among the prime powers up to LARGEST_FIELD; null beyond."""
+    powers = sorted({q for _, q in field_orders(LARGEST_FIELD)})
+    return F.get(F.filter(F.array(*[F.lit(q) for q in powers]), lambda q: q >= n), F.lit(0))
+
+
+def block_plan(n: Column, cap: Column, method: str) -> dict[str, Column]:
     """Latin squares ('ls', n rows per block) or component arrays ('coa', q(q-1) rows)."""
-    q = field_order(n, limit)
+    q = field_order(n)
     rows = n.cast("bigint") if method == "ls" else (q * (q - 1)).cast("bigint")
     cost = rows * (n - 1)
     blocks = F.when((cost > 0) & (cap >= cost + 2), F.floor((cap - 2) / F.greatest(cost, F.lit(1)))).otherwise(0).cast("bigint")

@@ -66,7 +66,7 @@ def entries(method: str, n: Column, cap: Column) -> dict[str, Column]:
     p, cap = price(method, n), cap.cast("bigint")
     bought = F.when(p.unit == 0, F.when(cap >= p.fixed, 1).otherwise(0)).otherwise(
         F.greatest(F.lit(0), F.floor((cap - p.fixed) / F.greatest(p.unit, F.lit(1)))))
-    status = F.when(n < p.players, TOO_FEW).when((cap < p.fixed) | (bought < p.least), INFEASIBLE).otherwise(OK)
+    status = F.when(n < p.players, TOO_FEW).when(p.unit.isNull() | (cap < p.fixed) | (bought < p.least), INFEASIBLE).otherwise(OK)
     good = status == OK
     return {"fixed_calls": F.when(good, p.fixed).otherwise(0).cast("bigint"), "units": F.when(good, bought).otherwise(0).cast("bigint"),
             "unit_calls": p.unit.cast("bigint"), "status": status}

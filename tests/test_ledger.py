@@ -72,3 +72,25 @@ def test_missing_pairs_are_never_silent(spark):
 def test_unknown_methods_have_no_price():
     with pytest.raises(ValueError):
         L.price("nothing", F.lit(3))
+
+
+@pytest.mark.parametrize("n", [65, 81, 125, 128])
+def test_component_arrays_of_large_fields(spark, n):
+    """Every row is a permutation; over a whole field every ordered pair of players stands once in some pairs of columns."""
+    from allotment.operators import designs as D
+    rows = D.component_array(spark.createDataFrame([(1, n)], "game_id BIGINT, n INT"), 1, "c")
+    q = {65: 67}.get(n, n)
+    at = rows.groupBy("sample").agg(F.count("*").alias("c"), F.countDistinct("player").alias("d"), F.max("pos").alias("m")).agg(
+        F.count("*"), F.min("c"), F.min("d"), F.max("m")).first()
+    assert tuple(at) == (q * (q - 1), n, n, n)
+    if q == n:
+        pick = lambda k: F.max(F.when(F.col("pos") == k, F.col("player")))
+        wide = rows.where(F.col("pos").isin(1, 2, n // 2, n)).groupBy("sample").agg(*[pick(k).alias(f"c{i}") for i, k in enumerate((1, 2, n // 2, n))])
+        for a, b in ((0, 1), (1, 2), (0, 3), (2, 3)):
+            assert wide.select(f"c{a}", f"c{b}").distinct().count() == n * (n - 1)
+
+
+def test_games_beyond_the_largest_field(spark):
+    big = spark.createDataFrame([(1, i, 5000, 1) for i in range(5000)], "game_id BIGINT, player INT, n INT, cost BIGINT")
+    runs = budgeted(big, U.max_cost(), "component_array", 1 << 40, "c").runs.collect()
+    assert [(r.status, r.actual_calls) for r in runs] == [(L.INFEASIBLE, 0)]
