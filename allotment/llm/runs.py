@@ -28,7 +28,7 @@ def runs_of(names: np.ndarray, doc: np.ndarray, size: np.ndarray, exponent: int,
     names: what stands at each place, different documents having different names; doc: sequence of each place; size:
     length of each sequence. A run is maximal, has smallest period q and max(least, exponent * q) places or more.
 
-    For a factor length of at least q, an equal factor inside a run can only follow at q (a nearer one would give a
+    For a factor length of at least q, an equal factor within a run can only follow at q (a nearer one would give a
     smaller period), and at the place before the run it can not follow at q. So places whose successors all stand at q
     are the run less its last q + factor places. The powers of two between q and 2q are short enough to fit exponent
     times, so no run is missed; what shows at several lengths is counted once. Memory is a few numbers per word.
@@ -79,9 +79,9 @@ def joined_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray, per_text:
     out = np.zeros(len(size) + 1, dtype=np.int64)
     np.cumsum(size, out=out[1:])
     data = np.full(out[-1], 0x20, dtype=np.uint8)
-    inside = np.ones(out[-1], dtype=bool)
-    inside[out[1:] - 1] = False
-    data[inside] = raw[(np.repeat(start - out[:-1], size) + np.arange(out[-1]))[inside]]
+    within = np.ones(out[-1], dtype=bool)
+    within[out[1:] - 1] = False
+    data[within] = raw[(np.repeat(start - out[:-1], size) + np.arange(out[-1]))[within]]
     bounds = out[np.concatenate([[0], np.cumsum(per_text)])]
     if len(data):                                       # the space behind a text's last word goes
         keep = np.ones(len(data), dtype=bool)
