@@ -1,83 +1,140 @@
 """Estimators and diagnostics whose state is a table of player pairs.
 
-The state is n*n per game (per size for the stratified form) by definition. It is
-built from partial co-membership matrices: one matrix product per (game, block) of
-samples, summed by a group-by over (game, i, j). No row pairs are ever formed.
+The state is n*n per game (per size for the stratified form) by definition. Members are packed per (game, block) of
+samples; a task turns the packs of an Arrow batch into matrix products, many small games at a time, and only sums per
+pair leave it. No pairs of rows and no grid of all pairs are ever formed: what was not seen is told from counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from allotment.operators.designs import shuffle_partitions
 
-TILE = 1024
+#: Cells of a matrix that a product takes or makes at a time.
+CELLS = 2**20
+
+
+def _packs(sampled: DataFrame, weight: str | None = None) -> DataFrame:
+    """Members per (game, block); coalitions without a value are not seen."""
+    fields = [F.col("sample").cast("bigint").alias("sample"), F.col("size").cast("int").alias("size"), F.col("player").cast("int").alias("player"),
+              F.col("value").cast("double").alias("value"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight")]
+    return sampled.where("inside and value is not null").groupBy("game_id", "block").agg(
+        F.first("n").cast("int").alias("n"), F.collect_list(F.struct(*fields)).alias("rows"))
+
+
+def _sums(packs: DataFrame, by_size: bool, multiply, names: dict[str, str]) -> DataFrame:
+    """`multiply(z, tile, value, weight)` of every pack as rows (game_id, size, i, j, *names), not yet summed over packs."""
+    key = [("game_id", pa.int64()), ("size", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]
+    schema = pa.schema(key + [(name, pa.int64() if t == "BIGINT" else pa.float64()) for name, t in names.items()])
+
+    def cells(batches):
+        for batch in batches:
+            packs, lengths = batch.column("rows"), batch.column("rows").value_lengths().to_numpy()
+            flat = packs.flatten()
+            game, n = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("game_id", "n"))
+            field = {c: flat.field(c).to_numpy() for c in ("sample", "size", "player", "value", "weight")}
+            size = field["size"] if by_size else np.zeros_like(field["size"])
+            for g, s, i, j, sums in pair_sums(game, n, size, field["sample"], field["player"], field["value"], field["weight"], multiply):
+                yield pa.record_batch([pa.array(a, t.type) for a, t in zip((g, s, i, j, *sums), schema)], schema=schema)
+
+    ddl = "game_id BIGINT, size INT, i INT, j INT, " + ", ".join(f"{name} {t}" for name, t in names.items())
+    return packs.mapInArrow(cells, ddl)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin a new key."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def pair_sums(game, n, size, sample, player, value, weight, multiply):
+    """Products of the coalitions of every (game, size), stacked for groups of like shape.
+
+    Takes one entry per member. A group with more than CELLS entries is multiplied in parts, each with sums of its own;
+    a matrix with more than CELLS entries is made in tiles of players.
+    """
+    if len(game) == 0:
+        return
+    order = np.lexsort((sample, size, game))
+    game, n, size, sample, player, value, weight = (a[order] for a in (game, n, size, sample, player, value, weight))
+    new = _starts(game, size, sample)
+    row = np.flatnonzero(new)
+    fresh = _starts(game[row], size[row])
+    place = np.arange(len(row)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    fresh |= place % np.maximum(CELLS // n[row], 1) == 0
+    group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    place = np.arange(len(row)) - first[group]
+    players, longest = n[row[first]], 2 ** np.ceil(np.log2(np.bincount(group))).astype(int)
+    shape = np.lexsort((longest, players))
+    rank = np.empty_like(shape)
+    rank[shape] = np.arange(len(shape))
+    # Coalitions and members in the order of the groups' shapes, so that a stack of groups is a range of both.
+    by_row = np.argsort(rank[group], kind="stable")
+    member = np.cumsum(new) - 1
+    by_member = np.argsort(rank[group[member]], kind="stable")
+    row_rank, member_rank = rank[group[by_row]], rank[group[member[by_member]]]
+    lo = 0
+    while lo < len(shape):
+        width, height = int(players[shape[lo]]), int(longest[shape[lo]])
+        room = max(CELLS // (width * max(width, height)), 1)
+        same = (players[shape[lo:lo + room]] == width) & (longest[shape[lo:lo + room]] == height)
+        hi = lo + (len(same) if same.all() else int(np.argmin(same)))
+        rows = by_row[slice(*np.searchsorted(row_rank, [lo, hi]))]
+        members = by_member[slice(*np.searchsorted(member_rank, [lo, hi]))]
+        z = np.zeros((hi - lo, height, width))
+        z[rank[group[member[members]]] - lo, place[member[members]], player[members]] = 1.0
+        v, w = np.zeros((2, hi - lo, height, 1))
+        v[rank[group[rows]] - lo, place[rows], 0], w[rank[group[rows]] - lo, place[rows], 0] = value[row[rows]], weight[row[rows]]
+        of = row[first[shape[lo:hi]]]
+        step = max(CELLS // (width * (hi - lo)), 1)
+        for low in range(0, width, step):
+            sums, used = multiply(z, slice(low, low + step), v, w)
+            g, i, j = np.nonzero(used)
+            yield game[of[g]], size[of[g]], i + low, j, [a[g, i, j] for a in sums]
+        lo = hi
+
+
+def _both(z, tile, v, w):
+    """Count, value sum and weight sum of coalitions holding i and j."""
+    left = z[:, :, tile].transpose(0, 2, 1)
+    count = left @ z
+    return (count.astype("int64"), left @ (z * v), left @ (z * w)), count
+
+
+def _one_of(z, tile, v, w):
+    """Count and value sum of coalitions with i and without j, and of those with j and without i."""
+    left, out = z[:, :, tile].transpose(0, 2, 1), 1.0 - z
+    miss = out[:, :, tile].transpose(0, 2, 1)
+    seen, back = left @ out, miss @ z
+    return (seen.astype("int64"), left @ (out * v), back.astype("int64"), miss @ (z * v)), seen + back
 
 
 def co_membership(sampled: DataFrame, by_size: bool = False, weight: str | None = None) -> DataFrame:
     """Per (game, [size,] i, j): coalitions holding both, their value sum and weight sum.
 
-    `sampled` has game_id, block, sample, size, player, inside, value, n. Members are packed per
-    block of samples of one game (about SAMPLE_ROWS rows), and a task turns every pack into one
-    matrix product per size, emitted in tiles.
+    `sampled` has game_id, block, sample, size, player, inside, value, n.
     """
     level = ["game_id"] + (["size"] if by_size else [])
-    pack = sampled.where("inside").groupBy("game_id", "block").agg(
-        F.first("n").alias("n"), F.collect_list(F.col("sample").cast("bigint")).alias("samples"),
-        F.collect_list(F.col("size").cast("int")).alias("sizes"), F.collect_list(F.col("player").cast("int")).alias("players"),
-        F.collect_list(F.col("value").cast("double")).alias("values"),
-        F.collect_list((F.col(weight) if weight else F.lit(1.0)).cast("double")).alias("weights"))
-
-    def products(batches):
-        names = ["game_id", "size", "i", "j", "count", "total", "weighted"]
-        for pdf in batches:
-            parts = []
-            for r in pdf.itertuples(index=False):
-                for size in (np.unique(r.sizes) if by_size else [0]):
-                    keep = r.sizes == size if by_size else slice(None)
-                    for i, j, cells in pair_tiles(int(r.n), r.samples[keep], r.players[keep], r.values[keep], r.weights[keep]):
-                        parts.append((np.full(len(i), r.game_id), np.full(len(i), size), i, j, *cells))
-            if parts:
-                yield pd.DataFrame({k: np.concatenate([p[c] for p in parts]) for c, k in enumerate(names)})
-
-    partial = pack.mapInPandas(products, "game_id BIGINT, size INT, i INT, j INT, count BIGINT, total DOUBLE, weighted DOUBLE")
-    return partial.groupBy(*level, "i", "j").agg(
-        F.sum("count").alias("count"), F.sum("total").alias("total"), F.sum("weighted").alias("weighted"))
-
-
-def pair_tiles(n, samples, players, values, weights):
-    """Non-empty cells of Z'Z, Z'diag(value)Z and Z'diag(weight)Z of one pack, TILE rows at a time."""
-    index, row = np.unique(samples, return_inverse=True)
-    z = np.zeros((len(index), n))
-    z[row, players] = 1.0
-    value, weight = np.zeros(len(index)), np.zeros(len(index))
-    value[row], weight[row] = values, weights
-    for lo in range(0, n, TILE):
-        left = z[:, lo:lo + TILE].T
-        count = left @ z
-        i, j = np.nonzero(count)
-        total, weighted = (left * value) @ z, (left * weight) @ z
-        yield i + lo, j, (count[i, j].astype("int64"), total[i, j], weighted[i, j])
-
-
-def _pair_means(sampled: DataFrame, players: DataFrame, by_size: bool) -> DataFrame:
-    """Rows (game, [size,] i, j) for all ordered pairs i != j: `seen` coalitions with i and without j, and their mean."""
+    names = {"count": "BIGINT", "total": "DOUBLE", "weighted": "DOUBLE"}
+    return _sums(_packs(sampled, weight), by_size, _both, names).groupBy(*level, "i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def contrasts(sampled: DataFrame, by_size: bool = False) -> DataFrame:
+    """Per (game, [size,] i, j), i != j: coalitions with i and without j (`seen`, `total`) and their mirror (`back`, `back_total`).
+
+    Pairs that no coalition tells apart have no row. All pairs of one player are in one partition, so that sums per player
+    need no further shuffle; a game's players are spread over the partitions.
+    """
     level = ["game_id"] + (["size"] if by_size else [])
-    co = co_membership(sampled, by_size)
-    single = co.where("i = j").select(*level, "i", F.col("count").alias("own_count"), F.col("total").alias("own_total"))
-    grid = players.select("game_id", "n", F.col("player").alias("i"))
-    if by_size:
-        grid = grid.withColumn("size", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("i <> j")
-    both = co.where("i <> j").select(*level, "i", "j", F.col("count").alias("both_count"), F.col("total").alias("both_total"))
-    joined = grid.join(single, [*level, "i"], "left").join(both, [*level, "i", "j"], "left").fillna(
-        0, ["own_count", "own_total", "both_count", "both_total"])
-    seen = F.col("own_count") - F.col("both_count")
-    return joined.select(*level, "n", "i", "j", seen.alias("seen"),
-                         ((F.col("own_total") - F.col("both_total")) / F.nullif(seen, F.lit(0))).alias("mean"))
+    names = {"seen": "BIGINT", "total": "DOUBLE", "back": "BIGINT", "back_total": "DOUBLE"}
+    parts = _sums(_packs(sampled), by_size, _one_of, names).repartition(shuffle_partitions(), "game_id", "i")
+    return parts.groupBy(*level, "i", "j").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def differential(sampled: DataFrame, players: DataFrame, by_size: bool = False) -> DataFrame:
@@ -86,32 +143,28 @@ def differential(sampled: DataFrame, players: DataFrame, by_size: bool = False)
     m_ij is the mean value of coalitions with i and without j. The share is null when some
     ordered pair (at some size) was never seen. `players` has game_id, player, n and endpoints.
     """
-    means = _pair_means(sampled, players, by_size)
-    # +m_ij for player i and -m_ij for player j, so a pair never has to meet its mirror.
-    signed = means.select("game_id", "n", F.explode(F.array(
-        F.struct(F.col("i").alias("player"), F.col("mean").alias("m")),
-        F.struct(F.col("j").alias("player"), (-F.col("mean")).alias("m")))).alias("e"), F.col("mean").isNull().alias("gap"))
-    sums = signed.groupBy("game_id", F.col("e.player").alias("player")).agg(F.sum("e.m").alias("swing"), F.max("gap").alias("gap"))
+    swing = F.col("total") / F.nullif(F.col("seen"), F.lit(0)) - F.col("back_total") / F.nullif(F.col("back"), F.lit(0))
+    sums = contrasts(sampled, by_size).groupBy("game_id", F.col("i").alias("player")).agg(
+        F.sum(swing).alias("swing"), F.count(swing).alias("covered"))
     ends = players.select("game_id", "player", "n", "empty_value", "full_value")
-    scale = F.col("n") * (F.col("n") - 1) if by_size else F.col("n")
-    gapped = F.max("gap").over(_game())
-    joined = ends.join(sums, ["game_id", "player"], "left")
-    base = (F.col("full_value") - F.col("empty_value")) / F.col("n")
-    share = F.when(F.col("n") == 1, base).when(~gapped, base + F.col("swing") / scale)
-    return joined.select("game_id", "player", share.alias("share"))
-
-
-def _game():
-    from pyspark.sql import Window
-    return Window.partitionBy("game_id")
+    levels = F.col("n").cast("bigint") - 1 if by_size else F.lit(1)
+    pairs = F.col("n").cast("bigint") * (F.col("n") - 1) * levels
+    joined = ends.join(sums, ["game_id", "player"], "left").withColumn("covered", F.sum("covered").over(Window.partitionBy("game_id")))
+    share = F.when(F.col("n") == 1, F.lit(0.0)).when(F.col("covered") == pairs, F.col("swing") / (F.col("n") * levels))
+    return joined.select("game_id", "player", ((F.col("full_value") - F.col("empty_value")) / F.col("n") + share).alias("share"))
 
 
 def pair_coverage(sampled: DataFrame, players: DataFrame, by_size: bool = False) -> DataFrame:
     """Ordered pairs covered, and the least and most coalitions per pair."""
-    means = _pair_means(sampled, players, by_size)
-    return means.groupBy("game_id", *(["size"] if by_size else [])).agg(
-        F.count(F.lit(1)).alias("pairs"), F.sum((F.col("seen") > 0).cast("bigint")).alias("covered"),
-        F.min("seen").alias("least"), F.max("seen").alias("most"))
+    games = players.where("player = 0 and n > 1").select("game_id", "n")
+    level = ["game_id"] + (["size"] if by_size else [])
+    if by_size:
+        games = games.withColumn("size", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+    counts = contrasts(sampled, by_size).groupBy(*level).agg(
+        F.sum((F.col("seen") > 0).cast("bigint")).alias("covered"), F.min("seen").alias("least"), F.max("seen").alias("most"))
+    pairs = F.col("n").cast("bigint") * (F.col("n") - 1)
+    found = games.join(counts, level, "left").fillna(0, ["covered", "least", "most"])
+    return found.select(*level, pairs.alias("pairs"), "covered", F.when(F.col("covered") == pairs, F.col("least")).otherwise(0).alias("least"), "most")
 
 
 def kernel_moments(sampled: DataFrame) -> DataFrame:

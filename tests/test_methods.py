@@ -276,14 +276,62 @@ def test_stream_refuses_another_configuration(spark, tmp_path):
         check_configuration(spark, str(tmp_path), "b")
 
 
-def test_pair_tiles_match_a_loop(monkeypatch):
-    monkeypatch.setattr(P, "TILE", 2)
-    samples, members = np.array([0, 0, 1, 1, 1]), np.array([0, 2, 1, 2, 4])
-    values, weights = np.array([2.0, 2, 5, 5, 5]), np.ones(5)
-    cells = {}
-    for i, j, (count, total, _) in P.pair_tiles(5, samples, members, values, weights):
-        cells.update({(a, b): (c, t) for a, b, c, t in zip(i, j, count, total)})
-    assert cells[(2, 2)] == (2, 7.0) and cells[(1, 4)] == (1, 5.0) and (0, 1) not in cells
+@pytest.mark.parametrize("multiply", [P._both, P._one_of])
+def test_pair_sums_in_parts_and_tiles(monkeypatch, multiply):
+    rng = np.random.default_rng(1)
+    rows = [(g, n, 0, t, p, float(g + t), 1.0) for g, n in ((3, 4), (1, 9), (2, 4)) for t in range(11) for p in rng.permutation(n)[:1 + t % (n - 1)]]
+    columns = [np.array(c) for c in zip(*rows)]
+
+    def sums(cells):
+        monkeypatch.setattr(P, "CELLS", cells)
+        out = {}
+        for g, s, i, j, parts in P.pair_sums(*columns, multiply):
+            assert len(g) <= max(cells, 9)
+            for *key, a, b in zip(g, s, i, j, *parts[:2]):
+                out[tuple(key)] = out.get(tuple(key), 0) + np.array([a, b])
+        return {k: tuple(v) for k, v in out.items()}
+
+    assert sums(4) == sums(30) == sums(2**20)
+
+
+@pytest.mark.parametrize("by_size", [False, True])
+def test_pair_sums_match_loops(spark, by_size):
+    """Games of several sizes in several packs, a coalition without a value, a game never sampled."""
+    rng = np.random.default_rng(3)
+    rows, coalitions = [], []
+    for game, n, draws in ((1, 2, 3), (2, 5, 40), (3, 5, 1), (4, 9, 17), (5, 1, 0), (6, 4, 0)):
+        for sample in range(draws):
+            z = np.zeros(n, bool)
+            z[rng.permutation(n)[:rng.integers(1, n)]] = True
+            value = None if (game, sample) == (4, 3) else float(rng.integers(100))
+            rows += [(game, sample // 7, sample, int(z.sum()), p, bool(z[p]), value, n) for p in range(n)]
+            if value is not None:
+                coalitions.append((game, int(z.sum()) if by_size else 0, z, value))
+    sampled = spark.createDataFrame(rows, "game_id long, block long, sample long, size int, player int, inside boolean, value double, n int")
+    one_of, both = Counter(), Counter()
+    for game, size, z, value in coalitions:
+        for i in np.flatnonzero(z):
+            for j in range(len(z)):
+                into = both if z[j] else one_of
+                into[game, size, i, j, "count"] += 1
+                into[game, size, i, j, "total"] += value
+    size = lambda r: r["size"] if by_size else 0
+    for r in (got := P.contrasts(sampled, by_size).collect()):
+        for i, j, count, total in ((r["i"], r["j"], r["seen"], r["total"]), (r["j"], r["i"], r["back"], r["back_total"])):
+            assert (one_of[r["game_id"], size(r), i, j, "count"], one_of[r["game_id"], size(r), i, j, "total"]) == (count, total)
+    assert sum(r["seen"] > 0 for r in got) == len(one_of) // 2
+    got = P.co_membership(sampled, by_size, "value").collect()
+    assert len(got) == len(both) // 2
+    for r in got:
+        key = r["game_id"], size(r), r["i"], r["j"]
+        assert r["count"] == both[*key, "count"] and r["total"] == r["weighted"] == both[*key, "total"]
+    ends = spark.createDataFrame([(g, p, n, 0.0, 6.0) for g, n in ((1, 2), (5, 1), (6, 4)) for p in range(n)],
+                                 "game_id long, player int, n int, empty_value double, full_value double")
+    shares_ = {(r["game_id"], r["player"]): r["share"] for r in P.differential(sampled, ends, by_size).collect()}
+    assert shares_[5, 0] == 6.0 and shares_[6, 0] is None and len(shares_) == 7
+    cover = {(r["game_id"], r["size"] if by_size else 0): r for r in P.pair_coverage(sampled, ends, by_size).collect()}
+    assert len(cover) == (1 + 3 if by_size else 2)
+    assert (cover[6, 1 if by_size else 0]["pairs"], cover[6, 1 if by_size else 0]["covered"], cover[6, 1 if by_size else 0]["least"]) == (12, 0, 0)
 
 
 def test_pool_ends_and_uses_every_subset_once():
