@@ -385,7 +385,15 @@ MOMENT_SQL = q.with_(q.game("max"), q.ordered(12, "anti"), """rr AS (SELECT * EX
 """ + q.path_values().replace("FROM rk", "FROM rr"), """pp AS (SELECT game_id, player, pair, avg(marginal) AS c FROM pm GROUP BY 1, 2, 3),
 mm AS (SELECT game_id, player, count(*) AS count, sum(c) AS total, sum(c*c) AS squares, sum(CASE WHEN pair < 6 THEN c ELSE 0 END) AS first_total, CAST(count(*) FILTER (WHERE pair < 6) AS BIGINT) AS first_count FROM pp GROUP BY 1, 2),
 ru AS (SELECT game_id, player, total/count AS value, sqrt(greatest((squares - count*(total/count)*(total/count))/(count - 1), 0)/count) AS se, first_total/first_count - (total - first_total)/(count - first_count) AS hg FROM mm)""")
-CRITICAL = 2.718079  # Fixed value: Student t at 0.99 with 11 degrees of freedom.
+# For 11 degrees of freedom P(|T| <= t) is a finite sum in a = atan(t/sqrt(11)); halving inverts it for every number of players.
+CRITICAL_SQL = """,
+cr AS (WITH RECURSIVE h(n, lo, hi, k) AS (SELECT DISTINCT n, CAST(0 AS DOUBLE), CAST(100 AS DOUBLE), 0 FROM pl UNION ALL
+  SELECT n, CASE WHEN p < 1 - 0.05/n THEN t ELSE lo END, CASE WHEN p < 1 - 0.05/n THEN hi ELSE t END, k + 1 FROM (
+  SELECT *, 2/pi()*(a + sin(a)*(cos(a) + 2/3.0*cos(a)^3 + 8/15.0*cos(a)^5 + 16/35.0*cos(a)^7 + 128/315.0*cos(a)^9)) AS p FROM (
+  SELECT *, (lo + hi)/2 AS t, atan((lo + hi)/2/sqrt(11.0)) AS a FROM h WHERE k < 60) x) y)
+  SELECT n, hi AS critical FROM h WHERE k = 60),
+rc AS (SELECT ru.*, critical*se AS hw FROM ru JOIN (SELECT game_id, n FROM pl WHERE player = 0) g USING (game_id) JOIN cr USING (n))
+"""
 
 
 def pair_contributions(spark, folder):
@@ -393,16 +401,16 @@ def pair_contributions(spark, folder):
     return paths.rows().groupBy("game_id", "pair", "player").agg(F.avg("marginal").alias("contribution"))
 
 
-@query("reference_uncertainty", MOMENT_SQL + f"SELECT game_id, player, {q.tidy('value')} AS value, {q.tidy('se', 3)} AS standard_error, {q.tidy('2.718079*se', 3)} AS half_width, {q.tidy('hg')} AS half_gap FROM ru")
+@query("reference_uncertainty", MOMENT_SQL + CRITICAL_SQL + f"SELECT game_id, player, {q.tidy('value')} AS value, {q.tidy('se', 3)} AS standard_error, {q.tidy('hw', 3)} AS half_width, {q.tidy('hg')} AS half_gap FROM rc")
 def reference_uncertainty(spark, folder):
-    out = A.reference_uncertainty(A.reference_moments(pair_contributions(spark, folder), F.col("pair") < 6), CRITICAL)
+    out = A.reference_uncertainty(A.reference_moments(pair_contributions(spark, folder), F.col("pair") < 6))
     return out.select("game_id", "player", tidy(F.col("value")).alias("value"), tidy(F.col("standard_error"), 3).alias("standard_error"),
                       tidy(F.col("half_width"), 3).alias("half_width"), tidy(F.col("half_gap")).alias("half_gap"))
 
 
-@query("reference_summary", MOMENT_SQL + f"SELECT game_id, {q.tidy('sqrt(avg(se*se))', 3)} AS rms_standard_error, {q.tidy('2.718079*max(se)', 3)} AS largest_half_width, {q.tidy('0.5*sqrt(avg(hg*hg))', 3)} AS half_split_rmse FROM ru GROUP BY 1")
+@query("reference_summary", MOMENT_SQL + CRITICAL_SQL + f"SELECT game_id, {q.tidy('sqrt(avg(se*se))', 3)} AS rms_standard_error, {q.tidy('max(hw)', 3)} AS largest_half_width, {q.tidy('0.5*sqrt(avg(hg*hg))', 3)} AS half_split_rmse FROM rc GROUP BY 1")
 def reference_summary(spark, folder):
-    return tidied(A.reference_summary(A.reference_uncertainty(A.reference_moments(pair_contributions(spark, folder), F.col("pair") < 6), CRITICAL)), [], 3)
+    return tidied(A.reference_summary(A.reference_uncertainty(A.reference_moments(pair_contributions(spark, folder), F.col("pair") < 6))), [], 3)
 
 
 @query("scope_comparison", CLEAN_SQL + PAIRED + """, su AS (SELECT game_id, budget_index, sqrt(avg(mse) FILTER (WHERE method = 'truncated')) AS mine, sqrt(avg(mse) FILTER (WHERE method = 'plain')) AS theirs FROM ce GROUP BY 1, 2),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allotment.functions.hashing import order_key
+from allotment.functions.student import simultaneous_t
 from allotment.operators.skew import hot_rows
 
 CELL = ["game_id", "method", "repeat", "budget_index"]
@@ -319,14 +320,19 @@ def reference_moments(contributions: DataFrame, halves: Column) -> DataFrame:
         F.sum(F.when(halves, x).otherwise(0.0)).alias("first_total"), F.sum(halves.cast("bigint")).alias("first_count"))
 
 
-def reference_uncertainty(moments: DataFrame, critical: float) -> DataFrame:
-    """Value, standard error, simultaneous half-width (critical value given) and half-split gap per player."""
+def reference_uncertainty(moments: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Value, standard error, simultaneous half-width and half-split gap per player.
+
+    The half-widths hold for all players of a game together at level alpha: Student t with count - 1 degrees of
+    freedom at alpha over twice the players. `moments` has one row per player.
+    """
     n = F.col("count")
+    moments = moments.withColumn("critical", simultaneous_t(n, F.count(F.lit(1)).over(Window.partitionBy("game_id")), alpha))
     mean = F.col("total") / n
     variance = F.greatest((F.col("squares") - n * mean * mean) / (n - 1), F.lit(0.0))
     first, second = F.col("first_total") / F.col("first_count"), (F.col("total") - F.col("first_total")) / (n - F.col("first_count"))
     return moments.select("game_id", "player", mean.alias("value"), F.sqrt(variance / n).alias("standard_error"),
-                          (critical * F.sqrt(variance / n)).alias("half_width"), (first - second).alias("half_gap"))
+                          (F.col("critical") * F.sqrt(variance / n)).alias("half_width"), (first - second).alias("half_gap"))
 
 
 def reference_summary(uncertainty: DataFrame) -> DataFrame:

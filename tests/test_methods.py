@@ -431,3 +431,18 @@ def test_logistic_models_train_on_rows(spark, one_pass):
         assert got[sample] == pytest.approx(w)
     scores = L.logistic_scores(train.select("label", "features"), models, labels, 5).collect()
     assert len(scores) == 4 and all(0 <= r["accuracy"] <= 1 and r["log_likelihood"] < 0 for r in scores)
+
+
+def test_critical_values(spark):
+    """Published quantiles, the closed forms of one and two degrees of freedom, and the tail at the answer."""
+    from allotment.functions.student import critical, simultaneous_t, upper_tail
+    for df, tail, want in ((10, 0.025, 2.2281), (30, 0.025, 2.0423), (5, 0.005, 4.0321), (11, 0.01, 2.7181), (1_000_000, 0.025, 1.9600)):
+        assert critical(df, tail) == pytest.approx(want, abs=5e-5)
+    for tail in (0.4, 0.025, 1e-3, 1e-7):
+        assert critical(1, tail) == pytest.approx(1 / math.tan(math.pi * tail), rel=1e-9)
+        assert critical(2, tail) == pytest.approx((1 - 2 * tail) / math.sqrt(2 * tail * (1 - tail)), rel=1e-9)
+        for df in (3, 17, 400, 50_000):
+            assert upper_tail(critical(df, tail), df) == pytest.approx(tail, rel=1e-9)
+    rows = spark.createDataFrame([(12, 1), (12, 5), (1, 3), (0, 2), (None, 2), (12, 5)], "count long, players long")
+    got = [r[0] for r in rows.coalesce(1).select(simultaneous_t(F.col("count"), F.col("players"), 0.05)).collect()]
+    assert got == [pytest.approx(critical(11, 0.025)), pytest.approx(critical(11, 0.005)), None, None, None, pytest.approx(critical(11, 0.005))]
