@@ -185,8 +185,12 @@ def size_profile_linear(spark, folder):
 
 
 def pair_sql(by_size=False, seed="diff", samples=48):
+    return q.with_(q.game("max", 2), q.ordered(samples, seed), q.sizes(samples, seed, "kernel"), q.evaluated()) + pair_sums_sql(by_size)
+
+
+def pair_sums_sql(by_size):
     lv = "game_id, size" if by_size else "game_id"
-    return q.with_(q.game("max", 2), q.ordered(samples, seed), q.sizes(samples, seed, "kernel"), q.evaluated()) + f""",
+    return f""",
 mb AS (SELECT game_id, sample, size, player, value FROM ev WHERE inside),
 ow AS (SELECT {lv}, player AS i, count(*) AS c, sum(value) AS v FROM mb GROUP BY ALL),
 bo AS (SELECT {', '.join('a.' + x for x in lv.split(', '))}, a.player AS i, b.player AS j, count(*) AS c, sum(a.value) AS v FROM mb a JOIN mb b ON a.game_id = b.game_id AND a.sample = b.sample AND a.player <> b.player GROUP BY ALL),
@@ -220,6 +224,22 @@ def stratified_differential(spark, folder):
     return shares(P.differential(sampled.rows(), players.rows(), by_size=True))
 
 
+@query("stratified_differential_covered", q.with_(q.game("max", 2)) + """,
+sh0 AS (SELECT a.game_id, a.n, s AS size, s*1000000 + h AS sample, a.player, ((a.player - h) % a.n + a.n) % a.n < s AS inside, a.cost
+  FROM pl a, unnest(range(1, a.n)) rs(s), unnest(range(0, a.n)) rh(h)),
+ev AS (SELECT *, CAST(max(cost) FILTER (WHERE inside) OVER (PARTITION BY game_id, sample) AS DOUBLE) AS value FROM sh0)""" + pair_sums_sql(True) + _pair_share("n*(n-1)"))
+def stratified_differential_covered(spark, folder):
+    """Complete cyclic orbits of the first s players at every size tell every ordered pair apart: no share is null."""
+    players = max_game(spark, folder, 2).rows()
+    games_ = players.where("player = 0").select("game_id", "n")
+    bases = games_.withColumn("size", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn(
+        "members", F.sequence(F.lit(0), F.col("size") - 1))
+    orbit = D.cyclic_orbit(bases).withColumn("design", F.lit("orbit")).withColumn(
+        "sample", (F.col("size") * 1000000 + F.col("shift")).cast("bigint"))
+    sampled = U.evaluate(Split(G.sampled_rows(orbit, players)), U.max_cost())
+    return shares(P.differential(sampled.rows(), players, by_size=True))
+
+
 SDIFF_CALLS = "ceil(6*n*ln(n) + 4*n*ln(n)*ln(n)) + 2"
 
 
