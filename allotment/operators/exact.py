@@ -167,9 +167,11 @@ def win_probability_by_size(players: DataFrame) -> DataFrame:
 
 
 def mean_cost_by_size(rows: DataFrame) -> DataFrame:
-    """Mean airport value at every size 1..n: sum over levels of (d_k - d_(k-1)) (1 - C(low,s)/C(n,s)).
+    """Mean airport value at every size 1..n: the top cost less, over levels, (d_k - d_(k-1)) C(low,s)/C(n,s).
 
-    low = players cheaper than the level. The ratio of binomials is a running product over s.
+    low = players cheaper than the level; sizes above it have ratio 0 and no row. A level's ratios are one running sum of
+    logarithms over its sizes, so a game costs (levels * n) steps. Levels are dealt out before their sizes are listed, so the
+    levels of one game fill many tasks, and only partial sums by size are shuffled after that.
     """
     levels = rows.groupBy("game_id", "cost").agg(F.count(F.lit(1)).alias("players"))
 
@@ -178,9 +180,14 @@ def mean_cost_by_size(rows: DataFrame) -> DataFrame:
     steps = levels.select(
         "game_id", (F.col("cost") - F.coalesce(F.lag("cost").over(up), F.lit(0))).alias("rise"),
         F.coalesce(F.sum("players").over(below), F.lit(0)).alias("low"),
-        F.sum("players").over(Window.partitionBy("game_id")).alias("n"))
-    sized = steps.withColumn("size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    # C(low, s)/C(n, s) as a product; zero when s > low.
-    ratio = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1), F.lit(1.0),
-                            lambda acc, k: acc * F.greatest(F.col("low") - k, F.lit(0)) / (F.col("n") - k))
-    return sized.groupBy("game_id", "size").agg(F.sum(F.col("rise") * (1 - ratio)).alias("mean_value"))
+        F.sum("players").over(Window.partitionBy("game_id")).alias("n"), F.max("cost").over(Window.partitionBy("game_id")).alias("top"))
+
+    size = Window.partitionBy("game_id", "low").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    sized = steps.where("low > 0").repartition(shuffle_partitions(), "game_id", "low").withColumn(
+        "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("low"))))
+    factor = (F.col("low") - F.col("size") + 1) / (F.col("n") - F.col("size") + 1)
+    missed = sized.select("game_id", "size", (F.col("rise") * F.exp(F.sum(F.log(factor)).over(size))).alias("missed"))
+    tops = steps.where("low = 0").select("game_id", "top", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("size"))
+    whole = tops.select("game_id", "size", F.col("top").cast("double").alias("value"))
+    return whole.unionByName(missed.select("game_id", "size", (-F.col("missed")).alias("value"))).groupBy("game_id", "size").agg(
+        F.sum("value").alias("mean_value"))

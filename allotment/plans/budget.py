@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from allotment.functions.hashing import order_key
 from allotment.functions.laws import SizeLaw
+from allotment.operators.skew import key_bucket
 
 # The grid defaults of the comparison experiments.
 MULTIPLIERS = [500, 1000, 2000, 5000, 10000]
@@ -102,16 +103,22 @@ def per_player_rows(n: Column, per_player: Column, mode: Column) -> Column:
 def marginal_counts(players: DataFrame, cap: Column, seed: str) -> DataFrame:
     """Stratified marginal sampling: floor(cap/2) samples over the n*n cells (player, size 0..n-1).
 
-    Counts differ by at most one; the cells that get one more are the first in hash order.
-    Ranks run per game over n*n cells, the table the plan itself must have.
+    Counts differ by at most one; the cells that get one more are the first in hash order. Their ranks are taken within even
+    buckets of the hash and set off by the counts of earlier buckets, so no task holds all n*n cells of a large game.
     """
     cells = players.select("game_id", "player", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("size"))
-    rank = F.row_number().over(Window.partitionBy("game_id").orderBy(
-        order_key(seed, F.lit("cell"), F.col("game_id"), F.col("player"), F.col("size")), "player", "size"))
-    samples = F.floor(cap / 2).cast("bigint")
     area = F.col("n").cast("bigint") * F.col("n")
-    return cells.withColumn("count", F.floor(samples / area) + F.when(rank <= samples % area, 1).otherwise(0)).withColumn(
-        "count", F.col("count").cast("bigint"))
+    cells = cells.withColumn("_key", order_key(seed, F.lit("cell"), F.col("game_id"), F.col("player"), F.col("size"))).withColumn(
+        "_bucket", key_bucket("_key", area))
+    earlier = Window.partitionBy("game_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.groupBy("game_id", "_bucket").agg(F.count("*").alias("_rows")).select(
+        "game_id", "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("game_id", "_bucket").orderBy("_key", "player", "size"))
+    rank = F.col("_within") + F.col("_before")
+    samples = F.floor(cap / 2).cast("bigint")
+    count = F.floor(samples / area) + F.when(rank <= samples % area, 1).otherwise(0)
+    return cells.withColumn("_within", within).join(before, ["game_id", "_bucket"]).withColumn("count", count.cast("bigint")).drop(
+        "_key", "_bucket", "_before", "_within")
 
 
 def minimum_one_counts(games: DataFrame, samples: Column, law: SizeLaw) -> DataFrame:

@@ -25,3 +25,22 @@ def test_result_does_not_depend_on_partitions(spark, conf, name, partitions):
     expected = rows()
     conf("spark.sql.shuffle.partitions", partitions)
     assert rows() == expected
+
+
+@pytest.mark.parametrize("hot", [7, 10**6])
+def test_marginal_counts_in_buckets(spark, conf, con, hot):
+    conf("spark.allotment.hotRows", hot)
+    assert compare(QUERIES["plan_marginal_counts"](spark, FOLDER), ORACLES["plan_marginal_counts"], con) == "ok"
+
+
+def test_mean_cost_of_a_large_game(spark):
+    """400 players with 100 costs against exact binomials."""
+    from fractions import Fraction
+    from math import comb
+    from allotment.operators.exact import mean_cost_by_size
+    costs = sorted(3 * (p % 100) + 2 for p in range(400))
+    got = {r.size: r.mean_value for r in mean_cost_by_size(spark.createDataFrame([(5, c) for c in costs], "game_id long, cost long")).collect()}
+    for s in (1, 2, 7, 150, 399, 400):
+        exact = Fraction(sum(c * comb(i, s - 1) for i, c in enumerate(costs)), comb(400, s))
+        assert abs(got[s] - float(exact)) < 1e-9 * float(exact)
+    assert len(got) == 400
