@@ -142,19 +142,20 @@ def field_values():
     return "ft AS (SELECT * FROM (VALUES " + ",".join(out) + ") v(q, a, b, s, m))"
 
 
-COA_SQL = field_values() + ",\n" + PP_SQL + """,
-gq AS (SELECT gm.game_id, gm.n, pp.q FROM gm JOIN pp USING (n)),
-cp AS (SELECT game_id, n, q, p, row_number() OVER (PARTITION BY game_id ORDER BY CASE WHEN p = 0 THEN -1 ELSE {k} END, p) - 1 AS i
+def coa_sql(blocks=1):
+    return field_values() + ",\n" + PP_SQL + """,
+gq AS (SELECT gm.game_id, gm.n, pp.q, b FROM gm JOIN pp USING (n), range({blocks}) t(b)),
+cp AS (SELECT game_id, n, q, b, p, row_number() OVER (PARTITION BY game_id, b ORDER BY CASE WHEN p = 0 THEN -1 ELSE {k} END, p) - 1 AS i
   FROM gq, unnest(range(0, q)) r(p)),
 cr AS (SELECT cp.*, rw, rw//(q-1) AS sh, rw%(q-1) + 1 AS sc FROM cp, unnest(range(0, q*(q-1))) r(rw)),
 cs AS (SELECT cr.*, CASE WHEN f1.q IS NULL THEN (sh + sc*p) % cr.q ELSE f2.s END AS symbol FROM cr
   LEFT JOIN ft f1 ON f1.q = cr.q AND f1.a = sc AND f1.b = cr.p LEFT JOIN ft f2 ON f2.q = cr.q AND f2.a = sh AND f2.b = f1.m),
-coa AS (SELECT game_id, n, 0 AS design_block, rw AS sample, symbol AS player,
-  row_number() OVER (PARTITION BY game_id, rw ORDER BY i) AS pos FROM cs WHERE symbol < n)""".format(
-    k=q.key("'coa'", "'coa'", "game_id", "0", "p"))
+coa AS (SELECT game_id, n, b AS design_block, b*q*(q-1) + rw AS sample, symbol AS player,
+  row_number() OVER (PARTITION BY game_id, b, rw ORDER BY i) AS pos FROM cs WHERE symbol < n)""".format(
+        blocks=blocks, k=q.key("'coa'", "'coa'", "game_id", "b", "p"))
 
 
-@query("component_array_permutations", q.with_(GAMES_SQL, COA_SQL) + """SELECT game_id, CAST(pos AS INTEGER) AS pos, CAST(player AS INTEGER) AS player,
+@query("component_array_permutations", q.with_(GAMES_SQL, coa_sql()) + """SELECT game_id, CAST(pos AS INTEGER) AS pos, CAST(player AS INTEGER) AS player,
   count(*) AS permutations, CAST(sum(sample*sample) AS BIGINT) AS check_sum FROM coa GROUP BY 1, 2, 3""")
 def component_array_permutations(spark, folder):
     """How often every player stands at every position, with a checksum of the permutations."""
