@@ -44,17 +44,16 @@ def stratified_split(points: DataFrame, test_share: float, seed: str) -> DataFra
 def round_robin_split(points: DataFrame, valued: int, performance: int, seed: str) -> DataFrame:
     """Deal the labels in turn: the first `valued` points are valued, the next `performance` score them.
 
-    The place in the deal follows from the class counts, so nothing is sorted globally.
+    Round r deals every label its r-th point, and each round has a point, so only the first valued + performance points of a
+    label can have a place. Rounds are ordered by label on their own; the sizes of earlier rounds, as many rows as there are
+    places to give, set them off.
     """
-    ranked = class_ranks(points, seed)
-    counts = points.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    # One row with one entry per label.
-    table = counts.agg(F.collect_list(F.struct("label", "rows")).alias("classes")).withColumn("one", F.lit(1))
-    joined = ranked.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
-    earlier = F.aggregate("classes", F.lit(0).cast("bigint"), lambda acc, c: acc + F.least(c["rows"], F.col("rank").cast("bigint") - 1))
-    same = F.aggregate("classes", F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(
-        (c["rows"] >= F.col("rank")) & (c["label"] <= F.col("label")), 1).otherwise(0).cast("bigint"))
-    place = joined.withColumn("place", earlier + same)
+    ranked = class_ranks(points, seed).where(F.col("rank") <= valued + performance)
+    sizes = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("dealt"))
+    earlier = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("rank", F.coalesce(F.sum("dealt").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("rank").orderBy("label"))
+    place = ranked.withColumn("within", within).join(F.broadcast(before), "rank").withColumn("place", F.col("before") + F.col("within"))
     role = F.when(F.col("place") <= valued, "valued").when(F.col("place") <= valued + performance, "performance")
     return place.withColumn("role", role).where("role is not null").select("point_id", "label", "place", "role")
 
@@ -62,7 +61,7 @@ def round_robin_split(points: DataFrame, valued: int, performance: int, seed: st
 def standardise(points: DataFrame, places: int = 9) -> DataFrame:
     """Scale features by the mean and deviation of the training rows; constant features drop out.
 
-    The statistics are one row with an entry per feature.
+    The statistics are one row with an entry per feature, no wider than a point is, which bounds their broadcast.
     """
     train = points.where("split = 'train'").select(F.posexplode("features").alias("feature", "x"))
     stats = train.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
