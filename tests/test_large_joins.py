@@ -1,0 +1,25 @@
+"""Joins of tables that both grow with the games are never planned as broadcasts, however small their files look."""
+
+import pytest
+
+from allotment.catalog import QUERIES
+from conftest import FOLDER
+
+
+@pytest.mark.parametrize("name", [
+    "all_permutations_mean", "attribute_complete_orbits", "attribute_coupled", "attribute_greedy_by_size", "attribute_orbit", "attribute_stratified",
+    "estimate_bias", "estimate_cells", "frame_discrepancy", "greedy_design_discrepancy"])
+def test_no_broadcast(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    assert "SortMergeJoin" in plan
+
+
+def test_cell_reports_do_not_broadcast(spark, monkeypatch):
+    from allotment.catalog import results
+    seen = []
+    monkeypatch.setattr(results, "cut", lambda df, name="": seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    for name in ("bootstrap_change", "bootstrap_rmse", "comparison_table", "configuration_ranking", "design_error_correlation", "efficiency_gap",
+                 "error_trend", "geometric_mean_ratio"):
+        seen.append(QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString())
+    assert not [plan for plan in seen if "BroadcastHashJoin" in plan]
