@@ -23,3 +23,35 @@ def test_cell_reports_do_not_broadcast(spark, monkeypatch):
                  "error_trend", "geometric_mean_ratio"):
         seen.append(QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString())
     assert not [plan for plan in seen if "BroadcastHashJoin" in plan]
+
+
+def below_exchanges(plan):
+    """Expressions of every Generate that has an Exchange above it in a plan printed as a tree."""
+    found, open_ = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        open_ = [d for d in open_ if d < depth]
+        if " Exchange " in line or line.lstrip(" :+-").startswith("Exchange "):
+            open_.append(depth)
+        elif "Generate " in line and open_:
+            found.append(line.strip())
+    return found
+
+
+def test_predecessors_are_not_shuffled(spark):
+    for name in ("stratified_marginal_mean", "predecessor_samples"):
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "predecessors" not in "".join(below_exchanges(plan)) and "other_cost" not in plan
+
+
+def test_coalition_rows_are_multiplied_after_the_shuffle(spark, conf):
+    from allotment.operators import balanced as G
+    conf("spark.sql.autoBroadcastJoinThreshold", -1)
+    players = spark.createDataFrame([(g, i, 3, 10 * g + i) for g in (1, 2) for i in (2, 0, 1)], "game_id BIGINT, player INT, n INT, cost BIGINT")
+    design = spark.createDataFrame([(1, "d", 0, 1, 3, [1]), (2, "d", 5, 2, 3, [0, 2]), (3, "d", 6, 1, 3, [0])],
+                                   "game_id BIGINT, design STRING, sample BIGINT, size INT, n INT, members ARRAY<INT>")
+    rows = G.sampled_rows(design, players)
+    assert {(r.game_id, r.sample, r.player, r.inside, r.cost, r.n, r.block) for r in rows.collect()} == {
+        (1, 0, 0, False, 10, 3, 0), (1, 0, 1, True, 11, 3, 0), (1, 0, 2, False, 12, 3, 0),
+        (2, 5, 0, True, 20, 3, 0), (2, 5, 1, False, 21, 3, 0), (2, 5, 2, True, 22, 3, 0)}
+    assert not below_exchanges(rows._jdf.queryExecution().executedPlan().toString())
