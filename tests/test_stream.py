@@ -70,3 +70,14 @@ def test_an_unfinished_snapshot_is_ignored(spark, tmp_path):
 def test_no_block_yet(spark, tmp_path):
     assert M.current_state(spark, str(tmp_path)).count() == 0
     assert M.progress(spark, str(tmp_path), PAIRS).count() == 0
+
+
+def test_state_of_pairs_is_on_disk(spark, tmp_path):
+    """The state store of a stream is not the heap's; the session's settings are as before."""
+    rows, blocks, work = contributions(spark), str(tmp_path / "blocks"), str(tmp_path / "work")
+    before = {name: spark.conf.get(name, None) for name in [*M.STATE_STORE, "spark.sql.shuffle.partitions"]}
+    arrive(rows, blocks, 0, 4)
+    M.run_moments(spark, blocks, work, 6, "k", 1, 3)
+    assert {name: spark.conf.get(name, None) for name in before} == before
+    assert "RocksDBStateStoreProvider" in (tmp_path / "work/checkpoint/offsets/0").read_text()
+    assert told(M.current_state(spark, work)) == told(batch(rows, 4))
