@@ -446,3 +446,16 @@ def test_critical_values(spark):
     rows = spark.createDataFrame([(12, 1), (12, 5), (1, 3), (0, 2), (None, 2), (12, 5)], "count long, players long")
     got = [r[0] for r in rows.coalesce(1).select(simultaneous_t(F.col("count"), F.col("players"), 0.05)).collect()]
     assert got == [pytest.approx(critical(11, 0.025)), pytest.approx(critical(11, 0.005)), None, None, None, pytest.approx(critical(11, 0.005))]
+
+
+def test_pair_batches_are_taken_in_pieces(monkeypatch):
+    """A batch of many packs is cut between packs; none is lost, and a pack above the limit stays whole."""
+    import pyarrow as pa
+
+    from allotment.operators import pairs as P
+    monkeypatch.setattr(P, "MEMBERS", 4)
+    batch = pa.record_batch({"game_id": list(range(6)), "rows": [[1, 2], [3], [], [4, 5, 6, 7, 8], [9, 10, 11], [12]]})
+    parts = list(P.pieces(batch))
+    assert [p.column("game_id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]]
+    assert [p.column("rows").flatten().to_pylist() for p in parts] == [[1, 2, 3], [4, 5, 6, 7, 8], [9, 10, 11, 12]]
+    assert list(P.pieces(batch.slice(0, 0))) == []
