@@ -38,3 +38,11 @@ def test_slices_are_scored_together():
 
     G.lock_step(8, [np.full(5, 4)] * 50, _generators(50), 16, Counted(8, [0.1] * 50, 1.0, "size"))
     assert calls == [50] * 5
+
+
+def test_null_games_keep_their_slices(spark):
+    from pyspark.sql import functions as F
+    games = spark.createDataFrame([(1, 5), (None, 6), (3, 6)], "game_id BIGINT, n INT")
+    rows = G.stratified_design(games, F.col("n") * 3, "s").collect()
+    assert {(g, sum(r.game_id == g for r in rows)) for g in (1, None, 3)} == {(1, 15), (None, 18), (3, 18)}
+    assert all(len(r.members) == r.size and r.members == sorted(set(r.members)) and r.members[-1] < r.n for r in rows)
