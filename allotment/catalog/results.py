@@ -472,7 +472,7 @@ def oracle_profile_gap(spark, folder):
     """Largest difference per game between the endpoint-line and the size-profile linear estimates."""
     from allotment.catalog.sampling import inner_cost
     sampled = E.with_size_profile(inner_cost(spark, folder, "lin"))
-    both = E.linear(sampled).withColumnRenamed("share", "a").join(large(E.linear(sampled, "profile").withColumnRenamed("share", "b")), ["game_id", "player"])
+    both = E.linear_by(sampled, a="endpoint", b="profile").where("game_id is not null and player is not null")
     return tidied(both.groupBy("game_id").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("largest_gap")), [], 4)
 
 

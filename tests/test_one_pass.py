@@ -33,3 +33,14 @@ def test_partitions_grow_with_the_samples(spark):
     parts = [D.spread(players, samples).rows().rdd.getNumPartitions() for samples in (1, 24, 96)]
     assert parts == [D.shuffle_partitions() * times for times in (1, 1, 4)]
     assert D.spread(players, 0).rows().count() == 0
+
+
+def test_linear_estimates_of_one_sample_share_its_rows(spark):
+    from allotment.catalog import QUERIES
+    from conftest import FOLDER
+    assert _plan(QUERIES["oracle_profile_gap"](spark, FOLDER)).count("AS pos#") == 1
+    sampled = E.with_size_profile(U.evaluate(D.iid_design(_players(spark), 24, "l", INNER), U.max_cost()))
+    both = {(r.game_id, r.player): (r.a, r.b) for r in E.linear_by(sampled, a="endpoint", b="profile").collect()}
+    for at, profile in enumerate(("endpoint", "profile")):
+        alone = E.linear(sampled, profile).collect()
+        assert len(alone) == len(both) and all(abs(both[r.game_id, r.player][at] - r.share) < 1e-9 for r in alone)
