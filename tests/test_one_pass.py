@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from allotment.functions.laws import INNER
+from allotment.operators import balanced as G
 from allotment.operators import designs as D
 from allotment.operators import estimators as E
 from allotment.operators import utilities as U
@@ -44,3 +45,36 @@ def test_linear_estimates_of_one_sample_share_its_rows(spark):
     for at, profile in enumerate(("endpoint", "profile")):
         alone = E.linear(sampled, profile).collect()
         assert len(alone) == len(both) and all(abs(both[r.game_id, r.player][at] - r.share) < 1e-9 for r in alone)
+
+
+def test_complements_are_listed_only_for_their_readers(spark):
+    games = spark.createDataFrame([(1, 2), (2, 7), (3, 8), (None, 5)], "game_id BIGINT, n INT")
+    parts = D.partition_blocks(games, "p")
+    lines = [line for line in _plan(parts.where("complement = 0")).splitlines() if "array_except" in line or "array_contains" in line]
+    assert all("CASE WHEN (complement" in line for line in lines)
+    pairs = {}
+    for r in parts.collect():
+        assert len(r.members) == r["size"] == (r.n - r.base_size if r.complement else r.base_size)
+        pairs.setdefault((r.game_id, r.base_size, r.part), []).append(r.members)
+        assert r.members == sorted(set(r.members))
+    n = {1: 2, 2: 7, 3: 8, None: 5}
+    assert all(sorted(a + b) == list(range(n[game])) for (game, _, _), (a, b) in pairs.items())
+
+
+def test_fills_of_a_batch_leave_no_ordered_pair_out(spark):
+    games = spark.createDataFrame([(1, 2), (2, 7), (3, 8), (None, 5)], "game_id BIGINT, n INT")
+    parts = D.partition_blocks(games, "p").where("complement = 0").select("game_id", "n", F.col("base_size").alias("size"), "members")
+    fills = G.fill_pairs(parts, "p")
+    assert "MapInArrow" in _plan(fills)
+    rows = fills.select("game_id", "n", "size", "members").unionByName(parts).collect()
+    seen = {}
+    for r in rows:
+        assert len(r.members) == r["size"] and r.members == sorted(set(r.members))
+        out = set(range(r.n)) - set(r.members)
+        own = seen.setdefault((r.game_id, r.n, r["size"]), set())
+        own |= {(i, j) for i in r.members for j in out}
+        if 2 * r["size"] == r.n:
+            own |= {(j, i) for i in r.members for j in out}
+    assert all(len(own) == n * (n - 1) for (_, n, _), own in seen.items()) and len(seen) == 1 + 3 + 4 + 2
+    numbers = [(r.game_id, r["size"], r["sample"]) for r in fills.collect()]
+    assert len(numbers) == len(set(numbers))
