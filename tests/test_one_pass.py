@@ -78,3 +78,9 @@ def test_fills_of_a_batch_leave_no_ordered_pair_out(spark):
     assert all(len(own) == n * (n - 1) for (_, n, _), own in seen.items()) and len(seen) == 1 + 3 + 4 + 2
     numbers = [(r.game_id, r["size"], r["sample"]) for r in fills.collect()]
     assert len(numbers) == len(set(numbers))
+
+
+def test_partition_blocks_are_made_in_all_partitions(spark):
+    games = spark.range(40).select(F.col("id").alias("game_id"), F.lit(6).alias("n")).coalesce(1)
+    tasks = D.partition_blocks(games, "p").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == D.shuffle_partitions() > 1
