@@ -41,3 +41,14 @@ def test_component_array_mean_has_no_largest_game(spark, tmp_path):
     folder, con = orders_folder(spark, tmp_path, c1=3, c2=24, c3=48, c4=65)
     assert compare(QUERIES["component_array_mean"](spark, folder), ORACLES["component_array_mean"], con) == "ok"
     assert con.execute(f"SELECT count(*) FROM ({ORACLES['component_array_mean']}) x").fetchone() == (140,)
+
+
+def test_stratified_differential_tells_every_pair_apart(spark, tmp_path):
+    """Covering rows come first, so that no share is missing; shares sum to the value of all."""
+    folder, con = orders_folder(spark, tmp_path, c1=1, c2=2, c3=9, c4=17)
+    got = {}
+    for r in QUERIES["stratified_differential"](spark, folder).collect():
+        got.setdefault(r.game_id, []).append(r.share)
+    assert {g: len(s) for g, s in got.items()} == {2: 2, 3: 9, 4: 17}
+    for game, dearest in con.execute("SELECT o_custkey, max(floor(o_totalprice/1000)) FROM orders WHERE o_custkey > 1 GROUP BY 1").fetchall():
+        assert None not in got[game] and sum(got[game]) == pytest.approx(dearest, abs=0.01)
